@@ -355,3 +355,36 @@ def with_ctes(*ctes: str) -> str:
 SP = with_ctes(S, P)
 SPM = with_ctes(S, P, M)
 SPMA = with_ctes(S, P, M, A)
+
+# unanimous vote of every subset, the naive way: one row per (subset, case, member)
+AND_SQL = """, sub as (select unnest(range(1,256))::int as subset),
+ands as (select subset, bit_count(subset)::int as model_count, tp, fp, fn,
+  case when tp+fp<>0 then tp::double/(tp+fp) else 0 end as ppv, case when tp+fn<>0 then fn::double/(tp+fn) else 0 end as fnr from (
+  select subset, count(*) filter (where v=1 and actual=1) as tp, count(*) filter (where v=1 and actual=0) as fp,
+   count(*) filter (where v=0 and actual=1) as fn from (
+   select subset, case_index, any_value(actual) as actual, min(predicted) as v from sub join p on (subset>>(combination_id-1))&1=1
+   group by subset, case_index) group by subset)) """
+
+_VOTE = "(" + "+".join(f"case when (subset>>{i})&1=1 then p{i} else 0.0::double end" for i in range(8)) + ")/bit_count(subset)"
+
+
+def _vote_grid() -> list[float]:
+    out = [0.49]
+    while out[-1] <= 2.0:
+        out.append(out[-1] + 0.01)
+    return out
+
+
+GRID_SQL = "[" + ",".join(f"{x!r}::double" for x in _vote_grid()) + "]"
+
+# mean normalised score of every subset and its best threshold
+VOTE_SQL = f""", n as (select case_index, combination_id, actual, proba/max(proba) over (partition by combination_id) as x from p),
+pv as (select case_index, max(actual) as actual, {", ".join(f"max(x) filter (where combination_id={i + 1}) as p{i}" for i in range(8))} from n group by 1),
+sub as (select unnest(range(1,256))::int as subset),
+vt as (select subset, case_index, actual, {_VOTE} as vote from pv cross join sub),
+th as (select subset, coalesce(list_max(list_filter({GRID_SQL}, lambda t: t<=min(vote) filter (where actual=1))), 0.49::double) as threshold from vt group by subset),
+votes as (select subset, bit_count(subset)::int as model_count, threshold, tp, fp, fn,
+ case when tp+fp<>0 then tp::double/(tp+fp) else 0 end as ppv, case when tp+fn<>0 then fn::double/(tp+fn) else 0 end as fnr from (
+ select subset, any_value(threshold) as threshold, count(*) filter (where vote>=threshold and actual=1) as tp,
+  count(*) filter (where vote>=threshold and actual=0) as fp, count(*) filter (where vote<threshold and actual=1) as fn
+ from vt join th using(subset) group by subset)) """
