@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .ordering import exact_quantiles, running_totals
+from ..session import truncate_lineage
+from .ordering import bucket_count, exact_quantiles, running_totals, with_range_buckets
 
 
 def score_counts(df: DataFrame, by: list[str], score: str = "proba", actual: str = "actual") -> DataFrame:
@@ -31,7 +32,8 @@ def roc_points(df: DataFrame, by: list[str], score: str = "proba", actual: str =
     if drop_collinear:
         # the step into the next score has the same direction in both counts
         nxt = _next_step(cum, by, score, **options)
-        same = (F.col("next_pos") == F.col("pos")) & (F.col("next_neg") == F.col("neg"))
+        first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
+        same = (F.col("next_pos") == F.col("pos")) & (F.col("next_neg") == F.col("neg")) & ~first
         cum = nxt.where(F.coalesce(~same, F.lit(True)))
     body = cum.join(totals, by).select(
         *by,
@@ -46,8 +48,6 @@ def roc_points(df: DataFrame, by: list[str], score: str = "proba", actual: str =
 def _next_step(cum: DataFrame, by: list[str], score: str, rows_per_bucket: int | None = None) -> DataFrame:
     """pos and neg of the next lower score: the window stays inside a score
     range, the last row of a range takes the first of the following one."""
-    from .ordering import bucket_count, with_range_buckets
-
     n = cum.count()
     work = with_range_buckets(cum, [score], bucket_count(n, rows_per_bucket)).withColumnRenamed(score + "__b", "__b")
     w = W.partitionBy(*by, "__b").orderBy(F.col(score).desc())
@@ -131,6 +131,7 @@ def lowess(ranked: DataFrame, value: str, frac: float = 0.1, iterations: int = 3
     base = ranked.select("rank", F.col(value).cast("double").alias("y"))
     if k < 2:
         return base.withColumn("smooth", F.col("y"))
+    base = truncate_lineage(base)
     left = F.least(F.greatest(F.col("rank") - F.lit((k - 1) - (k - 1) // 2), F.lit(0)), F.lit(n - k))
     spans = base.select(F.col("rank").alias("at"), left.alias("left"))
     near = spans.select("at", "left", F.explode(F.sequence(F.col("left"), F.col("left") + k - 1)).alias("rank"))
@@ -152,7 +153,8 @@ def lowess(ranked: DataFrame, value: str, frac: float = 0.1, iterations: int = 3
         smooth = smooth.withColumn("smooth", F.coalesce("smooth", "y"))
         if i == iterations:
             return smooth
-        resid = smooth.withColumn("res", F.abs(F.col("y") - F.col("smooth")))
+        # a few hundred rows; without this each pass would repeat all earlier ones
+        resid = truncate_lineage(smooth.withColumn("res", F.abs(F.col("y") - F.col("smooth"))))
         scale = resid.agg(F.percentile("res", 0.5)).scalar() * F.lit(6.0)
         u = F.col("res") / scale
         fitted = resid.withColumn(

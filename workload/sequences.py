@@ -88,7 +88,7 @@ _CURVE = """, sc as (select combination_id, proba, count(*) filter (where actual
   lead(pos) over w as np, lead(neg) over w as nn from sc window w as (partition by combination_id order by proba desc)),
  st as (select distinct combination_id, 0.0::double as fpr, 0.0::double as tpr, 'inf'::double as threshold from p),
  full_curve as (select combination_id, cn::double/an as fpr, cp::double/ap as tpr, proba as threshold from cu union all select * from st),
- curve as (select combination_id, cn::double/an as fpr, cp::double/ap as tpr, proba as threshold from cu where not coalesce(np=pos and nn=neg, false) union all select * from st)
+ curve as (select combination_id, cn::double/an as fpr, cp::double/ap as tpr, proba as threshold from cu where not coalesce(np=pos and nn=neg and not (cp=pos and cn=neg), false) union all select * from st)
 """
 
 
