@@ -6,8 +6,9 @@ import math
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.numeric import safe_divide
 from ..session import truncate_lineage
-from .ordering import bucket_count, exact_quantiles, running_totals, with_range_buckets
+from .ordering import exact_quantiles, running_totals
 
 
 def score_counts(df: DataFrame, by: list[str], score: str = "proba", actual: str = "actual") -> DataFrame:
@@ -20,50 +21,28 @@ def score_counts(df: DataFrame, by: list[str], score: str = "proba", actual: str
 def roc_points(df: DataFrame, by: list[str], score: str = "proba", actual: str = "actual", drop_collinear: bool = True, **options) -> DataFrame:
     """fpr, tpr per threshold, starting with (0, 0, inf).
 
-    Cumulative counts run inside score ranges with exact offsets, so a curve
-    with as many points as rows never lands in one task. With
-    ``drop_collinear`` a point whose neighbours add the same counts is dropped.
+    The distinct scores are counted once and kept as a table; cumulative counts
+    then run inside score ranges with exact offsets, so a curve with as many
+    points as rows never lands in one task. With ``drop_collinear`` a point is
+    dropped when the step after it adds the same counts as the step to it.
     """
-    counts = score_counts(df, by, score, actual)
-    cum = running_totals(counts, score, ["pos", "neg"], by, descending=True, **options)
-    totals = df.groupBy(*by).agg(
-        F.count_if(F.col(actual) == 1).alias("all_pos"), F.count_if(F.col(actual) == 0).alias("all_neg")
-    )
+    counts = truncate_lineage(score_counts(df, by, score, actual))
+    cum = running_totals(counts, score, ["pos", "neg"], by, descending=True, following=drop_collinear, **options)
+    totals = counts.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     if drop_collinear:
-        # the step into the next score has the same direction in both counts
-        nxt = _next_step(cum, by, score, **options)
         first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
         same = (F.col("next_pos") == F.col("pos")) & (F.col("next_neg") == F.col("neg")) & ~first
-        cum = nxt.where(F.coalesce(~same, F.lit(True)))
+        cum = cum.where(F.coalesce(~same, F.lit(True)))
     body = cum.join(totals, by).select(
         *by,
-        (F.col("cum_neg") / F.col("all_neg").cast("double")).alias("fpr"),
-        (F.col("cum_pos") / F.col("all_pos").cast("double")).alias("tpr"),
+        safe_divide(F.col("cum_neg"), F.col("all_neg")).alias("fpr"),
+        safe_divide(F.col("cum_pos"), F.col("all_pos")).alias("tpr"),
         F.col(score).alias("threshold"),
     )
     start = totals.select(*by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(math.inf).alias("threshold"))
     return body.unionByName(start)
 
 
-def _next_step(cum: DataFrame, by: list[str], score: str, rows_per_bucket: int | None = None) -> DataFrame:
-    """pos and neg of the next lower score: the window stays inside a score
-    range, the last row of a range takes the first of the following one."""
-    n = cum.count()
-    work = with_range_buckets(cum, [score], bucket_count(n, rows_per_bucket)).withColumnRenamed(score + "__b", "__b")
-    w = W.partitionBy(*by, "__b").orderBy(F.col(score).desc())
-    inner = work.withColumns({"__np": F.lead("pos").over(w), "__nn": F.lead("neg").over(w)})
-    heads = work.groupBy(*by, "__b").agg(
-        F.max_by("pos", score).alias("__hp"), F.max_by("neg", score).alias("__hn")
-    )
-    wb = W.partitionBy(*by).orderBy(F.col("__b").desc())
-    heads = heads.select(*by, "__b", F.lead("__hp").over(wb).alias("__hp"), F.lead("__hn").over(wb).alias("__hn"))
-    return (
-        inner.join(heads, [*by, "__b"])
-        .withColumns({"next_pos": F.coalesce("__np", "__hp"), "next_neg": F.coalesce("__nn", "__hn")})
-        .drop("__b", "__np", "__nn", "__hp", "__hn")
-    )
-
-
 def roc_at_threshold(points: DataFrame, by: list[str], at: float = 0.5) -> DataFrame:
     """fpr of the point whose threshold is nearest; the higher one on ties."""
     near = points.where(F.col("threshold") < math.inf)
@@ -74,7 +53,7 @@ def roc_at_threshold(points: DataFrame, by: list[str], at: float = 0.5) -> DataF
 
 def auc(df: DataFrame, by: list[str], score: str = "proba", actual: str = "actual", **options) -> DataFrame:
     """Area under the curve as a rank sum: ties count half."""
-    counts = score_counts(df, by, score, actual)
+    counts = truncate_lineage(score_counts(df, by, score, actual))
     cum = running_totals(counts, score, ["neg"], by, descending=False, **options)
     below = F.col("cum_neg") - F.col("neg")
     g = cum.groupBy(*by).agg(

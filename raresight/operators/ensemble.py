@@ -90,16 +90,19 @@ def and_subsets(predictions: DataFrame, members: list[int]) -> DataFrame:
     )
 
 
-def _subset_votes(n: int) -> Column:
-    """Array over subsets of the mean member score, added in member order."""
+def _voted(cases: DataFrame, n: int) -> DataFrame:
+    """(subset, vote, actual) for every subset of a case: the mean member
+    score, added in member order.
 
-    def vote(s: Column) -> Column:
-        total = F.lit(0.0)
-        for i in range(n):
-            total = total + F.when(s.bitwiseAND(F.lit(1 << i)) != 0, F.col(f"p{i}")).otherwise(F.lit(0.0))
-        return total / F.bit_count(s)
-
-    return F.transform(F.sequence(F.lit(1), F.lit((1 << n) - 1)), lambda s: F.struct(s.alias("subset"), vote(s).alias("vote")))
+    The subset number is exploded first and the score is plain arithmetic on
+    it, so expansion, score and the filters after it are one generated loop.
+    """
+    s = F.col("subset")
+    total = F.lit(0.0)
+    for i in range(n):
+        total = total + F.when(s.bitwiseAND(F.lit(1 << i)) != 0, F.col(f"p{i}")).otherwise(F.lit(0.0))
+    wide = cases.withColumn("subset", F.explode(F.sequence(F.lit(1), F.lit((1 << n) - 1))))
+    return wide.select("subset", "actual", (total / F.bit_count(s)).alias("vote"))
 
 
 def best_threshold(lowest: Column, grid: list[float]) -> Column:
@@ -111,18 +114,15 @@ def best_threshold(lowest: Column, grid: list[float]) -> Column:
     return F.coalesce(F.array_max(F.filter(cuts, lambda t: t <= lowest)), F.lit(grid[0]))
 
 
-def normalised_cases(predictions: DataFrame, members: list[int]) -> DataFrame:
-    """``per_case`` with every model's scores divided by its largest score."""
+def top_scores(predictions: DataFrame, members: list[int]) -> dict[int, float]:
+    rows = predictions.where(F.col("combination_id").isin(members)).groupBy("combination_id").agg(F.max("proba").alias("top"))
+    return {r["combination_id"]: r["top"] for r in rows.collect()}
+
+
+def normalised_cases(predictions: DataFrame, members: list[int], top: dict[int, float] | None = None) -> DataFrame:
+    """``per_case`` with every model's scores divided by its largest one."""
     members = _check(members)
-    top = {
-        r["combination_id"]: r["top"]
-        for r in predictions.where(F.col("combination_id").isin(members))
-        .groupBy("combination_id", "case_index")
-        .agg(F.avg("proba").alias("m"))
-        .groupBy("combination_id")
-        .agg(F.max("m").alias("top"))
-        .collect()
-    }
+    top = top if top is not None else top_scores(predictions, members)
     cases = per_case(predictions, members)
     return cases.withColumns(
         {f"p{i}": F.col(f"p{i}") / F.lit(top.get(m) or 1.0) for i, m in enumerate(members)}
@@ -140,15 +140,16 @@ def vote_subsets(predictions: DataFrame, members: list[int], grid: list[float] |
     members = _check(members)
     n = len(members)
     grid = grid or vote_grid()
-    cases = normalised_cases(predictions, members)
-    votes = F.explode(_subset_votes(n)).alias("s")
-    pos = cases.where("actual = 1").select(votes).select("s.*")
+    top = top_scores(predictions, members)
+    # the label belongs to the case, so positives are cut before the shuffle
+    pos = _voted(normalised_cases(predictions.where("actual = 1"), members, top), n)
+    cases = normalised_cases(predictions, members, top)
     cuts = pos.groupBy("subset").agg(F.min("vote").alias("lowest"), F.count(F.lit(1)).alias("all_pos"))
     cuts = cuts.withColumn("threshold", best_threshold(F.col("lowest"), grid))
     best_score = F.greatest(*[F.col(f"p{i}") for i in range(n)]) if n > 1 else F.col("p0")
     # 1e-9 keeps rows whose mean could round up to the grid start
     live = cases.where((F.col("actual") == 1) | (best_score >= grid[0] - 1e-9))
-    rows = live.select("actual", votes).select("actual", "s.*").where(F.col("vote") >= grid[0])
+    rows = _voted(live, n).where(F.col("vote") >= grid[0])
     # thresholds: one row per subset, at most 2^16 - 1
     counted = (
         rows.join(F.broadcast(cuts.select("subset", "threshold")), "subset")

@@ -260,9 +260,14 @@ def running_totals(
     measures: list[str],
     by: list[str] | tuple = (),
     descending: bool = True,
+    following: bool = False,
     rows_per_bucket: int | None = None,
 ) -> DataFrame:
-    """Inclusive cumulative sums over rows already unique per (by, order)."""
+    """Inclusive cumulative sums over rows already unique per (by, order).
+
+    ``following`` also adds ``next_`` columns with the measures of the row
+    after; the last row of a bucket takes them from the next bucket's head.
+    """
     by = list(by)
     n = df.count()
     work = with_range_buckets(df, [order], bucket_count(n, rows_per_bucket)).withColumnRenamed(order + "__b", "__b")
@@ -270,15 +275,31 @@ def running_totals(
     def direction(c: str) -> Column:
         return F.col(c).desc() if descending else F.col(c).asc()
 
-    totals = work.groupBy(*by, "__b").agg(*[F.sum(m).alias(f"__t_{m}") for m in measures])
+    head = F.max_by if descending else F.min_by
+    totals = work.groupBy(*by, "__b").agg(
+        *[F.sum(m).alias(f"__t_{m}") for m in measures],
+        *[head(m, order).alias(f"__h_{m}") for m in measures if following],
+    )
     w_off = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(direction("__b"))
     before = w_off.rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        *by, "__b", *[F.coalesce(F.sum(f"__t_{m}").over(before), F.lit(0)).alias(f"__o_{m}") for m in measures]
+        *by,
+        "__b",
+        *[F.coalesce(F.sum(f"__t_{m}").over(before), F.lit(0)).alias(f"__o_{m}") for m in measures],
+        *[F.lead(f"__h_{m}").over(w_off).alias(f"__h_{m}") for m in measures if following],
     )
-    w_in = W.partitionBy(*by, "__b").orderBy(direction(order)).rowsBetween(W.unboundedPreceding, 0)
-    inner = work.withColumns({f"cum_{m}": F.sum(m).over(w_in) for m in measures})
-    joined = inner.join(offsets, [*by, "__b"])
-    return joined.withColumns({f"cum_{m}": F.col(f"cum_{m}") + F.col(f"__o_{m}") for m in measures}).drop(
-        "__b", *[f"__o_{m}" for m in measures]
+    w_in = W.partitionBy(*by, "__b").orderBy(direction(order))
+    cum = w_in.rowsBetween(W.unboundedPreceding, 0)
+    inner = work.withColumns(
+        {
+            **{f"cum_{m}": F.sum(m).over(cum) for m in measures},
+            **{f"next_{m}": F.lead(m).over(w_in) for m in measures if following},
+        }
     )
+    joined = inner.join(offsets, [*by, "__b"])
+    return joined.withColumns(
+        {
+            **{f"cum_{m}": F.col(f"cum_{m}") + F.col(f"__o_{m}") for m in measures},
+            **{f"next_{m}": F.coalesce(f"next_{m}", f"__h_{m}") for m in measures if following},
+        }
+    ).drop("__b", *[f"__o_{m}" for m in measures], *[f"__h_{m}" for m in measures])

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.numeric import add_all, equal_width_bin
+from ..session import truncate_lineage
 from .ordering import exact_quantiles
 
 
@@ -56,14 +57,16 @@ def value_range(df: DataFrame, value: str, by: list[str] | tuple = ()) -> DataFr
     return df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
 
 
-def histogram(df: DataFrame, value: str, bins: int, by: list[str] | tuple = (), weight: Column | None = None) -> DataFrame:
+def histogram(
+    df: DataFrame, value: str, bins: int, by: list[str] | tuple = (), weight: Column | None = None, span: tuple | None = None
+) -> DataFrame:
     """Equal-width bins over the range of all rows, counted per ``by``.
 
     The range is two scalars; the count aggregates before its shuffle to at
     most bins x groups rows.
     """
-    r = value_range(df, value).first()
-    lo, hi = (r["lo"], r["hi"]) if r["lo"] is not None else (0.0, 0.0)
+    lo, hi = span or value_range(df, value).first()
+    lo, hi = (lo, hi) if lo is not None else (0.0, 0.0)
     amount = F.count(F.lit(1)).alias("n") if weight is None else F.sum(weight).alias("n")
     width = (hi - lo) / bins
     return (
@@ -81,13 +84,18 @@ def histogram_weighted(df: DataFrame, value: str, bins: int, group: str, label:
     predicted 1. Group totals are an aggregate joined back, never a window:
     a group holds a large part of all rows.
     """
-    totals = df.groupBy(group).agg(F.avg(predicted).alias("__r"), F.count(F.lit(1)).alias("__n"), F.sum(predicted).alias("__p"))
+    totals = truncate_lineage(
+        df.groupBy(group).agg(
+            F.avg(predicted).alias("__r"), F.count(F.lit(1)).alias("__n"), F.sum(predicted).alias("__p"), F.min(value).alias("lo"), F.max(value).alias("hi")
+        )
+    )
     w = totals.select(
         group,
         F.col("__r"),
         (F.col("__r") * (F.col("__n") - F.col("__p")) + (F.lit(1.0) - F.col("__r")) * F.col("__p")).alias("__total"),
     )
-    counted = histogram(df.withColumn("__label", label), value, bins, [group, "__label", predicted])
+    span = totals.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    counted = histogram(df.withColumn("__label", label), value, bins, [group, "__label", predicted], span=(span["lo"], span["hi"]))
     joined = counted.join(w, group)
     share = F.when(F.col(predicted) == 0, F.col("__r")).otherwise(F.lit(1.0) - F.col("__r"))
     return (
@@ -105,11 +113,11 @@ def kde(df: DataFrame, value: str, group: str, grid: int = 200, bins: int = 1024
     many rows there are.
     """
     x = F.col(value)
-    stats = df.groupBy(group).agg(
-        F.count(x).alias("n"), F.stddev_samp(x).alias("sd"), F.min(x).alias("lo"), F.max(x).alias("hi")
+    stats = truncate_lineage(
+        df.groupBy(group).agg(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"), F.min(x).alias("lo"), F.max(x).alias("hi"))
     )
+    r = stats.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
     stats = stats.withColumn("bw", F.pow(F.col("n").cast("double"), F.lit(-0.2)) * F.col("sd")).where("bw > 0")
-    r = value_range(df, value).first()
     cells = (
         df.groupBy(group, equal_width_bin(x, F.lit(r["lo"]), F.lit(r["hi"]), bins).alias("bin"))
         .agg(F.count(x).alias("w"), F.avg(x).alias("x"))
