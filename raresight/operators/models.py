@@ -96,7 +96,7 @@ class _ClassRows(Params):
 
     def _members(self, df: DataFrame, fits: list) -> list:
         with ThreadPoolExecutor(max_workers=max(1, self.getOrDefault(self.parallelism))) as pool:
-            return list(pool.map(inheritable_thread_target(lambda f: f()), fits))
+            return list(pool.map(inheritable_thread_target(df.sparkSession)(lambda f: f()), fits))
 
 
 def _class_counts(df: DataFrame) -> tuple[int, int]:

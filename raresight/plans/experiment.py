@@ -171,6 +171,6 @@ def run_grid(
             save_model(spark, fitted, models_path, {k: v for k, v in key.items() if k != "run_ts"}, fold)
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        list(pool.map(inheritable_thread_target(run), cells))
+        list(pool.map(inheritable_thread_target(spark)(run), cells))
     stored = spark.read.parquet(results_path).where((F.col("tag") == tag) & (F.col("run_ts") == run_ts))
     return classification_metrics(stored, ["cross_validator", "resampler", "model", "scorer", "tag", "run_ts", "fold"])
