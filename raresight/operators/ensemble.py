@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import safe_divide
+from ..session import truncate_lineage
 from .ordering import with_rank
 
 MAX_MEMBERS = 16
@@ -67,7 +68,7 @@ def and_subsets(predictions: DataFrame, members: list[int]) -> DataFrame:
     """
     members = _check(members)
     n = len(members)
-    counts = per_case(predictions, members).groupBy("mask", "actual").agg(F.count(F.lit(1)).alias("n"))
+    counts = truncate_lineage(per_case(predictions, members).groupBy("mask", "actual").agg(F.count(F.lit(1)).alias("n")))
     all_pos = counts.where("actual = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     subsets = F.sequence(F.lit(1), F.lit((1 << n) - 1))
     fed = counts.select(
@@ -78,7 +79,7 @@ def and_subsets(predictions: DataFrame, members: list[int]) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("actual") == 0, F.col("n"))), F.lit(0)).alias("fp"),
     )
     # a subset that never votes positive still gets its row
-    every = counts.agg(F.count(F.lit(1)).alias("x")).select(F.explode(subsets).alias("subset"))
+    every = predictions.sparkSession.range(1, 1 << n).select(F.col("id").cast("int").alias("subset"))
     out = every.join(hits, "subset", "left").fillna(0, ["tp", "fp"]).withColumn("fn", all_pos - F.col("tp"))
     return out.select(
         F.col("subset").cast("int").alias("subset"),
@@ -195,22 +196,23 @@ def agreement(predictions: DataFrame, exclude: list[int] = (), truth: int | None
     the cases the reference combination got right.
     """
     kept = predictions.where((F.col("predicted") == 1) & ~F.col("combination_id").isin(list(exclude) or [-1]))
-    totals = kept.groupBy("case_index").agg(F.sum("proba").alias("total"))
-    top = totals.agg(F.max("total")).scalar()
-    hits = kept.where(F.col("combination_id") == truth) if truth is not None else kept
-    tps = hits.where("actual = 1").select("case_index").distinct().withColumn("true_positive", F.lit(1))
-    return (
-        kept.select("combination_id", "case_index", "proba")
-        .join(totals, "case_index")
-        .join(tps, "case_index", "left")
-        .select(
-            "combination_id",
-            "case_index",
-            "proba",
-            (F.col("total") / top / F.lit(2.0) + F.lit(0.5)).alias("agreement"),
-            F.coalesce("true_positive", F.lit(0)).alias("true_positive"),
+    right = (F.col("actual") == 1) & (F.lit(True) if truth is None else F.col("combination_id") == truth)
+    # a case has at most one entry per combination, so its list is short
+    cases = truncate_lineage(
+        kept.groupBy("case_index").agg(
+            F.sum("proba").alias("total"),
+            F.max(right.cast("int")).alias("true_positive"),
+            F.collect_list(F.struct("combination_id", "proba")).alias("votes"),
         )
     )
+    top = cases.agg(F.max("total")).scalar()
+    return cases.select("case_index", "true_positive", "total", F.explode("votes").alias("v")).select(
+        "v.combination_id",
+        "case_index",
+        "v.proba",
+        (F.col("total") / top / F.lit(2.0) + F.lit(0.5)).alias("agreement"),
+        "true_positive",
+    )
 
 
 def order_cases(predictions: DataFrame, **options) -> DataFrame:

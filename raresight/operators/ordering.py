@@ -98,6 +98,9 @@ def with_rank(
     value = "__ord"
     work = df.withColumn(value, -F.col(order) if descending else F.col(order))
     n = df.count()
+    if bucket_count(n, rows_per_bucket) == 1:  # the whole input is one bucket
+        w = W.partitionBy(*(by or [F.lit(0)])).orderBy(value, *([key] if key and key != order else []))
+        return work.withColumn(name, (F.row_number().over(w) - 1).cast("bigint")).drop(value)
     work = _composite_bucket(work, value, key, n, rows_per_bucket)
     totals = work.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
     w_off = W.partitionBy(*by).orderBy("__b") if by else W.partitionBy(F.lit(0)).orderBy("__b")
@@ -270,11 +273,17 @@ def running_totals(
     """
     by = list(by)
     n = df.count()
-    work = with_range_buckets(df, [order], bucket_count(n, rows_per_bucket)).withColumnRenamed(order + "__b", "__b")
 
     def direction(c: str) -> Column:
         return F.col(c).desc() if descending else F.col(c).asc()
 
+    if bucket_count(n, rows_per_bucket) == 1:  # the whole input is one bucket
+        w = W.partitionBy(*(by or [F.lit(0)])).orderBy(direction(order))
+        out = {f"cum_{m}": F.sum(m).over(w.rowsBetween(W.unboundedPreceding, 0)) for m in measures}
+        if following:
+            out |= {f"next_{m}": F.lead(m).over(w) for m in measures}
+        return df.withColumns(out)
+    work = with_range_buckets(df, [order], bucket_count(n, rows_per_bucket)).withColumnRenamed(order + "__b", "__b")
     head = F.max_by if descending else F.min_by
     totals = work.groupBy(*by, "__b").agg(
         *[F.sum(m).alias(f"__t_{m}") for m in measures],

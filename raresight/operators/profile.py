@@ -233,7 +233,9 @@ def correlation_ratio(df: DataFrame, category: str, value: str) -> DataFrame:
 
 def categorical_association(df: DataFrame, a: str, b: str) -> DataFrame:
     """Cramer's V and the uncertainty coefficient U(a|b) from pair counts."""
-    pair = df.groupBy(F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    pair = truncate_lineage(
+        df.groupBy(F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    )
     xs = pair.groupBy("x").agg(F.sum("n").alias("nx"))
     ys = pair.groupBy("y").agg(F.sum("n").alias("ny"))
     total = pair.agg(F.sum("n")).scalar()

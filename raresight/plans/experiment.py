@@ -156,19 +156,27 @@ def run_grid(
 
     def run(cell) -> None:
         resampler, fold, train, test, name, params = cell
-        fitted = None
-        for scorer in scorer_names:
-            # without a search the scorer is only recorded: one fit serves all
+        # without a search the scorer is only recorded: one fit serves all
+        groups = [[s] for s in scorer_names] if search is not None else [scorer_names]
+        for group in groups:
             if search is not None:
-                fitted, _, _ = tune(train, name, scorer, seed=seed, **search)
-            elif fitted is None:
+                fitted, _, _ = tune(train, name, group[0], seed=seed, **search)
+            else:
                 fitted = make_model(name, seed, **params).fit(train)
-            key = {"cross_validator": cross_validator, "resampler": resampler, "model": name, "scorer": scorer, "tag": tag, "run_ts": run_ts}
+            key = {"cross_validator": cross_validator, "resampler": resampler, "model": name, "tag": tag}
             preds = scored(fitted, test).select(
-                "case_index", F.col("label").alias("actual"), "predicted", "proba", *[F.lit(v).alias(k) for k, v in key.items()], F.lit(fold).alias("fold")
+                "case_index",
+                F.col("label").alias("actual"),
+                "predicted",
+                "proba",
+                *[F.lit(v).alias(k) for k, v in key.items()],
+                F.lit(run_ts).alias("run_ts"),
+                F.lit(fold).alias("fold"),
+                F.explode(F.array(*[F.lit(s) for s in group])).alias("scorer"),
             )
             save_results(preds, results_path)
-            save_model(spark, fitted, models_path, {k: v for k, v in key.items() if k != "run_ts"}, fold)
+            for scorer in group:
+                save_model(spark, fitted, models_path, {**key, "scorer": scorer}, fold)
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         list(pool.map(inheritable_thread_target(spark)(run), cells))

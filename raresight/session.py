@@ -49,6 +49,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def truncate_lineage(df):
-    """Reliable checkpoint: survives the loss of an executor."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and go on from the written table.
+
+    It survives the loss of an executor, keeps columns prunable and gives the
+    optimiser the true size for the joins that follow.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

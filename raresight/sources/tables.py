@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import prefix_match
 
 RESULT_KEY = ["cross_validator", "resampler", "model", "scorer", "tag", "run_ts", "fold"]
-RUN_TS_FORMAT = "yyyy-MM-dd_HH-mm-ss"
 
 
 def string_schema(names: list[str]) -> T.StructType:
@@ -88,16 +88,20 @@ def scan_results(spark: SparkSession, path: str, **patterns: str) -> DataFrame:
 def scan_latest_results(spark: SparkSession, path: str, **patterns: str) -> DataFrame:
     """Only the newest run folder per tag.
 
-    The newest run comes from the folder names alone (distinct partition
-    values, no data read); its size is the number of runs, not of rows.
+    The runs are read off the folder names in the file listing, so no row is
+    touched to find them, and the choice is a filter over partition columns
+    alone: old runs are pruned while planning.
     """
     df = scan_results(spark, path, **patterns)
     key = ["cross_validator", "resampler", "model", "scorer", "tag"]
-    runs = df.select(*key, "run_ts").distinct()
-    newest = runs.groupBy(*key).agg(
-        F.max_by("run_ts", F.to_timestamp("run_ts", RUN_TS_FORMAT)).alias("run_ts")
-    )
-    return df.join(newest, [*key, "run_ts"], "left_semi")
+    newest: dict[tuple, str] = {}
+    for file in df.inputFiles():
+        parts = dict(unquote(p).split("=", 1) for p in file.split("/") if "=" in p)
+        k = tuple(parts[c] for c in key)
+        # the run name is a zero-padded date and time: text order is time order
+        newest[k] = max(newest.get(k, ""), parts["run_ts"])
+    chosen = ["|".join([*k, run]) for k, run in newest.items()]
+    return df.where(F.concat_ws("|", *key, "run_ts").isin(chosen))
 
 
 def with_provenance(df: DataFrame) -> DataFrame:

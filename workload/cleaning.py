@@ -179,7 +179,7 @@ QUERIES = {
         with_ctes(S)
         + "select case_index, episode, tsh, f_user::bigint as f_user, f_k::bigint as f_k, f_hour::bigint as f_hour, err, label from s",
     ),
-    "split_x_y": (split_x_y, with_ctes(S) + "select tsh, f_user, f_k, f_hour, label from s"),
+    "split_X_y": (split_x_y, with_ctes(S) + "select tsh, f_user, f_k, f_hour, label from s"),
     "drop_derived": (drop_derived, WCF + "select * from f"),
     "select_numeric": (select_numeric, with_ctes(T) + "select * exclude (status) from t"),
     "filter_metadata_regex": (
