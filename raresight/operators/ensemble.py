@@ -146,7 +146,7 @@ def vote_subsets(predictions: DataFrame, members: list[int], grid: list[float] |
     pos = _voted(normalised_cases(predictions.where("actual = 1"), members, top), n)
     cases = normalised_cases(predictions, members, top)
     cuts = pos.groupBy("subset").agg(F.min("vote").alias("lowest"), F.count(F.lit(1)).alias("all_pos"))
-    cuts = cuts.withColumn("threshold", best_threshold(F.col("lowest"), grid))
+    cuts = truncate_lineage(cuts.withColumn("threshold", best_threshold(F.col("lowest"), grid)))
     best_score = F.greatest(*[F.col(f"p{i}") for i in range(n)]) if n > 1 else F.col("p0")
     # 1e-9 keeps rows whose mean could round up to the grid start
     live = cases.where((F.col("actual") == 1) | (best_score >= grid[0] - 1e-9))

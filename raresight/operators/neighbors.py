@@ -5,10 +5,11 @@ Three physical shapes, all exact, chosen by measured size:
 * references fit in a broadcast: every task scores its queries against them;
 * queries fit in a broadcast: every task scores its references, keeps k per
   query, and the partial lists are merged by a top-k window;
-* neither fits: both sides are cut into Voronoi cells of sampled pivots, cells
-  into blocks of bounded size. A first pass over each query's own cell gives an
-  upper bound of its k-th distance; the second pass visits only the cells that
-  the triangle inequality cannot exclude.
+* neither fits: copies of one vector are folded into one row first, so a group
+  of copies of any size costs one search. Both sides are then cut into Voronoi
+  cells of sampled pivots, cells into blocks of bounded size. A first pass over
+  each query's own cell gives an upper bound of its k-th distance; the second
+  pass visits only the cells that the triangle inequality cannot exclude.
 
 Ties are broken by ``case_index``.
 """
@@ -121,7 +122,30 @@ def knn_join(
                     yield from _top_k(qid, qv, pdf["id"].to_numpy(dtype=np.int64), _matrix(pdf["v"]), k, exclude_self)
 
         return _merge(r.mapInPandas(against_queries, SCHEMA), k)
-    return _cell_join(q, r, k, nr, exclude_self, block_rows)
+    return _distinct_join(q, r, k, exclude_self, block_rows)
+
+
+def _distinct_join(q: DataFrame, r: DataFrame, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
+    """Search among distinct vectors, then give every row its neighbours.
+
+    A vector stands for its copies under their smallest id. The k nearest rows
+    lie within the k nearest vectors, as each vector holds a row; one more is
+    kept because the row itself may be among them.
+    """
+    kk = k + 1 if exclude_self else k
+    w = W.partitionBy("v").orderBy("id")
+    # the rank filter also runs before the shuffle: at most kk copies leave a task
+    heads = r.withColumn("n", F.row_number().over(w)).where(F.col("n") <= kk)
+    refs = truncate_lineage(heads.groupBy("v").agg(F.min("id").alias("id"), F.collect_list("id").alias("ids")))
+    asked = truncate_lineage(q.groupBy("v").agg(F.min("id").alias("id")))
+    found = _cell_join(asked, refs.select("id", "v"), kk, refs.count(), False, block_rows)
+    rows = found.join(refs.select(F.col("id").alias("neighbor"), "ids"), "neighbor").select(
+        F.col("query").alias("rep"), F.explode("ids").alias("neighbor"), "dist"
+    )
+    best = truncate_lineage(_merge(rows.withColumnRenamed("rep", "query"), kk).drop("rank").withColumnRenamed("query", "rep"))
+    owners = q.join(asked.select("v", F.col("id").alias("rep")), "v").select(F.col("id").alias("query"), "rep")
+    out = owners.join(best, "rep").select("query", "neighbor", "dist")
+    return _merge(out.where(F.col("query") != F.col("neighbor")) if exclude_self else out, k)
 
 
 def _cell_join(q: DataFrame, r: DataFrame, k: int, nr: int, exclude_self: bool, block_rows: int) -> DataFrame:

@@ -252,11 +252,14 @@ def gaussian(
 
 
 LARGE_K = 512
+MAX_K = 1_000_000  # the centres of any k-means fit live on the driver
 
 
 def centroids(df: DataFrame, k: int, seed: int = 0, max_iter: int = 20) -> DataFrame:
     """k-means centres of all rows; many centres are found by bisection, whose
     cost grows with log k instead of k."""
+    if k > MAX_K:
+        raise ValueError(f"{k} centres asked for, at most {MAX_K} can be fitted; give k or a larger ratio")
     vec = df.select(array_to_vector("features").alias("v"))
     algo = KMeans if k <= LARGE_K else BisectingKMeans
     model = algo(k=k, seed=seed, maxIter=max_iter, featuresCol="v").fit(vec)
