@@ -143,6 +143,11 @@ def lowess(ranked: DataFrame, value: str, frac: float = 0.1, iterations: int = 3
 
 def percentile_cut(df: DataFrame, by: list[str], score: str, p: float, floor: float = 0.5, **options) -> DataFrame:
     """Rows strictly above max(percentile p of their group, floor)."""
+    if not by:  # one scalar
+        top = exact_quantiles(df, [score], [p], **options).first()
+        value = top["value"] if top is not None else None
+        limit = floor if value is None else max(value, floor)
+        return df.where(F.col(score) > limit).withColumn("cut", F.lit(limit))
     cut = exact_quantiles(df, [score], [p], by=by, **options).select(*by, F.greatest(F.col("value"), F.lit(floor)).alias("__cut"))
     return df.join(cut, by).where(F.col(score) > F.col("__cut")).withColumnRenamed("__cut", "cut")
 

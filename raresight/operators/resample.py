@@ -284,15 +284,11 @@ def prototypes(df: DataFrame, predicted: str, ratio: float = 0.001, k: int | Non
 
     A driver loop over the folds; each fit is a distributed k-means.
     """
+    rejected = truncate_lineage(df.where(F.col(predicted) == 0).select("case_index", "features", fold))
+    sizes = {r[fold]: r["n"] for r in rejected.groupBy(fold).agg(F.count(F.lit(1)).alias("n")).collect()}
     out = None
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
-    for f in folds:
-        part = df.where((F.col(fold) == f) & (F.col(predicted) == 0))
-        n = part.count()
-        if not n:
-            continue
-        count = k or max(1, min(n, int(1 / ratio)))
-        made = centroids(part, min(count, n), seed).select(
+    for f, n in sorted(sizes.items()):
+        made = centroids(rejected.where(F.col(fold) == f), min(k or max(1, int(1 / ratio)), n), seed).select(
             (-F.col("i") - 1).alias("case_index"), F.lit(0).alias("label"), "features", F.lit(f).alias(fold)
         )
         out = made if out is None else out.unionByName(made)

@@ -16,7 +16,7 @@ from ..operators.curves import percentile_cut
 from ..operators.models import SPACES, make_model, ml_frame, scored
 from ..operators.resample import resample
 from ..session import truncate_lineage
-from ..sources.model_store import save_model
+from ..sources.model_store import StoredModels, save_model
 from ..sources.tables import append_extra_train, save_results
 
 
@@ -90,6 +90,48 @@ def layer_percentile(rows: DataFrame, layer: DataFrame, p: float, by: list[str])
     return percentile_cut(joined, by, "proba", p, 0.5)
 
 
+def layer_scores(layer, rows: DataFrame, fold: int) -> DataFrame:
+    """case_index, predicted, proba of a previous layer for one fold.
+
+    ``layer`` is a set of stored models, whose model of this fold scores both
+    sides, or a frame of predictions (with ``fold`` for the model's fold).
+    """
+    if isinstance(layer, StoredModels):
+        return scored(layer.models[fold], ml_frame(rows), ["case_index"])
+    own = layer.where(F.col("fold") == fold) if "fold" in layer.columns else layer
+    return own.select("case_index", *[c for c in ("predicted", "proba") if c in own.columns])
+
+
+def apply_layers(train: DataFrame, test: DataFrame, layers: list, fold: int, passthrough: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Shrink both sides by every layer in order: to the rows called positive,
+    or with ``passthrough`` to the scores strictly above
+    max(percentile, 0.5), each side with its own percentile."""
+    for layer in layers:
+        sides = []
+        for rows in (train, test):
+            s = layer_scores(layer, rows, fold)
+            if passthrough is None:
+                rows = rows.join(s.where("predicted = 1").select("case_index"), "case_index", "left_semi")
+            else:
+                joined = rows.join(s.select("case_index", F.col("proba").alias("__layer")), "case_index")
+                rows = percentile_cut(joined, [], "__layer", passthrough, 0.5).select(*rows.columns)
+            sides.append(truncate_lineage(rows))
+        train, test = sides
+    return train, test
+
+
+def prepare_train(
+    train: DataFrame, fold: int, resampler: str, ratio: float, seed: int, extra: DataFrame | None = None, skip_resample: bool = False
+) -> DataFrame:
+    """Extra rows, then resampling, then the vector frame; written once."""
+    rows = train.select("case_index", "label", "features")
+    if extra is not None:
+        rows = append_extra_train(rows, extra, fold).select("case_index", "label", "features")
+    if not skip_resample:
+        rows = resample(rows, resampler, ratio, seed).select("case_index", "label", "features")
+    return ml_frame(truncate_lineage(rows))
+
+
 def train_eval_fold(
     df: DataFrame,
     fold: int,
@@ -97,20 +139,17 @@ def train_eval_fold(
     resampler: str = "none",
     ratio: float = 0.02,
     params: dict | None = None,
-    layer: DataFrame | None = None,
+    layers: list = (),
+    passthrough: float | None = None,
     extra: DataFrame | None = None,
     seed: int = 0,
     search: dict | None = None,
+    skip_resample: bool = False,
 ):
-    """Layer filter -> split -> extra rows -> resample train -> fit -> score
-    the untouched test side. Returns (predictions, fitted model)."""
-    rows = df if layer is None else layer_hard(df, layer)
-    train, test = fold_ops.split(rows, fold)
-    train = train.select("case_index", "label", "features")
-    if extra is not None:
-        train = append_extra_train(train, extra, fold).select("case_index", "label", "features")
-    train = resample(train, resampler, ratio, seed).select("case_index", "label", "features")
-    train = ml_frame(truncate_lineage(train))
+    """Split -> layers -> extra rows -> resample train -> fit -> score the
+    untouched test side. Returns (predictions, fitted model)."""
+    train, test = apply_layers(*fold_ops.split(df, fold), list(layers), fold, passthrough)
+    train = prepare_train(train, fold, resampler, ratio, seed, extra, skip_resample)
     if search is not None:
         fitted, _, _ = tune(train, model, seed=seed, **search)
     else:
@@ -126,36 +165,46 @@ def run_grid(
     models: dict[str, dict],
     resamplers: dict[str, float],
     scorer_names: list[str],
-    folds: list[int],
     tag: str,
     run_ts: str,
     results_path: str,
     models_path: str,
-    cross_validator: str = "StratifiedKFold_5",
+    cross_validators: dict[str, str | None] | None = None,
+    folds: list[int] | None = None,
+    layers: list = (),
+    passthrough: float | None = None,
+    extra: DataFrame | None = None,
     parallelism: int = 2,
     seed: int = 0,
     search: dict | None = None,
 ) -> DataFrame:
-    """Every (resampler, fold, model, scorer) cell; results land in the
-    partitioned store, models in the model store. Returns the metrics.
-
-    The training rows of a (resampler, fold) are resampled once and shared by
-    all models and scorers. Cells are independent jobs submitted from a few
-    driver threads; Spark schedules their tasks.
+    """Every (cross validator, resampler, fold, model, scorer) cell; results
+    land in the partitioned store, models in the model store. Returns the
+    metrics.
+
+    ``cross_validators`` maps a name to its fold column (None: train and test
+    are all rows). The training rows of a (resampler, fold) are prepared once
+    and shared by all models and scorers. Cells are independent jobs submitted
+    from a few driver threads; Spark schedules their tasks.
     """
     spark = df.sparkSession
     cells = []
-    for resampler, ratio in resamplers.items():
-        for fold in folds:
-            train, test = fold_ops.split(df, fold)
-            train = resample(train.select("case_index", "label", "features"), resampler, ratio, seed)
-            train = ml_frame(truncate_lineage(train.select("case_index", "label", "features")))
+    for cv, column in (cross_validators or {"StratifiedKFold_5": "fold"}).items():
+        rows = df if column is None else df.withColumn("fold", F.col(column))
+        if column is None:
+            ids = [0]
+        else:  # one row per fold
+            ids = folds if folds is not None else sorted(r[0] for r in rows.select("fold").distinct().collect())
+        for fold in ids:
+            sides = (rows, rows) if column is None else fold_ops.split(rows, fold)
+            train, test = apply_layers(*sides, list(layers), fold, passthrough)
             test = ml_frame(test)
-            for name, params in models.items():
-                cells.append((resampler, fold, train, test, name, params))
+            for resampler, ratio in resamplers.items():
+                ready = prepare_train(train, fold, resampler, ratio, seed, extra)
+                cells += [(cv, resampler, fold, ready, test, name, params) for name, params in models.items()]
 
     def run(cell) -> None:
-        resampler, fold, train, test, name, params = cell
+        cv, resampler, fold, train, test, name, params = cell
         # without a search the scorer is only recorded: one fit serves all
         groups = [[s] for s in scorer_names] if search is not None else [scorer_names]
         for group in groups:
@@ -163,7 +212,7 @@ def run_grid(
                 fitted, _, _ = tune(train, name, group[0], seed=seed, **search)
             else:
                 fitted = make_model(name, seed, **params).fit(train)
-            key = {"cross_validator": cross_validator, "resampler": resampler, "model": name, "tag": tag}
+            key = {"cross_validator": cv, "resampler": resampler, "model": name, "tag": tag}
             preds = scored(fitted, test).select(
                 "case_index",
                 F.col("label").alias("actual"),

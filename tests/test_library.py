@@ -259,3 +259,25 @@ def test_class_without_misses_join_fails_loudly(spark):
     right = spark.createDataFrame([(1, "a")], "k int, v string")
     with pytest.raises(Exception, match="no match"):
         checked_inner(left, right, "k").collect()
+
+
+def test_layers_shrink_both_sides(spark, sf):
+    df = screening(spark, sf).select("case_index", "label", "fold", F.array(*FEATURES).alias("features"))
+    layer = df.select(
+        "case_index", (F.col("features")[0] >= 20).cast("int").alias("predicted"), (F.col("features")[0] / 300).alias("proba")
+    )
+    train, test = experiment.apply_layers(df.where("fold <> 1"), df.where("fold = 1"), [layer], 1)
+    assert train.where(F.col("features")[0] < 20).count() == 0 and test.where(F.col("features")[0] < 20).count() == 0
+    assert test.count() == df.where("fold = 1").where(F.col("features")[0] >= 20).count()
+    high, _ = experiment.apply_layers(df.where("fold <> 1"), df.where("fold = 1"), [layer], 1, passthrough=0.9)
+    v = df.where("fold <> 1").select((F.col("features")[0] / 300).alias("p")).toPandas().p
+    assert high.count() == int((v > max(np.percentile(v, 90), 0.5)).sum())
+
+
+def test_grid_without_folds_scores_every_row(spark, sf):
+    df = screening(spark, sf).select("case_index", "label", F.array(*FEATURES).alias("features"))
+    m = experiment.run_grid(
+        df, {"DecisionTree": dict(maxDepth=2)}, {"none": 0.1}, ["accuracy"], "t", "2024-01-01_00-00-00",
+        scratch_path(spark, "g"), scratch_path(spark, "gm"), cross_validators={"none": None},
+    ).toPandas()
+    assert m.total_predictions.tolist() == [df.count()]

@@ -455,5 +455,10 @@ QUERIES = {
  select 'l_returnflag' as a, 'l_linestatus' as b, round(sqrt(sum((n-nx*ny/t)*(n-nx*ny/t)/(nx*ny/t))/any_value(t)/(least(count(distinct x),count(distinct y))-1)),7) as cramers_v,
  round(sum(n/t*ln(n*t/(nx*ny)))/(select hx from h),7) as uncertainty from e""",
     ),
-    "row_preserve_check": (row_preserve_check, None),
+    "row_preserve_check": (
+        row_preserve_check,
+        SP
+        + """, c as (select combination_id, count(distinct fold) as f, count(*) as r, count(distinct case_index) as k from p group by 1)
+ select 'five folds' as "check", bool_and(f=5) as passed from c union all select 'one row per case', bool_and(r=k) from c union all select 'same size', min(r)=max(r) from c""",
+    ),
 }

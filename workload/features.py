@@ -50,7 +50,8 @@ def standard_scale(spark, sf):
 def assemble_matrix(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
-    return fe.assemble(screening(spark, sf), FEATURES).select("case_index", F.array_join(vector_to_array("features"), ",").alias("features"))
+    v = fe.assemble(screening(spark, sf), FEATURES).select("case_index", vector_to_array("features").alias("v"))
+    return v.select("case_index", F.size("v").alias("width"), *[F.col("v")[i].alias(f"x{i}") for i in range(len(FEATURES))])
 
 
 def _folds(spark, sf):
@@ -194,7 +195,10 @@ QUERIES = {
         + ", ".join(f"avg({f}) as m_{f}, stddev_pop({f}) as s_{f}" for f in FEATURES)
         + " from s)",
     ),
-    "assemble_matrix": (assemble_matrix, None),
+    "assemble_matrix": (
+        assemble_matrix,
+        with_ctes(S) + "select case_index, 4::int as width, " + ", ".join(f"{f} as x{i}" for i, f in enumerate(FEATURES)) + " from s",
+    ),
     "fold_stratified": (fold_stratified, with_ctes(S) + _strat_sql("case_index")),
     "fold_stratified_shuffled": (
         fold_stratified_shuffled,

@@ -76,20 +76,20 @@ def experiment_grid(spark, sf):
         {"DecisionTree": dict(maxDepth=4), "LinearSVC": dict(maxIter=10)},
         {"none": 0.02, "RandomUnderSampler": 0.05},
         ["recall_score", "fp_fn"],
-        [0, 1],
         "original_data",
         "2024-03-02_09-30-00",
         scratch_path(spark, "grid"),
         scratch_path(spark, "gridmodels"),
+        folds=[0, 1],
     )
 
 
 def train_eval_fold(spark, sf):
     """With a first layer (threshold), extra rows and resampling."""
     data = rows(spark, sf)
-    layer = data.select("case_index", "fold", (F.col("features")[0] >= 20).cast("int").alias("predicted"))
+    layer = data.select("case_index", (F.col("features")[0] >= 20).cast("int").alias("predicted"))
     extra = data.where("label = 1").withColumn("case_index", -F.col("case_index") - 1)
-    return experiment.train_eval_fold(data, 2, "RandomForest", "RandomUnderSampler", 0.1, _FOREST, layer, extra)[0]
+    return experiment.train_eval_fold(data, 2, "RandomForest", "RandomUnderSampler", 0.1, _FOREST, [layer], extra=extra)[0]
 
 
 def hyperparameter_search(spark, sf):
@@ -129,14 +129,21 @@ def layered_filter_percentile(spark, sf):
 
 
 def layered_two_stage(spark, sf):
-    """First layer -> prototypes of what it discards -> second layer."""
-    data = truncate_lineage(rows(spark, sf))
-    first, _ = experiment.train_eval_fold(data.withColumn("fold", F.pmod("fold", F.lit(2))), 0, "DecisionTree(balanced)", params=dict(maxDepth=4))
-    both = data.withColumn("fold", F.pmod("fold", F.lit(2))).join(first.select("case_index", "predicted"), "case_index", "left").fillna(1, ["predicted"])
-    protos = resample.prototypes(truncate_lineage(both), "predicted", k=8)
-    layer = both.select("case_index", "fold", "predicted")
-    second, _ = experiment.train_eval_fold(both.select("case_index", "label", "fold", "features"), 0, "RandomForest", params=_FOREST, layer=layer, extra=protos)
-    return second
+    """First layer per fold -> prototypes of what it discards -> second layer
+    on what it passes, trained with the prototypes."""
+    data = truncate_lineage(rows(spark, sf).withColumn("fold", F.pmod("fold", F.lit(2))))
+    root, key = scratch_path(spark, "layer"), {"combination_id": 1, "tag": "all_features"}
+    for fold in (0, 1):
+        _, fitted = experiment.train_eval_fold(data, fold, "DecisionTree(balanced)", params=dict(maxDepth=4))
+        model_store.save_model(spark, fitted, root, key, fold)
+    layer = model_store.StoredModels(spark, root, key, [0, 1])
+    own = layer.score(models.ml_frame(data)).select("case_index", "predicted")
+    protos = resample.prototypes(data.join(own, "case_index"), "predicted", k=8)
+    out = None
+    for fold in (0, 1):
+        preds, _ = experiment.train_eval_fold(data, fold, "RandomForest", params=_FOREST, layers=[layer], extra=protos)
+        out = preds if out is None else out.unionByName(preds)
+    return out
 
 
 def threshold_baseline_run(spark, sf):

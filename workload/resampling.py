@@ -149,6 +149,10 @@ QUERIES = {
         q(rs.gaussian, _rows, feature_ratio=0.5, noise_level=0.01, new_points_ratio=2.0, seed=3),
         _SRC + _ORIG + " union all " + _gauss_sql(),
     ),
-    "resample_cluster_centroids": (cluster_centroids, None),
+    # keys, labels and width; the centres themselves are not SQL
+    "resample_cluster_centroids": (
+        cluster_centroids,
+        _SRC + "select case_index, label, 4::int as d from r where label=1 union all select (-i-1)::bigint, 0::int, 4::int from (select unnest(range(8)) as i)",
+    ),
     "prototype_points": (prototype_points, None),
 }
