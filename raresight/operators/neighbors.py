@@ -17,15 +17,20 @@ Ties are broken by ``case_index``.
 from __future__ import annotations
 
 import math
+import sys
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.numeric import uniform
 from ..session import truncate_lineage
 
+# the block functions travel with the job, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 20_000
 SCHEMA = "query bigint, neighbor bigint, dist double"
