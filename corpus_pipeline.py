@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from raresight.llm import line_dedup, mixing, packing, simhash, toxicity
-from raresight.llm.common import cut, table
+from raresight.llm.common import cut, own, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later near-duplicate lines go, and with them documents of which no word is left."""
     found = line_dedup.dedup(docs).where(~F.col("emptied"))
     length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return found.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*own(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, a row per copy."""
-    return mixing.repeat(mixing.mix(docs)).select(*docs.columns)
+    return mixing.repeat(mixing.mix(docs)).select(*own(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,11 @@ def worker_state(key: str, make: Callable):
     return getattr(store, key)
 
 
+def own(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` whatever their names hold."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from raresight.llm.common import carried, cut
+from raresight.llm.common import carried, cut, own
 
 #: Similarity as a fraction: 4 / 5.
 NUM, DEN = 4, 5
@@ -388,7 +388,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     words = F.length(F.translate(F.col("__text"), " \t\n\x0b\x0c\r", "")) > 0
     count = F.when(F.col(text).isNotNull(), F.length(F.regexp_replace(F.col(text), "[^\n]", "")) + 1).otherwise(0)
     return out.select(
-        *[F.when(hit, F.col("__text")).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns],
+        *[F.when(hit, F.col("__text")).otherwise(F.col(text)).alias(text) if name == text else c for name, c in zip(docs.columns, own(docs))],
         count.cast("long").alias("n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
         (hit & ~F.coalesce(words, F.lit(False))).alias("emptied"),

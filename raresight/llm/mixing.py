@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from raresight.llm.common import cut, range_rank, word_count
+from raresight.llm.common import cut, own, range_rank, word_count
 
 MAX_EPOCHS = 3
 WEIGHTS = (5, 2, 1)
@@ -87,13 +87,14 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     sized = docs.withColumns({"size": word_count(F.col(text)), "__h": sampling_hash(F.col(key), seed)})
     rows = cut(sized.select(F.col(source).alias("source"), "size", F.col("__h").alias("h")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = thresholds(rows, water_fill(sizes, weights, max_epochs)).withColumnRenamed("source", "__s")
+    plan = thresholds(rows, water_fill(sizes, weights, max_epochs))
+    plan = plan.select(F.col("source").alias("__s"), F.struct("source_size", "target", "whole", "below").alias("__plan"))
     plan = cut(plan.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     salted = sized.withColumn("__salt", (F.col("__h") % SALTS).cast("int"))
     joined = salted.join(plan, salted[source].eqNullSafe(plan["__s"]) & (F.col("__salt") == F.col("__salt2")))
-    extra = (F.col("__h") < F.col("below")).cast("int")
-    copies = F.least(F.col("whole").cast("int") + extra, F.lit(max_epochs))
-    return joined.select(*docs.columns, "size", "source_size", "target", copies.alias("copies"))
+    extra = (F.col("__h") < F.col("__plan.below")).cast("int")
+    copies = F.least(F.col("__plan.whole").cast("int") + extra, F.lit(max_epochs))
+    return joined.select(*own(docs), "size", "__plan.source_size", "__plan.target", copies.alias("copies"))
 
 
 def repeat(mixed: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from raresight.llm.common import carried, cut
+from raresight.llm.common import carried, cut, own
 from raresight.llm.graph import components
 
 BITS = 64
@@ -118,7 +118,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     keep = groups.groupBy("component").agg(F.min(F.struct(key, "fp")).alias("__k")).select(F.col(f"__k.{key}").alias("__key"), F.col("__k.fp").alias("__fp"))
     marked = docs.withColumn("__fp1", fingerprint(F.col(text), shingle))
     kept = marked.join(keep, marked[key].eqNullSafe(keep["__key"]) & (marked["__fp1"] == keep["__fp"]), "left_semi")
-    return kept.dropDuplicates([key, "__fp1"]).select(*docs.columns)
+    return kept.dropDuplicates([key, "__fp1"]).select(*own(docs))
 
 
 def hex_print(fp: Column) -> Column:

@@ -45,7 +45,7 @@ def accumulate(q_ids, q_len, q_terms, q_weights, c_ids, c_len, c_terms, c_weight
     ids, n = c_ids[order], len(c_ids)
     # a sum that could leave 64 bits is made with Python's integers and held at the limits
     most = lambda x: max((abs(int(v)) for v in (x.min(), x.max())), default=0) if len(x) else 0
-    wide = most(q_weights) * most(c_weights) * max(1, min(q_len.max(initial=0), c_len.max(initial=0))) >= 2**62
+    wide = most(q_weights) * most(c_weights) * max(1, min(int(q_len.max(initial=0)), int(c_len.max(initial=0)))) >= 2**62
     kind = object if wide else np.int64
     postings = {}
     for term, lo, hi in zip(terms.tolist(), starts, [*starts[1:], len(by_term)]):

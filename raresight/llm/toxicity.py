@@ -77,8 +77,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """
     marked = labels.where(F.col(key).isNotNull() & F.col(toxic).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max(toxic).alias("toxic"))
     bounded = marked.orderBy(F.xxhash64("__k", F.lit(seed)), "__k").limit(MAX_ROWS)
-    chosen = docs.join(F.broadcast(bounded), docs[key] == F.col("__k")).where(F.col(text).isNotNull())
-    rows = chosen.groupBy(F.md5(F.col(text).cast("binary"))).agg(F.max("toxic").alias("toxic"), F.first(text).alias("text")).select("toxic", "text").cache()
+    texts = docs.select(F.col(key).alias("__k"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    chosen = texts.join(F.broadcast(bounded), "__k")
+    rows = chosen.groupBy(F.md5(F.col("text").cast("binary"))).agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text").cache()
     sizes = {t: n for t, n in rows.groupBy((F.col("toxic") > 0).alias("t")).count().collect()}
     if not sizes.get(True) or not sizes.get(False):
         rows.unpersist()
