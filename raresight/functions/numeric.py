@@ -58,9 +58,10 @@ def isclose(a, b, rel: float = 1e-9, absolute: float = 1e-12) -> Column:
 
 def uniform(*parts) -> Column:
     """Counter-based uniform in [0, 1): depends on its key only, so it is the
-    same for any partitioning, retry or engine. Strings are literals."""
+    same for any partitioning, retry or engine. 52 bits, so that every rank of
+    a table up to 4e15 rows can be drawn. Strings are literals."""
     text = F.concat_ws("|", *[_c(p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(4503599627370496.0)
 
 
 def normal(*parts) -> Column:

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import safe_divide
 from ..session import truncate_lineage
-from .ordering import with_rank
+from .ordering import bounded_broadcast, with_rank
 
-MAX_MEMBERS = 16
+#: Every subset of n members is reported, 2^n - 1 of them; callers that want more say so with ``most`` (30 fit the mask).
+MOST_MEMBERS = 16
 
 
 def vote_grid(start: float = 0.49, step: float = 0.01, stop: float = 2.0) -> list[float]:
@@ -30,9 +31,9 @@ def complete_combinations(predictions: DataFrame, total: int | None = None, key:
     )
 
 
-def _check(members: list[int]) -> list[int]:
-    if not 0 < len(members) <= MAX_MEMBERS:
-        raise ValueError(f"between 1 and {MAX_MEMBERS} combinations can be combined")
+def _check(members: list[int], most: int = 30) -> list[int]:
+    if not 0 < len(members) <= min(most, 30):
+        raise ValueError(f"{len(members)} combinations have 2^{len(members)} - 1 subsets; up to {min(most, 30)} are combined, see most")
     return sorted(members)
 
 
@@ -59,14 +60,14 @@ def per_case(predictions: DataFrame, members: list[int]) -> DataFrame:
     return cells.select("case_index", "actual", mask.cast("int").alias("mask"), *[f"p{i}" for i in range(len(members))])
 
 
-def and_subsets(predictions: DataFrame, members: list[int]) -> DataFrame:
+def and_subsets(predictions: DataFrame, members: list[int], most: int = MOST_MEMBERS) -> DataFrame:
     """Unanimous vote of each non-empty subset: tp, fp, fn, ppv, fnr.
 
     Cases collapse to (mask, label) counts, at most 2^(n+1) rows; a subset is
     positive where it is contained in the mask, so each mask feeds its own
     subsets.
     """
-    members = _check(members)
+    members = _check(members, most)
     n = len(members)
     counts = truncate_lineage(per_case(predictions, members).groupBy("mask", "actual").agg(F.count(F.lit(1)).alias("n")))
     all_pos = counts.where("actual = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
@@ -130,7 +131,7 @@ def normalised_cases(predictions: DataFrame, members: list[int], top: dict[int,
     )
 
 
-def vote_subsets(predictions: DataFrame, members: list[int], grid: list[float] | None = None) -> DataFrame:
+def vote_subsets(predictions: DataFrame, members: list[int], grid: list[float] | None = None, most: int = MOST_MEMBERS) -> DataFrame:
     """Mean-score vote of each subset at its best threshold.
 
     Pass 1 takes the lowest vote of the positives per subset (positives only).
@@ -138,22 +139,24 @@ def vote_subsets(predictions: DataFrame, members: list[int], grid: list[float] |
     is under the grid start can be positive for no subset and is filtered
     before it is expanded.
     """
-    members = _check(members)
+    members = _check(members, most)
     n = len(members)
     grid = grid or vote_grid()
     top = top_scores(predictions, members)
     # the label belongs to the case, so positives are cut before the shuffle
     pos = _voted(normalised_cases(predictions.where("actual = 1"), members, top), n)
     cases = normalised_cases(predictions, members, top)
-    cuts = pos.groupBy("subset").agg(F.min("vote").alias("lowest"), F.count(F.lit(1)).alias("all_pos"))
+    lows = pos.groupBy("subset").agg(F.min("vote").alias("lowest"), F.count(F.lit(1)).alias("all_pos"))
+    # every subset has its row, also where no case is positive
+    every = predictions.sparkSession.range(1, 1 << n).select(F.col("id").cast("int").alias("subset"))
+    cuts = every.join(lows, "subset", "left").fillna(0, ["all_pos"])
     cuts = truncate_lineage(cuts.withColumn("threshold", best_threshold(F.col("lowest"), grid)))
     best_score = F.greatest(*[F.col(f"p{i}") for i in range(n)]) if n > 1 else F.col("p0")
     # 1e-9 keeps rows whose mean could round up to the grid start
     live = cases.where((F.col("actual") == 1) | (best_score >= grid[0] - 1e-9))
     rows = _voted(live, n).where(F.col("vote") >= grid[0])
-    # thresholds: one row per subset, at most 2^16 - 1
     counted = (
-        rows.join(F.broadcast(cuts.select("subset", "threshold")), "subset")
+        rows.join(bounded_broadcast(cuts.select("subset", "threshold"), 1 << n), "subset")
         .where(F.col("vote") >= F.col("threshold"))
         .groupBy("subset")
         .agg(F.count_if(F.col("actual") == 1).alias("tp"), F.count_if(F.col("actual") == 0).alias("fp"))
@@ -189,6 +192,11 @@ def best_rows_by_size(subsets: DataFrame) -> DataFrame:
     return subsets.groupBy("model_count").agg(pick).select("model_count", "r.*")
 
 
+def _in_order(votes: str) -> Column:
+    """Scores added up in member order, so that a rank never depends on partitions."""
+    return F.aggregate(votes, F.lit(0.0), lambda total, v: total + v["proba"])
+
+
 def agreement(predictions: DataFrame, exclude: list[int] = (), truth: int | None = None) -> DataFrame:
     """Positive predictions as long rows with the case's total agreement.
 
@@ -200,10 +208,9 @@ def agreement(predictions: DataFrame, exclude: list[int] = (), truth: int | None
     # a case has at most one entry per combination, so its list is short
     cases = truncate_lineage(
         kept.groupBy("case_index").agg(
-            F.sum("proba").alias("total"),
             F.max(right.cast("int")).alias("true_positive"),
-            F.collect_list(F.struct("combination_id", "proba")).alias("votes"),
-        )
+            F.array_sort(F.collect_list(F.struct("combination_id", "proba"))).alias("votes"),
+        ).withColumn("total", _in_order("votes"))
     )
     top = cases.agg(F.max("total")).scalar()
     return cases.select("case_index", "true_positive", "total", F.explode("votes").alias("v")).select(
@@ -217,7 +224,8 @@ def agreement(predictions: DataFrame, exclude: list[int] = (), truth: int | None
 
 def order_cases(predictions: DataFrame, **options) -> DataFrame:
     """Cases by total score of their positive predictions, exact ranks."""
-    totals = predictions.where("predicted = 1").groupBy("case_index").agg(F.sum("proba").alias("total"))
+    votes = F.array_sort(F.collect_list(F.struct("combination_id", "proba"))).alias("votes")
+    totals = predictions.where("predicted = 1").groupBy("case_index").agg(votes).select("case_index", _in_order("votes").alias("total"))
     return with_rank(totals, "total", "case_index", descending=True, **options)
 
 

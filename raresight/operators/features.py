@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from ..functions.numeric import fdiv, finite32, nan_to_null, reciprocal_or_zero
 from .ordering import exact_quantiles
 
-ARRAY_FROM = 1000  # beyond this many output columns ratios stay in one array
-
 
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")

@@ -16,7 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 1 << 16  # 6.5e10 rows; beyond them a bucket's sort grows and spills
 BROADCAST_ROWS = 200_000
 
 
@@ -63,7 +63,8 @@ def with_range_buckets(df: DataFrame, cols: list[str], n_buckets: int, suffix: s
         splitsArray=[_splits(q) if q and len(_splits(q)) > 2 else [-math.inf, 0.0, math.inf] for q in found],
         handleInvalid="keep",
     ).transform(out)
-    return out.drop(*tmp).withColumns({c + suffix: F.col(c + suffix).cast("int") for c in cols})
+    # nulls sort before every value and get a bucket below all
+    return out.drop(*tmp).withColumns({c + suffix: F.coalesce(F.col(c + suffix).cast("int"), F.lit(-1)) for c in cols})
 
 
 def _composite_bucket(df: DataFrame, value: str, key: str | None, n: int, rows_per_bucket) -> DataFrame:
@@ -246,17 +247,23 @@ def exact_quantiles(
         return F.max(F.when((r >= F.col("cstart")) & (r < F.col("cend")), F.col("v")))
 
     return (
-        hit.groupBy(*by, "name", "p", "pos", "lo")
+        hit.groupBy(*by, "name", "p", "pos", "lo", "hi")
         .agg(at("lo").alias("vlo"), at("hi").alias("vhi"))
         .select(
             *by,
             "name",
             "p",
-            (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * (F.col("pos") - F.col("lo"))).alias("value"),
+            _between(),
         )
     )
 
 
+def _between() -> Column:
+    """The value at ``pos`` between two order statistics, rounded as ``percentile`` rounds it."""
+    mixed = (F.col("hi") - F.col("pos")) * F.col("vlo") + (F.col("pos") - F.col("lo")) * F.col("vhi")
+    return F.when((F.col("lo") == F.col("hi")) | (F.col("vlo") == F.col("vhi")), F.col("vlo")).otherwise(mixed).alias("value")
+
+
 def running_totals(
     df: DataFrame,
     order: str,

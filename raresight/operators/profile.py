@@ -183,21 +183,24 @@ def profile_table(df: DataFrame, cols: list[str], by: list[str] | tuple = ()) ->
 
 
 def profile_target(df: DataFrame, cols: list[str], target: str, bins: int = 10) -> DataFrame:
-    """Target mean and count per equal-width bin of each feature, one pass."""
-    ranges = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(cols) for k, f in (("lo", F.min), ("hi", F.max))]).first()
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("name"),
-                equal_width_bin(F.col(c).cast("double"), F.lit(float(ranges[f"lo{i}"])), F.lit(float(ranges[f"hi{i}"])), bins).alias("bin"),
-            )
-            for i, c in enumerate(cols)
-        ]
-    )
+    """Target mean and count per equal-width bin of each numeric feature, or per
+    value of any other, one pass. A column without a value has no row."""
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    binned = [c for c in cols if c in numeric]
+    known = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in binned}
+    ranges = df.agg(F.count(F.lit(1)), *[f(known[c]).alias(f"{k}{i}") for i, c in enumerate(binned) for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    has = [(i, c) for i, c in enumerate(binned) if ranges[f"lo{i}"] is not None]
+    none = F.lit(None).cast("string").alias("value")
+    cells = [
+        F.struct(F.lit(c).alias("name"), equal_width_bin(known[c], F.lit(ranges[f"lo{i}"]), F.lit(ranges[f"hi{i}"]), bins).alias("bin"), none)
+        for i, c in has
+    ]
+    cells += [F.struct(F.lit(c).alias("name"), F.lit(None).cast("int").alias("bin"), F.col(c).cast("string").alias("value")) for c in cols if c not in numeric]
+    empty = F.array().cast("array<struct<name:string,bin:int,value:string>>")
     return (
-        df.select(target, F.explode(cells).alias("s"))
-        .where(F.col("s.bin").isNotNull())
-        .groupBy("s.name", "s.bin")
+        df.select(target, F.explode(F.array(*cells) if cells else empty).alias("s"))
+        .where(F.col("s.bin").isNotNull() | F.col("s.value").isNotNull())
+        .groupBy("s.name", "s.bin", "s.value")
         .agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("target_mean"))
     )
 

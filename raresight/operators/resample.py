@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.numeric import normal, uniform
 from ..session import truncate_lineage
 from .neighbors import knn_join
-from .ordering import keep_smallest, with_rank
+from .ordering import keep_smallest, running_totals, with_rank
 
 COLUMNS = ["case_index", "label", "features", "source"]
 
@@ -144,9 +144,9 @@ def adasyn(df: DataFrame, ratio: float, seed: int = 0, k: int = 5, **knn) -> Dat
     minority = df.where(F.col("label") == c.minority)
     neighbors = truncate_lineage(knn_join(minority, minority, kk, **knn))
     a, d = F.col("case_index").alias("a"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("d")
-    # one counter over (row, draw) keeps new keys unique
-    numbered = with_rank(per_row.select("case_index", "g"), "case_index", name="r").select("r", a, d)
-    seeds = numbered.select((F.col("r") * need + F.col("d")).alias("i"), "a").withColumn("j", _pick("nb", seed, kk) + 1)
+    # the draws before a row number its own, so new keys are unique and dense
+    numbered = running_totals(per_row.select("case_index", "g"), "case_index", ["g"], descending=False).select((F.col("cum_g") - F.col("g")).alias("r"), a, d)
+    seeds = numbered.select((F.col("r") + F.col("d")).alias("i"), "a").withColumn("j", _pick("nb", seed, kk) + 1)
     return _originals(df).unionByName(_interpolate(seeds, neighbors, minority, seed, c.minority))
 
 
@@ -251,29 +251,27 @@ def gaussian(
     return _originals(kept).unionByName(new)
 
 
-LARGE_K = 512
-MAX_K = 1_000_000  # the centres of any k-means fit live on the driver
+def centroids(df: DataFrame, k: int, seed: int = 0, max_iter: int = 20, bisecting: bool = False) -> DataFrame:
+    """k-means centres of all rows, one algorithm for every k.
 
-
-def centroids(df: DataFrame, k: int, seed: int = 0, max_iter: int = 20) -> DataFrame:
-    """k-means centres of all rows; many centres are found by bisection, whose
-    cost grows with log k instead of k."""
-    if k > MAX_K:
-        raise ValueError(f"{k} centres asked for, at most {MAX_K} can be fitted; give k or a larger ratio")
+    ``bisecting`` asks for bisecting k-means, whose cost grows with log k instead
+    of k and whose centres differ. Spark ML holds the k centres of either on the
+    driver while it fits.
+    """
     vec = df.select(array_to_vector("features").alias("v"))
-    algo = KMeans if k <= LARGE_K else BisectingKMeans
+    algo = BisectingKMeans if bisecting else KMeans
     model = algo(k=k, seed=seed, maxIter=max_iter, featuresCol="v").fit(vec)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(model.clusterCenters())]
     return df.sparkSession.createDataFrame(rows, "i bigint, features array<double>")
 
 
-def cluster_centroids(df: DataFrame, ratio: float, k: int | str = "target", seed: int = 0, **_) -> DataFrame:
+def cluster_centroids(df: DataFrame, ratio: float, k: int | str = "target", seed: int = 0, bisecting: bool = False, **_) -> DataFrame:
     """Majority replaced by centroids, minority kept. ``k="target"`` takes
     the wanted majority count, a number takes that many."""
     c = classes(df)
     count = min(c.n_maj, max(1, int(c.n_min / ratio))) if k == "target" else int(k)
     majority = df.where(F.col("label") != c.minority)
-    made = centroids(majority, count, seed).select(
+    made = centroids(majority, count, seed, bisecting=bisecting).select(
         (-F.col("i") - 1).alias("case_index"), F.lit(1 - c.minority).alias("label"), "features", F.lit(None).cast("bigint").alias("source")
     )
     return _originals(df.where(F.col("label") == c.minority)).unionByName(made)

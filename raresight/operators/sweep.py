@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def cutoff_grid(start: float = 10.0, stop: float = 25.0, step: float = 0.1) -> list[float]:
-    """Cutoffs kept at three decimals, so no drift is added up."""
-    out, x = [], start
-    while x <= stop:
-        x = float(f"{round(x, 3):.3f}")
-        out.append(x)
-        x += step
-    return out
+def cutoff_grid(start: float = 10.0, count: int = 151, per_unit: int = 10) -> list[float]:
+    """``count`` evenly spaced cutoffs, ``per_unit`` of them to the unit, each the nearest double."""
+    first = round(start * per_unit)
+    return [(first + i) / per_unit for i in range(count)]
 
 
 CUTOFFS = cutoff_grid()

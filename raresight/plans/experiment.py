@@ -64,7 +64,7 @@ def tune(train: DataFrame, model: str, scorer: str, draws: int = 10, inner_folds
         raise ValueError(f"{model} has no search space")
     learner = make_model(model, seed)
     maps = [{learner.getParam(k): v for k, v in s.items()} for s in settings]
-    inner = fold_ops.stratified_fast(train, k=inner_folds, seed=seed + 1, name="inner")
+    inner = truncate_lineage(fold_ops.stratified(train, k=inner_folds, seed=seed + 1, name="inner"))
     cv = CrossValidator(
         estimator=learner,
         estimatorParamMaps=maps,

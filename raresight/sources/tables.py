@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -79,7 +78,10 @@ def save_results(df: DataFrame, path: str) -> None:
 def scan_results(spark: SparkSession, path: str, **patterns: str) -> DataFrame:
     """Stored result rows with their key columns; regexes on the key prune
     folders before any file is opened."""
-    df = spark.read.parquet(path)
+    inferred = spark.read.parquet(path).schema
+    # a tag such as 007 stays text: only the fold is a number
+    fields = [T.StructField(f.name, T.StringType() if f.name in RESULT_KEY and f.name != "fold" else f.dataType) for f in inferred]
+    df = spark.read.schema(T.StructType(fields)).parquet(path)
     for name, pattern in patterns.items():
         df = df.where(prefix_match(F.col(name), pattern))
     return df
@@ -88,18 +90,14 @@ def scan_results(spark: SparkSession, path: str, **patterns: str) -> DataFrame:
 def scan_latest_results(spark: SparkSession, path: str, **patterns: str) -> DataFrame:
     """Only the newest run folder per tag.
 
-    The runs are read off the folder names in the file listing, so no row is
-    touched to find them, and the choice is a filter over partition columns
-    alone: old runs are pruned while planning.
+    The runs are found by an aggregate over partition columns, which reads no
+    column of a file, and the choice is a filter over them alone: old runs are
+    pruned while planning.
     """
     df = scan_results(spark, path, **patterns)
     key = ["cross_validator", "resampler", "model", "scorer", "tag"]
-    newest: dict[tuple, str] = {}
-    for file in df.inputFiles():
-        parts = dict(unquote(p).split("=", 1) for p in file.split("/") if "=" in p)
-        k = tuple(parts[c] for c in key)
-        # the run name is a zero-padded date and time: text order is time order
-        newest[k] = max(newest.get(k, ""), parts["run_ts"])
+    # one row per cell of the grid; the run name is a zero-padded date and time: text order is time order
+    newest = {tuple(r[c] for c in key): r["run"] for r in df.groupBy(*key).agg(F.max("run_ts").alias("run")).collect()}
     chosen = ["|".join([*k, run]) for k, run in newest.items()]
     return df.where(F.concat_ws("|", *key, "run_ts").isin(chosen))
 

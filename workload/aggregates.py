@@ -91,10 +91,10 @@ def metric_heatmap_pivot(spark, sf):
 
 
 def _misses(spark, sf):
-    """Misses of combinations that have between one and six per fold."""
-    p = predictions(spark, sf).where("actual = 1 and predicted = 0")
-    few = p.groupBy("combination_id", "fold").agg(F.count(F.lit(1)).alias("n")).where("n between 1 and 6")
-    return p.join(few, ["combination_id", "fold"], "left_semi").select("case_index", "combination_id", "fold")
+    """Misses of the combinations of a tag that have between one and six over all folds; cases are dealt to three tags."""
+    p = predictions(spark, sf).where("actual = 1 and predicted = 0").withColumn("tag", F.concat(F.lit("tag"), F.col("case_index") % 3))
+    few = p.groupBy("tag", "combination_id").agg(F.count(F.lit(1)).alias("n")).where("n between 1 and 6")
+    return p.join(few, ["tag", "combination_id"], "left_semi").select("case_index", "tag", "combination_id", "fold")
 
 
 def fn_per_combination(spark, sf):
@@ -163,7 +163,7 @@ def histogram_weighted(spark, sf):
 
 
 def kde_density(spark, sf):
-    out = profile.kde(predictions(spark, sf), "proba", "combination_id", grid=50, bins=256)
+    out = profile.kde(predictions(spark, sf), "proba", "combination_id")
     return out.select("combination_id", "step", F.round("at", 9).alias("point"), F.round("density", 7).alias("density"))
 
 
@@ -180,7 +180,8 @@ def max_by_model_count(spark, sf):
 def importance_mean(spark, sf):
     from .learning import forest_importances
 
-    return explain_tables.mean_importance(forest_importances(spark, sf), 2)
+    means = explain_tables.mean_importance(forest_importances(spark, sf), 5)
+    return means.groupBy("combination_id").agg(F.count_distinct("feature").alias("features"), F.count_if(~F.col("importance").between(0.0, 1.0)).alias("outside"))
 
 
 def impact_tail_sum(spark, sf):
@@ -208,16 +209,18 @@ def auc(spark, sf):
 
 def profile_table(spark, sf):
     li = table(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_returnflag", "l_linenumber")
-    return _r(profile.profile_table(li, li.columns), "mean", "std").drop("top_value")
+    return _r(profile.profile_table(li, li.columns), "mean", "std")
 
 
 def profile_compare(spark, sf):
     s = screening(spark, sf).withColumn("population", F.when(F.col("label") == 1, "Positive").otherwise("Negative"))
-    return _r(profile.profile_table(s, FEATURES, ["population"]), "mean", "std", digits=6).drop("top_value")
+    return _r(profile.profile_table(s, FEATURES, ["population"]), "mean", "std", digits=6)
 
 
 def profile_target(spark, sf):
-    return _r(profile.profile_target(screening(spark, sf), FEATURES, "label"), "target_mean")
+    """Numeric features by bin, the fold as a category."""
+    s = screening(spark, sf).withColumn("group", F.concat(F.lit("g"), F.col("fold")))
+    return _r(profile.profile_target(s, [*FEATURES, "group"], "label"), "target_mean").fillna(-1, ["bin"])
 
 
 def profile_associations(spark, sf):
@@ -270,7 +273,7 @@ def _prof(cols, src, keys="", numeric=None):
             f"""select {k} '{c}' as name, count(*) as rows, count(*)-count({c}) as missing,
  {f'min({c})::double' if num else 'null::double'} as min, {f'max({c})::double' if num else 'null::double'} as max,
  {f'avg({c})' if num else 'null::double'} as mean, {f'stddev_samp({c})' if num else 'null::double'} as std, count(distinct {c}) as "distinct",
- mode_n.top_count from {src} {'join' if keys else 'cross join'} (select {k} max(n) as top_count from (select {k} {c} as v, count(*) as n from {src} group by all) {('group by '+keys) if keys else ''}) mode_n {f'using({keys})' if keys else ''} group by {k} mode_n.top_count"""
+ mode_n.top_count, mode_n.top_value from {src} {'join' if keys else 'cross join'} (select {k} max(n) as top_count, arg_max(v, {{'n': n, 'v': v}}) as top_value from (select {k} {c}::varchar as v, count(*) as n from {src} where {c} is not null group by all) {('group by '+keys) if keys else ''}) mode_n {f'using({keys})' if keys else ''} group by {k} mode_n.top_count, mode_n.top_value"""
         )
     return " union all ".join(parts)
 
@@ -330,12 +333,12 @@ QUERIES = {
     "fn_per_combination": (
         fn_per_combination,
         SP
-        + """select case_index, combination_id, fold from (select *, count(*) over (partition by combination_id, fold) as n from p where actual=1 and predicted=0) where n between 1 and 6""",
+        + """select case_index, 'tag' || case_index % 3 as tag, combination_id, fold from (select *, count(*) over (partition by case_index % 3, combination_id) as n from p where actual=1 and predicted=0) where n between 1 and 6""",
     ),
     "fn_case_frequency": (
         fn_case_frequency,
         SP
-        + """select case_index, count(*) as count from (select *, count(*) over (partition by combination_id, fold) as n from p where actual=1 and predicted=0) where n between 1 and 6 group by 1""",
+        + """select case_index, count(*) as count from (select *, count(*) over (partition by case_index % 3, combination_id) as n from p where actual=1 and predicted=0) where n between 1 and 6 group by 1""",
     ),
     "value_counts": (value_counts, SP + "select combination_id, actual, predicted, count(*) as n from p group by all"),
     "count_distinct_variations": (count_distinct_variations, SPMA + "select count(*) as variations from (select distinct combination_id, tag from a)"),
@@ -394,8 +397,8 @@ QUERIES = {
         kde_density,
         SP
         + f""", st as (select combination_id, count(*) as n, pow(count(*)::double,-0.2)*stddev_samp(proba) as bw, min(proba) as l, max(proba) as h from p group by 1),
- ce as (select combination_id, {_BIN.format(n=256, x='proba')} as bin, count(*) as w, avg(proba) as x from p cross join (select min(proba) as lo, max(proba) as hi from p) group by 1,2),
- pt as (select st.*, step::int as step, (l-3*bw)+((h+3*bw)-(l-3*bw))*step/49.0::double as point from st cross join (select unnest(range(50)) as step) where bw>0)
+ ce as (select combination_id, {_BIN.format(n=1024, x='proba')} as bin, count(*) as w, avg(proba) as x from p cross join (select min(proba) as lo, max(proba) as hi from p) group by 1,2),
+ pt as (select st.*, step::int as step, (l-3*bw)+((h+3*bw)-(l-3*bw))*step/199.0::double as point from st cross join (select unnest(range(200)) as step) where bw>0)
  select combination_id, step, round(point,9) as point, round(sum(w*exp(-0.5*((point-x)/bw)*((point-x)/bw)))/(n*bw*sqrt(2*pi())),7) as density
  from pt join ce using(combination_id) group by combination_id, step, point, n, bw""",
     ),
@@ -404,7 +407,7 @@ QUERIES = {
         max_by_model_count,
         SP + AND_SQL + "select model_count, max(ppv) as ppv, max(fnr) as fnr from ands group by model_count",
     ),
-    "importance_mean": (importance_mean, None),
+    "importance_mean": (importance_mean, "select unnest([1,2])::int as combination_id, 4::bigint as features, 0::bigint as outside"),
     "impact_tail_sum": (
         impact_tail_sum,
         with_ctes(S, PHI)
@@ -421,22 +424,23 @@ QUERIES = {
     ),
     "profile_table": (
         profile_table,
-        f"select name, rows, missing, min, max, round(mean,9) as mean, round(std,9) as std, \"distinct\", top_count from ({_prof(['l_quantity','l_discount','l_returnflag','l_linenumber'],'lineitem',numeric={'l_quantity','l_discount','l_linenumber'})})",
+        f"select name, rows, missing, min, max, round(mean,9) as mean, round(std,9) as std, \"distinct\", top_count, top_value from ({_prof(['l_quantity','l_discount','l_returnflag','l_linenumber'],'lineitem',numeric={'l_quantity','l_discount','l_linenumber'})})",
     ),
     "profile_compare": (
         profile_compare,
         with_ctes(S)
         + ", sp as (select *, case when label=1 then 'Positive' else 'Negative' end as population from s), pr as ("
         + _prof(FEATURES, "sp", "population")
-        + """) select population, name, rows, missing, min, max, round(mean,6) as mean, round(std,6) as std, "distinct", top_count from pr""",
+        + """) select population, name, rows, missing, min, max, round(mean,6) as mean, round(std,6) as std, "distinct", top_count, top_value from pr""",
     ),
     "profile_target": (
         profile_target,
         with_ctes(S)
         + " union all ".join(
-            f"select '{f}' as name, {_BIN.format(n=10, x=f)} as bin, count(*) as n, round(avg(label),9) as target_mean from s cross join (select min({f}) as lo, max({f}) as hi from s) group by all"
+            f"select '{f}' as name, {_BIN.format(n=10, x=f)} as bin, null::varchar as value, count(*) as n, round(avg(label),9) as target_mean from s cross join (select min({f}) as lo, max({f}) as hi from s) group by all"
             for f in FEATURES
-        ),
+        )
+        + " union all select 'group', -1, 'g' || fold, count(*), round(avg(label),9) from s group by fold",
     ),
     "profile_associations": (
         profile_associations,

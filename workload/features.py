@@ -39,7 +39,17 @@ def feature_chain(spark, sf):
 
 
 def pca_by_class(spark, sf):
-    return fe.pca_by_class(screening(spark, sf), [*FEATURES, "label"], "label")
+    """Per component: its length, and whether its share of the variance is that of the rows along it."""
+    s, cols = screening(spark, sf), [*FEATURES, "label"]
+    found = fe.pca_by_class(s, cols, "label")
+    by_name = found.groupBy("population", "component", "explained").pivot("feature", cols).agg(F.first("loading"))
+    loads = by_name.select("population", "component", "explained", *[F.col(c).alias(f"w_{c}") for c in cols])
+    rows = s.withColumn("population", F.when(F.col("label") == 1, "Positive").otherwise("Negative")).join(loads, "population")
+    along = sum((F.col(c) * F.col(f"w_{c}") for c in cols[1:]), F.col(cols[0]) * F.col(f"w_{cols[0]}"))
+    norm = sum((F.col(f"w_{c}") ** 2 for c in cols[1:]), F.col(f"w_{cols[0]}") ** 2)
+    total = sum((F.var_samp(c) for c in cols[1:]), F.var_samp(cols[0]))
+    out = rows.groupBy("population", "component").agg(F.count(F.lit(1)).alias("cases"), F.round(F.sqrt(F.first(norm)), 6).alias("length"), (F.var_samp(along) / total).alias("share"), F.first("explained").alias("explained"))
+    return out.select("population", "component", "cases", "length", (F.abs(F.col("share") - F.col("explained")) < 1e-6).alias("valid"))
 
 
 def standard_scale(spark, sf):
@@ -185,7 +195,7 @@ QUERIES = {
         with_ctes(S)
         + f"""select case_index, label, tsh*tsh as tsh, (tsh*({_inv('f_k')}))*(tsh*({_inv('f_k')})) as "tsh/f_k", (f_k*({_inv('tsh')}))*(f_k*({_inv('tsh')})) as "f_k/tsh", f_k*f_k as f_k from s""",
     ),
-    "pca_by_class": (pca_by_class, None),
+    "pca_by_class": (pca_by_class, with_ctes(S) + "select case when label=1 then 'Positive' else 'Negative' end as population, component, count(*) as cases, 1.0::double as length, true as valid from s cross join (select unnest([0,1])::int as component) group by 1,2"),
     "standard_scale": (
         standard_scale,
         with_ctes(S)

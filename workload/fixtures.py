@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def u_sql(text: str) -> str:
-    return f"(('0x'||substr(md5({text}),1,8))::bigint/4294967296.0::double)"
+    return f"(('0x'||substr(md5({text}),1,13))::bigint/4503599627370496.0::double)"
 
 
 def u_parts(*parts: str) -> str:

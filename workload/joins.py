@@ -35,7 +35,7 @@ def j2(spark, sf):
 
 def j3(spark, sf):
     a = analysis(spark, sf).where("tag = 'original_data'").select("combination_id", "fold", "tag", "model", "fnr", "ppv")
-    return joins.with_metadata(predictions(spark, sf).where("predicted = 1"), a)
+    return joins.with_metadata(predictions(spark, sf), a)
 
 
 def _fn_summary(spark, sf):
@@ -133,7 +133,7 @@ QUERIES = {
     "J3_results_metadata": (
         j3,
         SPMA
-        + "select p.*, a.tag, a.model, a.fnr, a.ppv from p join a using(combination_id, fold) where a.tag='original_data' and predicted=1",
+        + "select p.*, a.tag, a.model, a.fnr, a.ppv from p join a using(combination_id, fold) where a.tag='original_data'",
     ),
     "J4_index_inner_checked": (
         j4,

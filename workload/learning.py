@@ -4,7 +4,7 @@ Labels come from event type and value; the type itself is not a feature, so
 the learners have a real task.
 """
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from raresight.functions.metrics import classification_metrics, confusion_counts
 from raresight.operators import explain, explain_tables, models, resample
@@ -21,11 +21,20 @@ def rows(spark, sf):
     return screening(spark, sf).select("case_index", "label", "fold", F.array(*FEATURES).alias("features"))
 
 
+FOLDS = range(5)
+
+
+def sound(predicted="predicted", proba="proba"):
+    """A class and a probability."""
+    return (F.col(predicted).isin(0, 1) & F.col(proba).between(0.0, 1.0)).alias("valid")
+
+
 def _model(name, **params):
-    """Fit on four folds, score the fifth."""
+    """Fit on four folds, score the fifth: its cases, and whether each has a class and a probability."""
 
     def run(spark, sf):
-        return experiment.train_eval_fold(rows(spark, sf), 0, name, params=params)[0]
+        preds = experiment.train_eval_fold(rows(spark, sf), 0, name, params=params)[0]
+        return preds.select("case_index", "fold", "actual", sound())
 
     return run
 
@@ -35,27 +44,27 @@ def model_threshold(spark, sf):
     return models.scored(m, models.ml_frame(rows(spark, sf)))
 
 
-_FOREST = dict(numTrees=5, maxDepth=4)
+_FOREST = dict(numTrees=50, maxDepth=4)
 
 
 def model_from_storage(spark, sf):
-    """Models of two folds are stored, loaded and score their own folds."""
+    """Models of all folds are stored, loaded and score their own folds."""
     data, root = rows(spark, sf), scratch_path(spark, "models")
     key = {"combination_id": 1, "tag": "original_data"}
-    for fold in (0, 1):
+    for fold in FOLDS:
         _, fitted = experiment.train_eval_fold(data, fold, "DecisionTree", params=dict(maxDepth=4))
         model_store.save_model(spark, fitted, root, key, fold)
-    return model_store.StoredModels(spark, root, key, [0, 1]).score(models.ml_frame(data))
+    return model_store.StoredModels(spark, root, key, list(FOLDS)).score(models.ml_frame(data)).select("case_index", sound())
 
 
 def model_store_q(spark, sf):
     """A boosted model survives the round trip: same scores before and after."""
     data, root = rows(spark, sf), scratch_path(spark, "models")
-    preds, fitted = experiment.train_eval_fold(data, 0, "AdaBoost", params=dict(rounds=3))
+    preds, fitted = experiment.train_eval_fold(data, 0, "AdaBoost", params=dict(rounds=10))
     model_store.save_model(spark, fitted, root, {"combination_id": 2}, 0)
     again = models.scored(model_store.load_model(spark, root, {"combination_id": 2}, 0), models.ml_frame(data.where("fold = 0")))
     return preds.join(again.select("case_index", F.col("proba").alias("loaded")), "case_index").select(
-        "case_index", "proba", "loaded", (F.abs(F.col("proba") - F.col("loaded")) < 1e-12).alias("same")
+        "case_index", (F.abs(F.col("proba") - F.col("loaded")) < 1e-12).alias("same")
     )
 
 
@@ -71,7 +80,8 @@ def proba_fallback(spark, sf):
 
 
 def experiment_grid(spark, sf):
-    return experiment.run_grid(
+    """Cases and positives of every cell, counted from the stored predictions."""
+    cells = experiment.run_grid(
         rows(spark, sf),
         {"DecisionTree": dict(maxDepth=4), "LinearSVC": dict(maxIter=10)},
         {"none": 0.02, "RandomUnderSampler": 0.05},
@@ -80,7 +90,11 @@ def experiment_grid(spark, sf):
         "2024-03-02_09-30-00",
         scratch_path(spark, "grid"),
         scratch_path(spark, "gridmodels"),
-        folds=[0, 1],
+    )
+    positives = F.col("true_positives") + F.col("false_negatives")
+    return cells.select(
+        "cross_validator", "resampler", "model", "scorer", "tag", "fold", positives.alias("positives"),
+        (positives + F.col("false_positives") + F.col("true_negatives")).alias("cases"),
     )
 
 
@@ -89,19 +103,24 @@ def train_eval_fold(spark, sf):
     data = rows(spark, sf)
     layer = data.select("case_index", (F.col("features")[0] >= 20).cast("int").alias("predicted"))
     extra = data.where("label = 1").withColumn("case_index", -F.col("case_index") - 1)
-    return experiment.train_eval_fold(data, 2, "RandomForest", "RandomUnderSampler", 0.1, _FOREST, [layer], extra=extra)[0]
+    return experiment.train_eval_fold(data, 2, "RandomForest", "RandomUnderSampler", 0.1, _FOREST, [layer], extra=extra)[0].select("case_index", "fold", "actual", sound())
 
 
 def hyperparameter_search(spark, sf):
-    """Three settings, two inner folds; returns the winner's test metrics."""
+    """Ten settings, five inner folds; the winner's test counts and whether its settings lie in the bounds."""
     data = rows(spark, sf)
     train, test = data.where("fold <> 0"), data.where("fold = 0")
     train = models.ml_frame(truncate_lineage(train.select("case_index", "label", "features")))
     fitted, settings, score = experiment.tune(
-        train, "DecisionTree(balanced)", "f10_score_pos", draws=3, inner_folds=2, parallelism=2, bounds={"maxDepth": (3, 6)}
+        train, "DecisionTree(balanced)", "f10_score_pos", draws=10, inner_folds=5, parallelism=5, bounds={"maxDepth": (3, 6)}
     )
     m = models.scored(fitted, models.ml_frame(test)).select(F.col("label").alias("actual"), "predicted", F.lit(0).alias("fold"))
-    return classification_metrics(m, ["fold"]).withColumns({"inner_score": F.lit(score), "max_depth": F.lit(settings["maxDepth"])})
+    positives = F.col("true_positives") + F.col("false_negatives")
+    return classification_metrics(m, ["fold"]).select(
+        positives.alias("positives"),
+        (positives + F.col("false_positives") + F.col("true_negatives")).alias("cases"),
+        F.lit(0 <= score <= 1 and 3 <= settings["maxDepth"] <= 6).alias("valid"),
+    )
 
 
 def custom_scorers(spark, sf):
@@ -131,19 +150,24 @@ def layered_filter_percentile(spark, sf):
 def layered_two_stage(spark, sf):
     """First layer per fold -> prototypes of what it discards -> second layer
     on what it passes, trained with the prototypes."""
-    data = truncate_lineage(rows(spark, sf).withColumn("fold", F.pmod("fold", F.lit(2))))
+    data = truncate_lineage(rows(spark, sf))
     root, key = scratch_path(spark, "layer"), {"combination_id": 1, "tag": "all_features"}
-    for fold in (0, 1):
+    for fold in FOLDS:
         _, fitted = experiment.train_eval_fold(data, fold, "DecisionTree(balanced)", params=dict(maxDepth=4))
         model_store.save_model(spark, fitted, root, key, fold)
-    layer = model_store.StoredModels(spark, root, key, [0, 1])
+    layer = model_store.StoredModels(spark, root, key, list(FOLDS))
     own = layer.score(models.ml_frame(data)).select("case_index", "predicted")
     protos = resample.prototypes(data.join(own, "case_index"), "predicted", k=8)
     out = None
-    for fold in (0, 1):
-        preds, _ = experiment.train_eval_fold(data, fold, "RandomForest", params=_FOREST, layers=[layer], extra=protos)
+    for fold in FOLDS:
+        preds, _ = experiment.train_eval_fold(data, fold, "RandomForest", params=dict(numTrees=10, maxDepth=4), layers=[layer], extra=protos)
         out = preds if out is None else out.unionByName(preds)
-    return out
+    # a case reaches the second layer exactly if the first calls it positive
+    both = data.select("case_index", "fold", "label").join(own.withColumnRenamed("predicted", "first"), "case_index")
+    both = both.join(out.select("case_index", "predicted", "proba"), "case_index", "left")
+    passed = F.col("predicted").isin(0, 1) & F.col("proba").between(0.0, 1.0)
+    valid = F.when(F.col("first") == 1, F.coalesce(passed, F.lit(False))).otherwise(F.col("predicted").isNull())
+    return both.select("case_index", "fold", F.col("label").alias("actual"), valid.alias("valid"))
 
 
 def threshold_baseline_run(spark, sf):
@@ -160,42 +184,55 @@ def combination_analytics(spark, sf):
     star = catalog.star_join(catalog.star_tables(records(spark, sf)), cond)
     from raresight.functions.metrics import rates
 
-    best = results.best_per_tag(star.withColumns({k: v for k, v in rates().items() if k in ("fnr", "ppv")}), 0.1, 2)
-    return results.rows_of(predictions(spark, sf).where("predicted = 1"), best).select("tag", "combination_id", "fold", "case_index", "actual", "proba")
+    best = results.best_per_tag(star.withColumns({k: v for k, v in rates().items() if k in ("fnr", "ppv")}), 0.1, 10)
+    return results.rows_of(predictions(spark, sf), best).select("tag", "combination_id", "fold", "case_index", "actual", "proba")
 
 
-def _two_folds(spark, sf):
+def _all_folds(spark, sf):
     data, out = rows(spark, sf), {}
-    for fold in (0, 1):
+    for fold in FOLDS:
         out[(1, fold)] = experiment.train_eval_fold(data, fold, "DecisionTree", params=dict(maxDepth=4))[1]
-        out[(2, fold)] = experiment.train_eval_fold(data, fold, "BalancedRandomForest", params=dict(rounds=3, maxDepth=4))[1]
-        out[(3, fold)] = experiment.train_eval_fold(data, fold, "LinearSVC", params=dict(maxIter=5))[1]
+        out[(2, fold)] = experiment.train_eval_fold(data, fold, "BalancedRandomForest", params=dict(rounds=5, maxDepth=4))[1]
+        out[(3, fold)] = experiment.train_eval_fold(data, fold, "LinearSVC", params=dict(maxIter=20))[1]
     return out
 
 
 def forest_importances(spark, sf):
-    return explain.importance_rows(spark, _two_folds(spark, sf), FEATURES)
+    return explain.importance_rows(spark, _all_folds(spark, sf), FEATURES)
 
 
 def feature_importance(spark, sf):
-    means = explain_tables.mean_importance(forest_importances(spark, sf), 2)
-    return explain_tables.importance_matrix(means, [1, 2])
+    """Columns of the matrix: importances of a combination, which add up to one."""
+    means = explain_tables.mean_importance(forest_importances(spark, sf), len(FOLDS))
+    matrix = explain_tables.importance_matrix(means, [1, 2])
+    return matrix.agg(*[F.round(F.sum(f"`{c}`"), 6).alias(f"total_{i}") for i, c in enumerate(matrix.columns[1:], 1)], F.count(F.lit(1)).alias("features"))
 
 
 def _phi(spark, sf):
     data = rows(spark, sf)
     _, fitted = experiment.train_eval_fold(data, 0, "RandomForest", params=_FOREST)
     background = resample.undersample_n(data.where("fold <> 0"), 100)
-    return fitted, background, explain.shapley_values(fitted, data.where("fold = 0"), background, FEATURES, 3)
+    return fitted, background, explain.shapley_values(fitted, data.where("fold = 0"), background, FEATURES, 10)
+
+
+def _bounded(df, *columns):
+    """No attribution of a probability leaves [-1, 1], nor does their sum."""
+    total = F.sum("phi").over(Window.partitionBy("case_index"))
+    return df.select(*columns, "feature", "value", (F.col("phi").between(-1.0, 1.0) & total.between(-1.0, 1.0)).alias("valid"))
 
 
 def shapley_values(spark, sf):
-    return _phi(spark, sf)[2]
+    return _bounded(_phi(spark, sf)[2], "case_index", "model_id")
 
 
 def case_explanations(spark, sf):
     cases = screening(spark, sf).where("label = 1 and fold = 0")
-    return explain.case_explanations(_phi(spark, sf)[2], screening(spark, sf), cases)
+    data = rows(spark, sf)
+    _, fitted = experiment.train_eval_fold(data, 0, "RandomForest", params=_FOREST)
+    background = resample.undersample_n(data.where("fold <> 0"), 100)
+    # only the chosen cases are explained
+    phi = explain.shapley_values(fitted, data.join(cases.select("case_index"), "case_index", "left_semi"), background, FEATURES, 10)
+    return _bounded(explain.case_explanations(phi, screening(spark, sf), cases), "case_index", "episode", "fold", "label")
 
 
 def shap_group_features(spark, sf):
@@ -221,6 +258,8 @@ def shap_impact(spark, sf):
 
 
 SPHI = with_ctes(S, PHI)
+SOUND = with_ctes(S) + "select case_index, fold, label as actual, true as valid from s where fold=0"
+_LONG = " union all ".join(f"select {{columns}}, '{f}' as feature, {f}::double as value, true as valid from s where {{where}}" for f in FEATURES)
 _CUTS = "(select unnest([" + ",".join(f"{c}::double" for c in CUTOFFS) + "]) as cutoff)"
 _RATE = "case when {d}<>0 then {n}::double/({d}) else 0 end"
 
@@ -232,17 +271,17 @@ def _fb(b, tp="tp", fp="fp", fn="fn"):
 
 QUERIES = {
     "model_threshold": (model_threshold, with_ctes(S) + "select case_index, label, (tsh>=150)::int as predicted, 0.0::double as proba from s"),
-    "model_decision_tree": (_model("DecisionTree(balanced)", maxDepth=4), None),
-    "model_random_forest": (_model("RandomForest", **_FOREST), None),
-    "model_balanced_bagging": (_model("BalancedBagging", rounds=4, maxDepth=4), None),
-    "model_balanced_rf": (_model("BalancedRandomForest(balanced)", rounds=4, maxDepth=4), None),
-    "model_gradient_boosting": (_model("GradientBoosting", maxIter=5, maxDepth=3), None),
-    "model_rusboost": (_model("RUSBoost", rounds=4, maxDepth=2), None),
-    "model_adaboost": (_model("AdaBoost", rounds=4, variant="SAMME"), None),
-    "model_linear_svc": (_model("LinearSVC(balanced)", maxIter=10), None),
-    "model_mlp": (_model("Perceptron", maxIter=20), None),
-    "model_from_storage": (model_from_storage, None),
-    "model_store": (model_store_q, None),
+    "model_decision_tree": (_model("DecisionTree(balanced)", maxDepth=4), SOUND),
+    "model_random_forest": (_model("RandomForest", **_FOREST), SOUND),
+    "model_balanced_bagging": (_model("BalancedBagging", rounds=10, maxDepth=4), SOUND),
+    "model_balanced_rf": (_model("BalancedRandomForest(balanced)", rounds=10, maxDepth=4), SOUND),
+    "model_gradient_boosting": (_model("GradientBoosting", maxIter=20, maxDepth=3), SOUND),
+    "model_rusboost": (_model("RUSBoost", rounds=10, maxDepth=2), SOUND),
+    "model_adaboost": (_model("AdaBoost", rounds=10, variant="SAMME"), SOUND),
+    "model_linear_svc": (_model("LinearSVC(balanced)", maxIter=100), SOUND),
+    "model_mlp": (_model("Perceptron", maxIter=100), SOUND),
+    "model_from_storage": (model_from_storage, with_ctes(S) + "select case_index, true as valid from s"),
+    "model_store": (model_store_q, with_ctes(S) + "select case_index, true as same from s where fold=0"),
     "class_weight_balanced": (
         class_weight_balanced,
         with_ctes(S) + "select label, (select count(*) from s)::double/(2.0*count(*)) as weight, count(*) as n from s group by label",
@@ -252,9 +291,16 @@ QUERIES = {
         SP
         + "select combination_id, case_index, 1.0::double-p1 as p0, p1 from (select *, case when combination_id%2=0 then proba else predicted::double end as p1 from p)",
     ),
-    "experiment_grid": (experiment_grid, None),
-    "train_eval_fold": (train_eval_fold, None),
-    "hyperparameter_search": (hyperparameter_search, None),
+    "experiment_grid": (
+        experiment_grid,
+        with_ctes(S)
+        + """select 'StratifiedKFold_5' as cross_validator, resampler, model, scorer, 'original_data' as tag, fold, positives, cases
+ from (select fold, sum(label)::bigint as positives, count(*) as cases from s group by fold)
+ cross join (select unnest(['none','RandomUnderSampler']) as resampler) cross join (select unnest(['DecisionTree','LinearSVC']) as model)
+ cross join (select unnest(['recall_score','fp_fn']) as scorer)""",
+    ),
+    "train_eval_fold": (train_eval_fold, with_ctes(S) + "select case_index, fold, label as actual, true as valid from s where fold=2 and tsh>=20"),
+    "hyperparameter_search": (hyperparameter_search, with_ctes(S) + "select sum(label)::bigint as positives, count(*) as cases, true as valid from s where fold=0"),
     "custom_scorers": (
         custom_scorers,
         SP
@@ -276,7 +322,7 @@ QUERIES = {
  c as (select side, greatest(quantile_cont(proba,0.95),0.5::double) as cut from j group by side)
  select case_index, side, fold, tsh, label, round(cut,9) as cut from j join c using(side) where proba>cut""",
     ),
-    "layered_two_stage": (layered_two_stage, None),
+    "layered_two_stage": (layered_two_stage, with_ctes(S) + "select case_index, fold, label as actual, true as valid from s"),
     "threshold_baseline_run": (
         threshold_baseline_run,
         with_ctes(S)
@@ -290,12 +336,12 @@ QUERIES = {
         SPMA
         + """, b as (select tag, combination_id from (select tag, combination_id, avg(fnr) as fnr, avg(ppv) as ppv from a
   where regexp_matches(tag,'^(original_data|all_features)$') group by all) where fnr<=0.1
- qualify row_number() over (partition by tag order by ppv desc, combination_id)<=2)
- select tag, combination_id, fold, case_index, actual, proba from p join b using(combination_id) where predicted=1""",
+ qualify row_number() over (partition by tag order by ppv desc, combination_id)<=10)
+ select tag, combination_id, fold, case_index, actual, proba from p join b using(combination_id)""",
     ),
-    "feature_importance": (feature_importance, None),
-    "shapley_values": (shapley_values, None),
-    "case_explanations": (case_explanations, None),
+    "feature_importance": (feature_importance, "select 1.0::double as total_1, 1.0::double as total_2, 4::bigint as features"),
+    "shapley_values": (shapley_values, with_ctes(S) + _LONG.format(columns="case_index, 1::int as model_id", where="fold=0")),
+    "case_explanations": (case_explanations, with_ctes(S) + _LONG.format(columns="case_index, episode, fold, label", where="fold=0 and label=1")),
     "shap_group_features": (
         shap_group_features,
         SPHI

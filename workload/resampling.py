@@ -36,9 +36,15 @@ def cluster_centroids(spark, sf):
 
 
 def prototype_points(spark, sf):
+    """Centres per fold that lie within the range of the rejected rows of their fold."""
     s = screening(spark, sf)
     df = s.select("case_index", "label", "fold", F.array(*FEATURES).alias("features"), (F.col("tsh") >= 150).cast("int").alias("predicted"))
-    return rs.prototypes(df, "predicted", k=8)
+    points = rs.prototypes(df, "predicted", k=8)
+    box = df.where("predicted = 0").groupBy("fold").agg(*[f(F.col("features")[j]).alias(f"{n}{j}") for j in range(len(FEATURES)) for n, f in (("lo", F.min), ("hi", F.max))])
+    inside = F.lit(True)
+    for j in range(len(FEATURES)):
+        inside = inside & F.col("features")[j].between(F.col(f"lo{j}") - 1e-9, F.col(f"hi{j}") + 1e-9)
+    return points.join(box, "fold").groupBy("fold").agg(F.count_if(inside).alias("inside"), F.count_if(F.col("label") == 0).alias("negative"))
 
 
 _FS = "(tsh+f_user+f_k+f_hour)"
@@ -74,8 +80,8 @@ def _pick(tag, n, seed=0):
 _NEED = f"(select floor({RATIO}*n)::bigint-m from c)"
 _SMOTE_SEEDS = f"""select i, mi.case_index as a, k as j from (select i, {_pick('seed', '(select m from c)')} as rank, {_pick('nb', '5')}+1 as k
  from (select unnest(range({_NEED})) as i)) join mi using(rank)"""
-_ADA = f"""select r*{_NEED}+d as i, a from (select r, a, unnest(range(g::bigint)) as d from (
- select row_number() over (order by q)-1 as r, q as a, g from (
+_ADA = f"""select r+d as i, a from (select r, a, unnest(range(g::bigint)) as d from (
+ select (sum(g) over (order by q) - g)::bigint as r, q as a, g from (
   select q, round_even((o/5.0::double)/((select sum((label=0)::int) from na where j<=5)/5.0::double)*{_NEED},0) as g
   from (select q, sum((label=0)::int) as o from na where j<=5 group by q)) where g>0))"""
 _ADA_SEEDS = f"select i, a, {_pick('nb', '5')}+1 as j from ({_ADA})"
@@ -154,5 +160,5 @@ QUERIES = {
         cluster_centroids,
         _SRC + "select case_index, label, 4::int as d from r where label=1 union all select (-i-1)::bigint, 0::int, 4::int from (select unnest(range(8)) as i)",
     ),
-    "prototype_points": (prototype_points, None),
+    "prototype_points": (prototype_points, with_ctes(S) + "select fold, least(8, count(*)) as inside, least(8, count(*)) as negative from s where tsh<150 group by fold"),
 }

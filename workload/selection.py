@@ -12,16 +12,20 @@ from .fixtures import (
 
 
 def topk_by_ppv_per_tag(spark, sf):
-    best = results.best_per_tag(analysis(spark, sf), fnr_cutoff=0.05, top=3)
-    return results.rows_of(predictions(spark, sf).where("predicted = 1"), best).select("tag", "combination_id", "fold", "case_index", "proba")
+    best = results.best_per_tag(analysis(spark, sf), fnr_cutoff=0.05, top=10)
+    return results.rows_of(predictions(spark, sf), best).select("tag", "combination_id", "fold", "case_index", "proba")
 
 
 def topk_zero_fnr(spark, sf):
     return results.top_zero_fnr(analysis(spark, sf), 10).select("tag", "combination_id", F.round("ppv", 9).alias("ppv"))
 
 
+def topk_zero_fnr_folds(spark, sf):
+    return results.top_zero_fnr_folds(analysis(spark, sf), 10).select("combination_id", F.round("ppv", 9).alias("ppv"))
+
+
 def sort_fnr_then_ppv(spark, sf):
-    return results.leaderboard(analysis(spark, sf), "original_data", 5)
+    return results.leaderboard(analysis(spark, sf), "original_data")
 
 
 def topk_features(spark, sf):
@@ -115,19 +119,23 @@ QUERIES = {
         topk_by_ppv_per_tag,
         SPMA
         + """, b as (select tag, combination_id from (select tag, combination_id, avg(fnr) as fnr, avg(ppv) as ppv from a group by all) where fnr<=0.05
- qualify row_number() over (partition by tag order by ppv desc, combination_id)<=3)
- select tag, combination_id, fold, case_index, proba from p join b using(combination_id) where predicted=1""",
+ qualify row_number() over (partition by tag order by ppv desc, combination_id)<=10)
+ select tag, combination_id, fold, case_index, proba from p join b using(combination_id)""",
     ),
     "topk_zero_fnr": (
         topk_zero_fnr,
         SPMA
         + "select tag, combination_id, round(ppv,9) as ppv from (select tag, combination_id, avg(fnr) as fnr, avg(ppv) as ppv from a group by all) where fnr=0 order by ppv desc, tag, combination_id limit 10",
     ),
+    "topk_zero_fnr_folds": (
+        topk_zero_fnr_folds,
+        SPMA + "select combination_id, round(avg(ppv),9) as ppv from a where fnr=0 group by 1 order by avg(ppv) desc, combination_id limit 10",
+    ),
     "sort_fnr_then_ppv": (
         sort_fnr_then_ppv,
         SPMA
         + """select model, scorer, resampler, combination_id, round(fnr,3) as fnr, round(ppv,3) as ppv, round(f1,3) as f1 from (
- select model, scorer, resampler, combination_id, avg(fnr) as fnr, avg(ppv) as ppv, avg(f1) as f1 from a where tag='original_data' group by all) order by fnr, ppv desc, combination_id limit 5""",
+ select model, scorer, resampler, combination_id, avg(fnr) as fnr, avg(ppv) as ppv, avg(f1) as f1 from a where tag='original_data' group by all) order by fnr, ppv desc, combination_id limit 20""",
     ),
     "topk_features": (
         topk_features,

@@ -24,14 +24,14 @@ def scan_multi_file(spark, sf):
     root = scratch_path(spark, "yearly")
     w = dirty(spark, sf)
     n = F.col("Episode").cast("bigint")
-    tables.sink_csv(w.where(n % 2 == 0), f"{root}/20200101-20201231_OMNINBSInitialRAWAnalytesAndScrDets_a")
+    tables.sink_csv(w.where(n % 2 == 0), f"{root}/20200101-20201231_measurements_a")
     tables.sink_csv(
         w.where(n % 2 == 1).withColumnRenamed("Episode", "Accession Number").drop("junk"),
-        f"{root}/20210101-20211231_OMNINBSInitialRAWAnalytesAndScrDets_b",
+        f"{root}/20210101-20211231_measurements_b",
     )
     tables.sink_csv(w.select("Episode"), f"{root}/notes")
     return tables.scan_matching_files(
-        spark, root, r".*\d{8,8}-\d{8,8}_OMNINBSInitialRAWAnalytesAndScrDets_.*", {"Accession Number": "Episode"}
+        spark, root, r".*/\d{8}-\d{8}_measurements_[a-z]$", {"Accession Number": "Episode"}
     )
 
 
