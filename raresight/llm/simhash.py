@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import LongType
 
 from raresight.llm.common import carried, cut, own
@@ -61,7 +61,9 @@ def variants(fps: DataFrame, distance: int) -> DataFrame:
         part = F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit(_signed(mask)))
         for bit in range(width):
             rows.append(F.struct(F.lit(lo + bit).alias("v"), part.bitwiseAND(F.lit(_signed(mask & ~(1 << bit)))).alias("rest")))
-    return fps.withColumn("__x", F.explode(F.array(*rows))).select(*fps.columns, "__x.v", "__x.rest")
+    # a fingerprint becomes 64 rows: they are dealt out before, not after
+    dealt = fps.repartition("fp")
+    return dealt.withColumn("__x", F.explode(F.array(*rows))).select(*fps.columns, "__x.v", "__x.rest")
 
 
 def _signed(x: int) -> int:
@@ -88,8 +90,8 @@ def link(fps: DataFrame, distance: int) -> DataFrame:
     labels = fps.select("fp").join(stars.withColumnRenamed("node", "fp"), "fp", "left")
     labels = cut(labels.select("fp", F.coalesce("root", "fp").alias("root")))
     marked = variants(labels, distance)
-    mixed = marked.groupBy("v", "rest").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("v", "rest")
-    left = marked.join(mixed, ["v", "rest"], "left_semi")
+    bucket = W.partitionBy("v", "rest")
+    left = marked.withColumns({"lo": F.min("root").over(bucket), "hi": F.max("root").over(bucket)}).where("lo != hi").drop("lo", "hi")
     right = left.select("v", "rest", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
     apart = (left.v == right.v) & (left.rest == right.rest) & (left.root < right.root2) & _near(left.fp, right.fp2, distance)
     bridges = left.join(right, apart).select(F.col("root").alias("a"), F.col("root2").alias("b"))
