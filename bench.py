@@ -39,7 +39,7 @@ HEADLINE = [
 
 
 def main() -> None:
-    from raresight.session import get_session
+    from raresight.session import get_session, release_scratch
     from workload.registry import registry
 
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -54,6 +54,7 @@ def main() -> None:
         start = time.perf_counter()
         reg[key][0](spark, sf).write.format("noop").mode("overwrite").save()
         times[key] = round(time.perf_counter() - start, 3)
+        release_scratch(spark)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf.rstrip("/"))}))
 
 

@@ -143,6 +143,7 @@ def lowess(ranked: DataFrame, value: str, frac: float = 0.1, iterations: int = 3
 
 def percentile_cut(df: DataFrame, by: list[str], score: str, p: float, floor: float = 0.5, **options) -> DataFrame:
     """Rows strictly above max(percentile p of their group, floor)."""
+    df = truncate_lineage(df)  # counted, cut and filtered: read three times
     if not by:  # one scalar
         top = exact_quantiles(df, [score], [p], **options).first()
         value = top["value"] if top is not None else None

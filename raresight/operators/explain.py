@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import uniform
 from .models import feature_importances, scored
-from .ordering import with_rank
+from .ordering import bounded_broadcast, with_rank
 
 
 def shapley_values(model, rows: DataFrame, background: DataFrame, names: list[str], permutations: int = 4, seed: int = 0, model_id: int = 1) -> DataFrame:
@@ -33,8 +33,8 @@ def shapley_values(model, rows: DataFrame, background: DataFrame, names: list[st
         rows.select("case_index", "features")
         .withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
         .withColumn("__pick", F.floor(uniform("bg", seed, F.col("case_index"), F.col("perm")) * n_bg).cast("bigint"))
-        .withColumn("order", order)
-        .join(bg, "__pick")
+        .withColumns({"order": order, "own": F.col("features")})
+        .join(bounded_broadcast(bg, n_bg), "__pick")
     )
     step = drawn.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(d))))
     masked = F.transform(
@@ -44,19 +44,18 @@ def shapley_values(model, rows: DataFrame, background: DataFrame, names: list[st
         ).otherwise(F.element_at("bg", j + 1)),
     )
     ready = step.withColumn("features", array_to_vector(masked))
-    out = scored(model, ready, ["case_index", "order", "step"])
+    out = scored(model, ready, ["case_index", "order", "step", "own"])
     gain = F.struct(F.element_at("order", F.greatest(F.col("step"), F.lit(1))).alias("j"), F.when(F.col("step") > 0, F.col("proba")).otherwise(F.lit(0.0)).alias("v"))
     loss = F.struct(
         F.element_at("order", F.least(F.col("step") + 1, F.lit(d))).alias("j"), F.when(F.col("step") < d, -F.col("proba")).otherwise(F.lit(0.0)).alias("v")
     )
     phi = (
-        out.select("case_index", F.explode(F.array(gain, loss)).alias("g"))
+        out.select("case_index", "own", F.explode(F.array(gain, loss)).alias("g"))
         .groupBy("case_index", "g.j")
-        .agg((F.sum("g.v") / F.lit(float(permutations))).alias("phi"))
+        .agg((F.sum("g.v") / F.lit(float(permutations))).alias("phi"), F.first(F.element_at("own", F.col("g.j") + 1)).alias("value"))
     )
-    values = rows.select("case_index", F.posexplode("features").alias("j", "value"))
     feature = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("j") + 1)
-    return phi.join(values, ["case_index", "j"]).select(
+    return phi.select(
         "case_index", F.lit(model_id).alias("model_id"), feature.alias("feature"), "value", "phi"
     )
 

@@ -20,7 +20,11 @@ def _long(wide: DataFrame, keys: list[str], cols: list[str], fields: dict[str, s
 
 
 def describe(df: DataFrame, cols: list[str], **quantile_options) -> DataFrame:
-    """count, mean, std, min, quartiles, max per column (quartiles exact)."""
+    """count, mean, std, min, quartiles, max per column (quartiles exact).
+
+    The columns are written once; moments and quartiles read the written table.
+    """
+    df = truncate_lineage(df.select(*cols))
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")

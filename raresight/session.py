@@ -42,9 +42,26 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh table location under the shared folder."""
-    return f"{checkpoint_root(spark)}/raresight/{name}-{uuid.uuid4().hex}"
+    """A fresh table location under the shared folder, kept until ``release_scratch``."""
+    path = f"{checkpoint_root(spark)}/raresight/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the tables this driver has made so far; how many they were.
+
+    For the end of a job: frames that read them can't be used any more.
+    """
+    conf, gone = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def truncate_lineage(df):

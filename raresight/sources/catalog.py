@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, truncate_lineage
 
 
 def latest_records(df: DataFrame, key: list[str], created: str, tie: str) -> DataFrame:
@@ -62,8 +62,9 @@ def star_tables(records: DataFrame) -> dict[str, DataFrame]:
     """Split flat records into the five catalogue tables.
 
     ``combination_id`` is part of the record already; the dimension is the
-    distinct key.
+    distinct key. The records are written once and all five read that table.
     """
+    records = truncate_lineage(records)
     counts = ["true_positives", "false_positives", "false_negatives", "true_negatives"]
     return {
         "combination": records.select(

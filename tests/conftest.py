@@ -5,14 +5,16 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from raresight.session import get_session  # noqa: E402
+from raresight.session import get_session, release_scratch  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return get_session("tests", 8, 8)
+    session = get_session("tests", 8, 8)
+    yield session
+    release_scratch(session)
 
 
 @pytest.fixture(scope="session")

@@ -60,7 +60,7 @@ def test_quantile_paths_agree(spark, data):
     large = exact_quantiles(sdf, ["v", "w"], probs, ["g"], small_rows=0, rows_per_bucket=100).toPandas()
     keys = ["g", "name", "p"]
     a, b = (x.sort_values(keys).reset_index(drop=True) for x in (small, large))
-    assert a[keys].equals(b[keys]) and np.allclose(a["value"], b["value"], rtol=1e-12)
+    assert a[keys].equals(b[keys]) and a["value"].tolist() == b["value"].tolist()
     for (g, name), part in a.groupby(["g", "name"]):
         assert np.allclose(part["value"], df[df.g == g][name].quantile(probs).to_numpy())
 
@@ -108,3 +108,20 @@ def test_tiny_classes(spark):
     sdf = spark.createDataFrame([(i, 1 if i == 3 else 0) for i in range(6)], "case_index bigint, label int")
     got = folds.stratified(sdf).toPandas()
     assert len(got) == 6 and got.fold.between(0, 4).all()
+
+
+@pytest.mark.parametrize("per", [None, 3])
+@pytest.mark.parametrize("descending", [False, True])
+def test_null_orders_rank_first(spark, per, descending):
+    rows = [(0, None), (1, 5.0), (2, 1.0), (3, None), (4, 5.0), (5, 2.0), (6, float("nan"))]
+    got = with_rank(spark.createDataFrame(rows, "case_index bigint, v double"), "v", "case_index", descending=descending, rows_per_bucket=per)
+    ranks = {r["case_index"]: r["rank"] for r in got.collect()}
+    assert sorted(ranks.values()) == list(range(7)) and ranks[0] == 0 and ranks[3] == 1
+    assert [i for i, _ in sorted(ranks.items(), key=lambda x: x[1])][2:] == ([1, 4, 5, 2, 6] if descending else [2, 5, 1, 4, 6])
+
+
+def test_draws_have_52_bits(spark):
+    from raresight.functions.numeric import uniform
+
+    u = [r[0] for r in spark.range(2000).select(uniform("x", F.col("id"))).collect()]
+    assert all(0 <= x < 1 for x in u) and sum((x * 2**32) % 1 != 0 for x in u) > 1900
