@@ -15,15 +15,25 @@ from raresight.llm.common import carried
 MAX_ROWS, MAX_WORDS = 20_000, 1_000
 #: A word is tried as a feature if it is in this many toxic rows and this many times likelier there.
 MIN_ROWS, MIN_RATIO = 3, 4.0
-L1, ROUNDS = 2e-4, 600
+L1, ROUNDS = 1e-4, 600
 GRADES = 3
 REJECT = 0.5
 SCHEMA = "severity double, p_toxic double, grade int"
+#: Lengths of word beginnings that are features beside the words: inflected and compounded forms share them.
+BEGINNINGS = (4, 5, 6)
 TOKEN = re.compile(r"\w+")
 
 
 def words(text: str | None) -> Counter:
-    return Counter(TOKEN.findall(text.lower())) if text else Counter()
+    """Counts of a text's lower-cased words, and of their beginnings as ``begin*``."""
+    found = Counter(TOKEN.findall(text.lower())) if text else Counter()
+    begins: Counter = Counter()
+    for word, n in found.items():
+        for length in BEGINNINGS:
+            if len(word) > length:
+                begins[word[:length] + "*"] += n
+    found.update(begins)
+    return found
 
 
 class Model:
