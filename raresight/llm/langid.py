@@ -54,7 +54,7 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 class Parser:
     """Cross-parsing tables of all languages.
 
-    A cell holds ``next_state_row * 2 + ended``: where the symbol doesn't go on, the
+    A cell holds ``next_state_row * 4 + ended``: where the symbol doesn't go on, the
     phrase has ended and the next one starts with the symbol.
     """
 
@@ -75,8 +75,10 @@ class Parser:
             cells[:, 0] = -1
             start = np.where(cells[0] >= 0, cells[0], 0)
             rows = np.where(cells >= 0, cells, start[None, :])
-            out = (rows + base) * self.width * 2 + (cells < 0)
-            out[:, -1] = (np.arange(len(goes)) + base) * self.width * 2
+            # a symbol that starts no phrase is one by itself, beside the one it ends
+            ended = (cells < 0) * (1 + ((cells[0] < 0)[None, :] & (np.arange(len(goes)) > 0)[:, None]))
+            out = (rows + base) * self.width * 4 + ended
+            out[:, -1] = (np.arange(len(goes)) + base) * self.width * 4
             tables.append(out.astype(np.int32).ravel())
             self.roots.append(base * self.width)
             self.norm.append(np.log2(max(2, len(codes))))
@@ -115,8 +117,8 @@ class Parser:
         ended = np.zeros(state.shape, np.int32)
         for column in columns:
             cell = self.table.take(state + column)
-            ended += cell & 1
-            state = cell >> 1
+            ended += cell & 3
+            state = cell >> 2
         ended += state != roots  # the phrase the piece breaks off
         np.add.at(out, owner, ended.T)
 
