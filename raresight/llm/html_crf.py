@@ -85,7 +85,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if depth is None:
                 continue
             gone = now.stack[depth:]
-            if any(x[0] not in INLINE for x in gone):
+            if any(x[0] not in INLINE and x[0] not in RAW for x in gone):
                 # an inline end tag that comes late doesn't close the blocks around it
                 if tag in INLINE:
                     continue
@@ -99,7 +99,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 flush()
             now.parts.append(" ")
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in RAW:
             flush()
             for other in CLOSES.get(tag, ()):
                 depth = next((i for i in range(len(now.stack) - 1, -1, -1) if now.stack[i][0] == other), None)
