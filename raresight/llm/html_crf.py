@@ -322,7 +322,9 @@ def fit(pages: DataFrame, page: str = "html", seed: int = 11) -> Field:
     such pages leaves the layouts around made-up words.
     """
     marked = pages.where(F.col(page).rlike("(?i)<(article|main)[ >]") & (F.length(page) <= PAGE_LENGTH)).select(F.col(page).alias("page"))
-    rows = marked.groupBy(F.xxhash64("page", F.lit(seed)).alias("h")).agg(F.min("page").alias("page")).orderBy("h").limit(SAMPLE).collect()
+    hashed = marked.withColumn("h", F.xxhash64("page", F.lit(seed)))
+    smallest = [r[0] for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
+    rows = sorted(map(tuple, hashed.where(F.col("h") <= F.lit(max(smallest, default=0))).groupBy("h").agg(F.min("page")).collect())) if smallest else []
     rng = random.Random(seed)
     labelled, texts = [], []
     for _, text in rows:
