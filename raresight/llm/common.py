@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from raresight.session import truncate_lineage
 
+BATCH_BYTES = "8m"
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,6 +26,11 @@ def cut(df: DataFrame) -> DataFrame:
     return truncate_lineage(df)
 
 
+def small_batches(spark) -> None:
+    """Bound what a Python task is handed at once: texts can be long, and copies are made of a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

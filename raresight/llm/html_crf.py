@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from raresight.llm.common import carried
+from raresight.llm.common import carried, small_batches
 
 #: Pages the fit sees at most, of smallest seeded hash, none longer than PAGE_LENGTH; layouts made around each.
 SAMPLE, PAGE_LENGTH, LAYOUTS = 250, 20_000, 4
@@ -339,6 +339,7 @@ def fit(pages: DataFrame, page: str = "html", seed: int = 11) -> Field:
 
 def main_text(spark: SparkSession, model: Field, page: Column) -> Column:
     """Main text of each whole page, one block a line; null and empty pages have none."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def each(pages: pd.Series) -> pd.Series:

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from raresight.llm.common import carried
+from raresight.llm.common import carried, small_batches
 
 #: Code points of labelled text a language's automaton is built from, and those of all languages together.
 SAMPLE, SAMPLE_ALL = 24_000, 400_000
@@ -161,6 +161,7 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", seed: int =
 
 def identify(spark: SparkSession, parser: Parser, text: Column) -> Column:
     """struct(lang_pred, score) of each whole text; ``und`` and 0 for null, letterless or untrained ones."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(parser)
 
     def each(texts: pd.Series) -> pd.DataFrame:

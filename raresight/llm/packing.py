@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from raresight.llm.common import carried, cut, worker_state
+from raresight.llm.common import carried, cut, small_batches, worker_state
 
 CAPACITY = 4096
 END = 1
@@ -248,6 +248,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, key: str = "doc_id", t
     ``capacity`` numbers, and plans on those; ranks within a length then lead
     every piece to its place.
     """
+    small_batches(spark)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"), F.col(key).alias("key"))
     # the key goes along as a column of the task's own batch, not through Python values
     kind = dict(texts.dtypes)["key"]

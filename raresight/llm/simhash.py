@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import LongType
 
-from raresight.llm.common import carried, cut, own
+from raresight.llm.common import carried, cut, own, small_batches
 from raresight.llm.graph import components
 
 BITS = 64
@@ -107,6 +107,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     other; repeated rows share their fingerprint; null keys are grouped too but
     name no component unless all of it is null. Other columns are left out.
     """
+    small_batches(docs.sparkSession)
     prints = cut(docs.select(F.col(key).alias("key"), fingerprint(F.col(text), shingle).alias("fp")))
     firsts = prints.groupBy("fp").agg(F.min("key").alias("first"))
     roots = cut(link(firsts.select("fp"), distance))

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from raresight.llm.common import carried
+from raresight.llm.common import carried, small_batches
 
 #: The fit sees at most so many labelled rows, of smallest seeded hash, and so many words.
 MAX_ROWS, MAX_WORDS = 20_000, 1_000
@@ -85,6 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     labels, keys and texts are left out. Without toxic or other rows the model is
     empty and every text has severity 0.
     """
+    small_batches(docs.sparkSession)
     marked = labels.where(F.col(key).isNotNull() & F.col(toxic).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max(toxic).alias("toxic"))
     bounded = marked.orderBy(F.xxhash64("__k", F.lit(seed)), "__k").limit(MAX_ROWS)
     texts = docs.select(F.col(key).alias("__k"), F.col(text).alias("text")).where(F.col("text").isNotNull())
@@ -118,6 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def severity(spark: SparkSession, model: Model, text: Column) -> Column:
     """struct(severity, p_toxic, grade): expected grade, chance of any, most likely grade. Null and empty texts: 0."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def each(texts: pd.Series) -> pd.DataFrame:

@@ -39,10 +39,10 @@ def corpus(seed, n):
     return rows + rows[:3]
 
 
-@pytest.mark.parametrize("lags, pairs", [(64, 2), (1, 1)])
-def test_lines_match_brute_force(docs_of, monkeypatch, lags, pairs):
+@pytest.mark.parametrize("lags", [512, 1])
+def test_lines_match_brute_force(docs_of, monkeypatch, lags):
     monkeypatch.setattr(line_dedup, "LAGS", lags)
-    monkeypatch.setattr(line_dedup, "PAIRS", pairs)
+    monkeypatch.setattr(line_dedup, "LIST_BLOCK", 5)
     rows = corpus(lags, 120)
     out = line_dedup.dedup(docs_of([(i, t, None, None) for i, t in rows])).collect()
     want = near_lines(rows)
@@ -63,7 +63,9 @@ def test_lines_odd_rows(docs_of):
 
 
 def test_list_over_memory_goes_to_the_second_round(docs_of, monkeypatch):
-    monkeypatch.setattr(line_dedup, "SLICE", 8)
+    monkeypatch.setattr(line_dedup, "LIST_HELD", 8)
+    monkeypatch.setattr(line_dedup, "SLICE", 300)
+    monkeypatch.setattr(line_dedup, "SEGMENT", 40)
     rows = [(i, f"a b c d e f g h i j{i} k{i % 7}") for i in range(60)]
     out = line_dedup.dedup(docs_of([(i, t, None, None) for i, t in rows])).collect()
     assert {r["doc_id"]: r["text"] for r in out} == {i: t for (i, _), t in zip(rows, near_lines(rows))}
