@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from raresight.session import truncate_lineage
 
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 

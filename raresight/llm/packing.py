@@ -17,7 +17,7 @@ from raresight.llm.common import carried, cut, small_batches, worker_state
 CAPACITY = 4096
 END = 1
 #: Words a worker remembers the ids of; others are encoded each time.
-REMEMBERED = 700_000
+REMEMBERED = 150_000
 #: Code points that are encoded in one call, and rows of a piece table that share a rank block.
 CALL, BLOCK = 1 << 20, 1 << 12
 #: New words encoded in one call.
