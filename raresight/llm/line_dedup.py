@@ -340,6 +340,11 @@ def bit_filter(spark: SparkSession, places: DataFrame):
     return spark.sparkContext.broadcast(mask.tobytes())
 
 
+def filter_hits(bits: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    cell = filter_cells(a, b)
+    return (np.frombuffer(bits, np.uint8)[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
+
+
 def _sets(lines: Lines) -> pa.Array:
     """The distinct tokens of each line."""
     order = np.lexsort((lines.tokens, lines.owner))
@@ -355,10 +360,9 @@ def token_sets(spark: SparkSession, docs: DataFrame, places: DataFrame) -> DataF
     shared = bit_filter(spark, places)
 
     def run(batches):
-        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
         for batch in batches:
             for rows in batches_of(batch):
-                lines = Lines(*rows, wanted=lambda doc, line: bits[filter_cells(doc, line)])
+                lines = Lines(*rows, wanted=lambda doc, line: filter_hits(shared.value, doc, line))
                 yield pa.RecordBatch.from_pydict({"doc": pa.array(lines.doc), "line": pa.array(lines.line), "set": _sets(lines)})
 
     return docs.mapInArrow(run, "doc long, line long, set array<long>").dropDuplicates(["doc", "line"])
@@ -374,12 +378,11 @@ def open_lists(spark: SparkSession, docs: DataFrame, probes: DataFrame, levels)
     shared = bit_filter(spark, probes.select("token", F.lit(0).cast("long")).distinct())
 
     def members(batches):
-        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
         for batch in batches:
             for rows in batches_of(batch):
                 lines = Lines(*rows)
                 (token, doc, line, packed, _, bits1, bits2), _, _ = line_postings(lines, levels.value)
-                keep = np.flatnonzero(bits[filter_cells(token, np.zeros_like(token))] & (packed >> 31 > EQUALS))
+                keep = np.flatnonzero(filter_hits(shared.value, token, np.zeros_like(token)) & (packed >> 31 > EQUALS))
                 place = {(d, x): i for i, (d, x) in enumerate(zip(lines.doc.tolist(), lines.line.tolist()))}
                 at = pa.array([place[d, x] for d, x in zip(doc[keep].tolist(), line[keep].tolist())], pa.int64())
                 columns = [pa.array(c[keep]) for c in (token, doc, line, packed, bits1, bits2)]
@@ -473,7 +476,16 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     lines = later_matches(docs, key, text).groupBy("doc", F.shiftright("line", 31).alias("mark")).agg(F.collect_list(F.col("line").bitwiseAND(F.lit(2**31 - 1))).alias("__gone"))
     lines = cut(lines.withColumnsRenamed({"doc": "__doc", "mark": "__mark"}))
     marked = docs.withColumns({"__d": F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)), "__m": F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))})
-    joined = marked.join(lines, (F.col("__d") == F.col("__doc")) & (F.col("__m") == F.col("__mark")), "left")
+    # texts that surely keep all lines go past the join
+    touched = bit_filter(docs.sparkSession, lines.select("__doc", "__mark"))
+
+    def may_change(doc: pd.Series, mark: pd.Series) -> pd.Series:
+        return pd.Series(filter_hits(touched.value, doc.to_numpy(), mark.to_numpy()))
+
+    marked = marked.withColumn("__may", F.pandas_udf(may_change, "boolean")("__d", "__m"))
+    changed = marked.where("__may").join(lines, (F.col("__d") == F.col("__doc")) & (F.col("__m") == F.col("__mark")), "left")
+    same = marked.where("not __may").withColumn("__gone", F.lit(None).cast("array<bigint>"))
+    joined = changed.select(*own(docs), "__gone").union(same.select(*own(docs), "__gone"))
 
     def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
         def one(t, numbers):
