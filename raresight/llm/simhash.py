@@ -99,6 +99,13 @@ def link(fps: DataFrame, distance: int) -> DataFrame:
     return labels.join(joined, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
 
 
+def _linked(docs: DataFrame, key: str, text: str, shingle: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(key, fp) of all rows, and the (fp, root) of their fingerprints."""
+    small_batches(docs.sparkSession)
+    prints = cut(docs.select(F.col(key).alias("key"), fingerprint(F.col(text), shingle).alias("fp")))
+    return prints, cut(link(prints.select("fp").distinct(), distance))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """(key, fp, component): near-duplicate groups of all rows.
 
@@ -107,18 +114,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     other; repeated rows share their fingerprint; null keys are grouped too but
     name no component unless all of it is null. Other columns are left out.
     """
-    small_batches(docs.sparkSession)
-    prints = cut(docs.select(F.col(key).alias("key"), fingerprint(F.col(text), shingle).alias("fp")))
+    prints, roots = _linked(docs, key, text, shingle, distance)
     firsts = prints.groupBy("fp").agg(F.min("key").alias("first"))
-    roots = cut(link(firsts.select("fp"), distance))
     named = firsts.join(roots, "fp").groupBy("root").agg(F.min("first").alias("component"))
     return prints.join(roots.join(named, "root").drop("root"), "fp").select(F.col("key").alias(key), "fp", "component")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """One row of each near-duplicate group: the smallest key, null keys first, one copy of repeated rows."""
-    groups = near_duplicates(docs, key, text, shingle, distance)
-    keep = groups.groupBy("component").agg(F.min(F.struct(key, "fp")).alias("__k")).select(F.col(f"__k.{key}").alias("__key"), F.col("__k.fp").alias("__fp"))
+    prints, roots = _linked(docs, key, text, shingle, distance)
+    # by root: the component is null for every group whose keys are all null
+    firsts = prints.groupBy("fp").agg(F.min(F.struct("key")).alias("first")).join(roots, "fp")
+    keep = firsts.groupBy("root").agg(F.min(F.struct("first.key", "fp")).alias("__k")).select(F.col("__k.key").alias("__key"), F.col("__k.fp").alias("__fp"))
     marked = docs.withColumn("__fp1", fingerprint(F.col(text), shingle))
     kept = marked.join(keep, marked[key].eqNullSafe(keep["__key"]) & (marked["__fp1"] == keep["__fp"]), "left_semi")
     return kept.dropDuplicates([key, "__fp1"]).select(*own(docs))

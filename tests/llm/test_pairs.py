@@ -126,6 +126,16 @@ def test_simhash_odd_rows(docs_of):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 == simhash.keep_first(docs.limit(0)).count()
 
 
+def test_groups_of_null_keys_stay_apart(docs_of):
+    texts = [f"{a} {b} {c} {d}" for a, b, c, d in zip("abcdef", "ghijkl", "mnopqr", "stuvwx")]
+    prints = [fingerprint(t) for t in texts]
+    assert all((p ^ q).bit_count() > 4 for i, p in enumerate(prints) for q in prints[:i])
+    rows = [(None, t) for t in texts] + [(None, texts[0].upper()), (1, texts[1]), (2, "other words are here"), (3, "other words are here")]
+    kept = simhash.keep_first(docs_of([(i, t, "en", "s") for i, t in rows])).collect()
+    assert sorted(r["text"].lower() for r in kept if r["doc_id"] is None) == sorted(texts)
+    assert [r["doc_id"] for r in kept if r["doc_id"] is not None] == [2]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (900, 901), (901, 900)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
