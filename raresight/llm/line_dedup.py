@@ -308,7 +308,8 @@ def search_lists(batches):
             yield from work(whole)
             m = np.flatnonzero((whole[3] >> 31) > EQUALS)
             yield emit(2, whole[1][m], whole[2][m], token=whole[0][m])
-            held = [x[-LAGS:] for x in whole]
+            # one more than is compared: the next set too must see whether its partners go on
+            held = [x[-LAGS - 1 :] for x in whole]
             continue
         if end:
             yield from work([x[:end] for x in whole])
@@ -368,12 +369,30 @@ def token_sets(spark: SparkSession, docs: DataFrame, places: DataFrame) -> DataF
     return docs.mapInArrow(run, "doc long, line long, set array<long>").dropDuplicates(["doc", "line"])
 
 
+def open_cells(every: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of lists to (token, mine, block): each block of a list's probes meets each block of its members.
+
+    A row number deals them, so that rows of one place part too; either side of a
+    cell holds about ``LIST_BLOCK`` rows at most.
+    """
+    turn = F.xxhash64(F.monotonically_increasing_id())
+    last = F.floor(F.count(F.lit(1)) / LIST_BLOCK)
+    asked = cut(every.join(probes, ["token", "doc", "line"], "left_semi").withColumn("turn", turn))
+    blocks = every.groupBy("token").agg(last.alias("last")).join(asked.groupBy("token").agg(last.alias("last_mine")), "token")
+    blocks = cut(blocks)
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c)))
+    dealt = lambda c: F.pmod("turn", F.col(c) + 1)
+    asked = asked.join(blocks, "token").withColumn("mine", dealt("last_mine")).withColumn("block", upto("last"))
+    there = every.withColumn("turn", turn).join(blocks, "token").withColumn("block", dealt("last")).withColumn("mine", upto("last_mine"))
+    return asked.drop("turn", "last", "last_mine"), there.drop("turn", "last", "last_mine")
+
+
 def open_lists(spark: SparkSession, docs: DataFrame, probes: DataFrame, levels) -> DataFrame:
     """(doc, line) of probes (doc, line, token) that have an earlier similar line anywhere in their list.
 
     The lists are made again from the texts with whole sets, for tokens of a bit
-    filter, dealt in blocks of bounded size, and each probe is compared with each
-    block. Only matched probes are returned, so a list costs rows by its members.
+    filter, dealt in blocks of bounded size, and each block of probes is compared
+    with each block. Only matched probes are returned, so a list costs rows by its members.
     """
     shared = bit_filter(spark, probes.select("token", F.lit(0).cast("long")).distinct())
 
@@ -390,10 +409,7 @@ def open_lists(spark: SparkSession, docs: DataFrame, probes: DataFrame, levels)
 
     every = docs.mapInArrow(members, "token long, doc long, line long, at long, bits long, bits2 long, set array<long>")
     every = cut(every.join(probes.select("token").distinct(), "token", "left_semi"))
-    blocks = every.groupBy("token").agg(F.floor(F.count(F.lit(1)) / LIST_BLOCK).alias("last"))
-    asked = every.join(probes, ["token", "doc", "line"], "left_semi").join(blocks, "token")
-    asked = cut(asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))))
-    there = every.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("doc", "line"), F.col("last") + 1))
+    asked, there = open_cells(every, probes)
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
         number = lambda t, c: t[c].to_numpy()
@@ -413,7 +429,7 @@ def open_lists(spark: SparkSession, docs: DataFrame, probes: DataFrame, levels)
                     break
         return pa.table({"doc": a["doc"].take(pa.array(hits, pa.int64())), "line": a["line"].take(pa.array(hits, pa.int64()))})
 
-    return asked.groupBy("token", "block").cogroup(there.groupBy("token", "block")).applyInArrow(cell, "doc long, line long").distinct()
+    return asked.groupBy("token", "mine", "block").cogroup(there.groupBy("token", "mine", "block")).applyInArrow(cell, "doc long, line long").distinct()
 
 
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

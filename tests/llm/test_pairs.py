@@ -2,8 +2,9 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -71,6 +72,37 @@ def test_list_over_memory_goes_to_the_second_round(docs_of, monkeypatch):
     assert {r["doc_id"]: r["text"] for r in out} == {i: t for (i, _), t in zip(rows, near_lines(rows))}
 
 
+def test_first_set_after_a_cut_list_goes_to_the_second_round(monkeypatch):
+    monkeypatch.setattr(line_dedup, "LAGS", 2)
+    monkeypatch.setattr(line_dedup, "LIST_HELD", 4)
+    names = [x.split()[0] for x in line_dedup.POSTING.split(", ")]
+
+    def postings(docs):
+        # one list of sets of five tokens whose bits tell neighbours apart
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([7] * len(docs), docs, [0] * len(docs), [5 << 31] * len(docs), docs, [1 << d for d in docs], [0] * len(docs))], names)
+
+    found = [r for b in line_dedup.search_lists([postings([0, 1, 2, 3, 4]), postings([5])]) for r in b.to_pylist()]
+    assert {r["x_doc"] for r in found if r["kind"] == 2} == {0, 1, 2, 3, 4, 5}
+
+
+def test_open_lists_are_dealt_in_bounded_cells(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LIST_BLOCK", 20)
+    # one place a hundred times over, as identical rows have it
+    rows = [(1, d, 0) for d in range(200)] + [(1, 500, 0)] * 100 + [(2, d, 0) for d in range(3)]
+    every = line_dedup.cut(spark.createDataFrame(rows, "token long, doc long, line long"))
+    probes = spark.createDataFrame([r for r in set(rows) if r[1] != 1], "token long, doc long, line long")
+    sides = [t.collect() for t in line_dedup.open_cells(every, probes)]
+    cells = [defaultdict(list), defaultdict(list)]
+    for held, side in zip(cells, sides):
+        for r in side:
+            held[r["token"], r["mine"], r["block"]].append(r["doc"])
+        assert max(map(len, held.values())) <= 60
+    met = Counter((cell[0], p, c) for cell, mine in cells[0].items() for p in mine for c in cells[1][cell])
+    copies = Counter((t, d) for t, d, _ in rows)
+    want = {(t, d, e): copies[t, d] * copies[t, e] for t, d, _ in set(rows) if d != 1 for u, e, _ in set(rows) if t == u}
+    assert met == want
+
+
 def fingerprint(text, k=4):
     words = (text or "").encode().lower().split()
     if not words:
