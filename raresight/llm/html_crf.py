@@ -24,6 +24,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
+#: What an open head may hold; anything else ends it, whether its end tag is there or not.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>?|[^<]+|<""", re.S)
@@ -69,8 +71,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
         found = TOKEN.match(page, at)
         at = found.end()
         tag = found[2]
+        in_head = bool(now.stack) and now.stack[-1][0] == "head"
         if tag is None:
             piece = found[0]
+            if in_head and (piece[0] != "<" or piece == "<") and piece.strip():
+                now.stack.pop(), now.gold.pop()
+                hidden -= 1
             if not hidden and (piece[0] != "<" or piece == "<"):
                 piece = html.unescape(piece)
                 now.parts.append(piece)
@@ -94,6 +100,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
             hidden -= sum(x[0] in RAW for x in gone)
             links -= sum(x[0] == "a" for x in gone)
             continue
+        if in_head and tag not in IN_HEAD:
+            now.stack.pop(), now.gold.pop()
+            hidden -= 1
         if tag in VOID:
             if tag == "hr":
                 flush()

@@ -102,6 +102,15 @@ def test_viterbi_is_the_best_path(page_model):
     assert page_model.decode(blocks) == list(best)
 
 
+@pytest.mark.parametrize("start", ["<body>", "<p>", "<div><p>", "<img src=x>", "", "<body><header>Menu</header><p>", "<span>"])
+def test_head_without_an_end(start):
+    head = '<!doctype html><html><head>\n<meta charset=x><title>Not <p>this</title><!-- nor this -->\n<script>"<p>"</script><link rel=y>\n'
+    plain, whole = head + start + "The article.</p><p>Its end.", head + "</head>" + start + "The article.</p><p>Its end."
+    texts = [b.text for b in html_crf.leaf_blocks(plain)]
+    assert texts[-2:] == ["The article.", "Its end."] and not any("this" in t for t in texts)
+    assert texts == [b.text for b in html_crf.leaf_blocks(whole)]
+
+
 def test_odd_pages(spark, page_model):
     cut_off = '<article><p>One &amp; two&nbsp;&lt;b&gt;  x<br>y</p><p>open <b>bold<script>var a="</p>";</script><style>p{}</style><!-- no --> end'
     long = "<article>" + "<p>Many words stand in this one, they do.</p>" * 20_000
