@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import sys
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,6 +31,7 @@ CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "t
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>?|[^<]+|<""", re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|data-gold)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+DIGIT = re.compile(f"[{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isdigit())}]")
 PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
@@ -154,7 +156,7 @@ def text_features(block: Block) -> list[str]:
         f"l:{min(4, int(4 * share))}",
         f"e:{text[-1] in '.!?…:;»”'}",
         f"u:{text[0].isupper()}",
-        f"d:{any(map(str.isdigit, text[:200]))}",
+        f"d:{DIGIT.search(text) is not None}",
         f"s:{'©' in text or '|' in text}",
         f"p:{min(3, text.count('. '))}",
     ]

@@ -111,6 +111,11 @@ def test_head_without_an_end(start):
     assert texts == [b.text for b in html_crf.leaf_blocks(whole)]
 
 
+def test_a_late_digit_counts():
+    for text, found in (("word " * 100 + "7", True), ("word " * 100 + "²", True), ("word " * 100, False)):
+        assert f"d:{found}" in html_crf.text_features(html_crf.Block((), text))
+
+
 def test_odd_pages(spark, page_model):
     cut_off = '<article><p>One &amp; two&nbsp;&lt;b&gt;  x<br>y</p><p>open <b>bold<script>var a="</p>";</script><style>p{}</style><!-- no --> end'
     long = "<article>" + "<p>Many words stand in this one, they do.</p>" * 20_000
