@@ -57,13 +57,20 @@ def release_scratch(spark: SparkSession) -> int:
 
     For the end of a job: frames that read them can't be used any more.
     """
-    conf, gone = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    gone = 0
     while _made:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        gone += bool(path.getFileSystem(conf).delete(path, True))
+        gone += drop_scratch(spark, _made[-1])
     return gone
 
 
+def drop_scratch(spark: SparkSession, path: str) -> bool:
+    """Delete one table of ``scratch_path`` that nothing reads any more."""
+    if path in _made:
+        _made.remove(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
+
+
 def truncate_lineage(df):
     """Write the rows to the shared folder and go on from the written table.
 
