@@ -6,6 +6,8 @@ import sys
 import types
 from collections.abc import Callable
 
+import numpy as np
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -43,6 +45,41 @@ def worker_state(key: str, make: Callable):
     return getattr(store, key)
 
 
+#: Values hashed at once.
+SEGMENT = 1 << 18
+TURN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scramble of 64-bit words."""
+    x = (x ^ (x >> np.uint64(32))) * TURN
+    return x ^ (x >> np.uint64(29))
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """64-bit hashes of runs of ``data``: a polynomial in the odd ``base`` by running sums, moved to a common origin and mixed."""
+
+    def powers(x: int) -> np.ndarray:
+        return np.concatenate(([np.uint64(1)], np.full(SEGMENT, x, np.uint64))).cumprod(dtype=np.uint64)
+
+    up, down = worker_state(f"powers_{base}", lambda: (powers(base), powers(pow(base, -1, 1 << 64))))
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        lo = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(ends, lo + SEGMENT, "right")))
+        if int(ends[stop - 1]) - lo > SEGMENT:  # one run longer than a segment
+            out[at] = xxhash.xxh64_intdigest(data[lo : ends[at]].tobytes(), base & 0xFFFF)
+            at += 1
+            continue
+        part = data[lo : ends[stop - 1]].astype(np.uint64)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((part + np.uint64(1)) * up[: len(part)], dtype=np.uint64)))
+        s, e = starts[at:stop] - lo, ends[at:stop] - lo
+        out[at:stop] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * TURN)
+        at = stop
+    return out
+
+
 def own(df: DataFrame) -> list[Column]:
     """The columns of ``df`` whatever their names hold."""
     return [F.col(f"`{c}`") for c in df.columns]
