@@ -20,6 +20,8 @@ SHARDS = 4
 CELL_BITS = 24
 #: Bytes of text taken at once, phrases counted at once before they leave a task.
 SLICE, HELD, OUT = 1 << 21, 1 << 21, 1 << 18
+#: Slots in which a task keeps the phrases it has named; one that lost its slot is named again.
+NAMED_BITS = 20
 BASE_A, BASE_B = 0x27BB2EE687B0B0FD, 0x9FB21C651E98DF25
 STEP_A, STEP_B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 COUNTS = "a long, b long, n long"
@@ -40,20 +42,28 @@ class Words:
         self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.piece = np.searchsorted(np.flatnonzero(kind == 2), self.starts)
         self.a = run_hashes(self.data, self.starts, self.ends, BASE_A)
-        self.b = run_hashes(self.data, self.starts, self.ends, BASE_B)
+        self._b = None
+
+    def b(self, at: np.ndarray) -> np.ndarray:
+        """Second hashes of the words at some places; all are made once many are asked for."""
+        if self._b is None and 4 * len(at) >= len(self.a):
+            self._b = run_hashes(self.data, self.starts, self.ends, BASE_B)
+        if self._b is not None:
+            return self._b[at]
+        some, where = np.unique(at, return_inverse=True)
+        return run_hashes(self.data, self.starts[some], self.ends[some], BASE_B)[where]
 
     def phrase(self, at: int, length: int) -> str:
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.starts[at : at + length], self.ends[at : at + length])).decode("utf-8", "replace")
 
 
 class Phrases:
-    """Phrases of a text by growing length: places ``at`` and keys ``a``, ``b``; ``a`` holds the language too."""
+    """Phrases of a text by growing length: places ``at`` and keys ``a``, which hold the language too."""
 
     def __init__(self, words: Words, lang: str):
         self.words, self.length = words, 1
         self.at = np.arange(len(words.a))
         self.a = mixed(words.a ^ np.uint64(xxhash.xxh64_intdigest(lang.encode(), 1)))
-        self.b = mixed(words.b)
 
     def grow(self, usable: np.ndarray) -> np.ndarray:
         """One word more, where the phrase and the one a word later are both ``usable``; returns where the former stood."""
@@ -62,15 +72,17 @@ class Phrases:
             both &= self.words.piece[1:] == self.words.piece[:-1]
         kept = np.flatnonzero(both)
         self.at = self.at[kept]
-        last = self.at + self.length
-        self.a = mixed(self.a[kept] * STEP_A + self.words.a[last])
-        self.b = mixed(self.b[kept] * STEP_B + self.words.b[last])
+        self.a = mixed(self.a[kept] * STEP_A + self.words.a[self.at + self.length])
         self.length += 1
         return kept
 
     def keys(self, some=slice(None)) -> tuple[np.ndarray, np.ndarray]:
-        """(a, b): the low bits of ``b`` hold the length."""
-        return self.a[some], (self.b[some] << np.uint64(3)) | np.uint64(self.length)
+        """(a, b): ``b`` is a second, independent hash whose low bits hold the length."""
+        at = self.at[some]
+        b = mixed(self.words.b(at))
+        for i in range(1, self.length):
+            b = mixed(b * STEP_B + self.words.b(at + i))
+        return self.a[some], (b << np.uint64(3)) | np.uint64(self.length)
 
 
 def cell_of(a: np.ndarray) -> np.ndarray:
@@ -198,7 +210,8 @@ def frequent(table: str, spark, least: int, longest: int, shards: int) -> DataFr
         parts.append(cut(found.groupBy("a", "b").agg(F.sum("n").alias("n"))))
         shared.unpersist()
         likely |= marked(parts[-1].where(F.col("n") >= share))
-        new = _totals(parts, likely & (started == 0), least).where(F.col("b").bitwiseAND(F.lit(7)) < longest)
+        # a count that changed now has all its parts in the last cycle
+        new = _totals(parts[-shards:], likely & (started == 0), least).where(F.col("b").bitwiseAND(F.lit(7)) < longest)
         started[marked(new) & (started == 0)] = scan
     return _totals(parts, likely, least)
 
@@ -217,7 +230,7 @@ def named(table: str, found: DataFrame, longest: int) -> DataFrame:
 
     def run(batches):
         on = np.unpackbits(np.frombuffer(zlib.decompress(shared.value), np.uint8)).view(bool)
-        known, words_of = np.zeros(0, np.uint64), Counter()
+        known, words_of = np.zeros(1 << NAMED_BITS, np.uint64), Counter()
         for batch in batches:
             for lang, words in texts_of(batch):
                 words_of[lang] += len(words.a)
@@ -225,10 +238,11 @@ def named(table: str, found: DataFrame, longest: int) -> DataFrame:
                 while True:
                     hit = on[cell_of(at.a)]
                     place = np.flatnonzero(hit)
+                    slot = (at.a[place] & np.uint64((1 << NAMED_BITS) - 1)).astype(np.int64)
+                    place = place[known[slot] != at.a[place]]
                     a, first = np.unique(at.a[place], return_index=True)
-                    fresh = ~np.isin(a, known, assume_unique=True)
-                    known = np.concatenate((known, a[fresh]))
-                    place = place[first[fresh]]
+                    known[(a & np.uint64((1 << NAMED_BITS) - 1)).astype(np.int64)] = a
+                    place = place[first]
                     rows += zip(*(x.view(np.int64).tolist() for x in at.keys(place)), [words.phrase(i, at.length) for i in at.at[place].tolist()])
                     if at.length == longest:
                         break
