@@ -5,8 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
-import sys
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,121 +29,207 @@ IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>?|[^<]+|<""", re.S)
-NAMED = re.compile(r"""(?:^|\s)(class|id|role|data-gold)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-DIGIT = re.compile(f"[{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isdigit())}]")
+NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: A start tag that closes itself, which only void and foreign elements can: the stroke isn't the end of a bare value.
+CLOSED = re.compile(r"""(?:^|["'\s])/\s*\Z""")
+FOREIGN = ("svg", "math")
+DIGIT = re.compile(r"\d")
+#: Digits that are no decimal ones, such as raised and ringed ones; Latin-1 has three of them.
+RAISED = re.compile(f"[{''.join(c for c in map(chr, range(128, 0x1F200)) if c.isdigit() and not c.isdecimal())}]")
 PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+END = {tag: re.compile(rf"</{tag}", re.I) for tag in UNPARSED}
+QUOTES = "\"'"
+
+
+class Node:
+    """An element that is no inline one, by its parent; ``fresh`` are the features that no ancestor has."""
+
+    __slots__ = ("parent", "tag", "fresh", "weight")
+
+    def __init__(self, parent: Node | None, tag: str, fresh: tuple[str, ...]):
+        self.parent, self.tag, self.fresh, self.weight = parent, tag, fresh, None
 
 
 @dataclass(slots=True)
 class Block:
-    """A run of text between block boundaries: its ancestors, text, characters inside links, gold label if any."""
+    """A run of text between block boundaries: its innermost element, text, characters inside links, gold label if any."""
 
-    path: tuple[tuple[str, str], ...]
+    node: Node | None
     text: str
     linked: int = 0
     gold: int | None = None
 
 
-@dataclass(slots=True)
-class _State:
-    stack: list[tuple[str, str]] = field(default_factory=list)
-    gold: list[int | None] = field(default_factory=list)
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
+_OWN: dict[tuple[str, str], tuple[str, ...]] = {}
 
 
-def leaf_blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order; references decoded, white space made single, empty ones left out."""
+def own_features(tag: str, names: str) -> tuple[str, ...]:
+    """An element's tag and the words of its class, id and role."""
+    found = _OWN.get((tag, names))
+    if found is None:
+        if len(_OWN) > 20_000:
+            _OWN.clear()
+        of_tag = {f"a:{tag}"} if tag not in ("html", "body") else set()
+        found = _OWN[tag, names] = tuple(sorted(of_tag | {f"c:{word.lower()}" for word in PART.findall(names)}))
+    return found
+
+
+@dataclass(slots=True)
+class _Open:
+    """An open element; ``outer`` and ``blocks`` count the elements up to it that are not inline, and those that hold blocks."""
+
+    tag: str
+    node: Node | None
+    gold: int | None
+    outer: int
+    blocks: int
+
+
+class _Stack:
+    """Open elements. Every question about them takes the same time however deep they are."""
+
+    def __init__(self):
+        self.items: list[_Open] = []
+        self.places: dict[str, list[int]] = {}
+        self.active: set[str] = set()
+
+    def last(self, tag: str) -> int | None:
+        places = self.places.get(tag)
+        return places[-1] if places else None
+
+    def push(self, tag: str, names: str, gold: int | None) -> None:
+        top = self.items[-1] if self.items else _Open("", None, None, 0, 0)
+        inline, node = tag in INLINE, top.node
+        if not inline:
+            fresh = tuple(f for f in own_features(tag, names) if f not in self.active)
+            self.active.update(fresh)
+            node = Node(top.node, tag, fresh)
+        self.places.setdefault(tag, []).append(len(self.items))
+        self.items.append(_Open(tag, node, top.gold if gold is None else gold, top.outer + (not inline), top.blocks + (not inline and tag not in RAW)))
+
+    def cut(self, depth: int) -> list[str]:
+        """Close the elements from ``depth`` on; their tags."""
+        gone = self.items[depth:]
+        del self.items[depth:]
+        for x in gone:
+            self.places[x.tag].pop()
+            if x.tag not in INLINE:
+                self.active.difference_update(x.node.fresh)
+        return [x.tag for x in gone]
+
+    def above(self, depth: int, what: str) -> int:
+        """How many elements from ``depth`` on are not inline (``outer``), or hold blocks (``blocks``)."""
+        return getattr(self.items[-1], what) - (getattr(self.items[depth - 1], what) if depth else 0)
+
+
+def leaf_blocks(page: str | None, gold: dict[int, int] | None = None) -> list[Block]:
+    """Leaf blocks in page order; references decoded, white space made single, empty ones left out.
+
+    ``gold`` labels what stands in the elements whose start tags begin at its places.
+    Time and memory are in proportion to the page, however deep its elements are.
+    """
     out: list[Block] = []
-    now = _State()
+    stack, parts = _Stack(), []
+    linked = 0
 
     def flush() -> None:
-        if now.parts:
-            text = " ".join("".join(now.parts).split())
+        nonlocal linked
+        if parts:
+            text = " ".join("".join(parts).split())
             if text:
-                gold = next((g for g in reversed(now.gold) if g is not None), None)
-                out.append(Block(tuple(x for x in now.stack if x[0] not in INLINE), text, now.linked, gold))
-            now.parts.clear()
-        now.linked = 0
+                top = stack.items[-1] if stack.items else None
+                out.append(Block(top and top.node, text, linked, top and top.gold))
+            parts.clear()
+        linked = 0
 
     page = page or ""
     at, hidden, links = 0, 0, 0
+
+    def close(depth: int) -> None:
+        nonlocal hidden, links
+        for tag in stack.cut(depth):
+            hidden -= tag in RAW
+            links -= tag == "a"
+
     while at < len(page):
         found = TOKEN.match(page, at)
-        at = found.end()
+        begin, at = at, found.end()
         tag = found[2]
-        in_head = bool(now.stack) and now.stack[-1][0] == "head"
+        in_head = bool(stack.items) and stack.items[-1].tag == "head"
         if tag is None:
             piece = found[0]
             if in_head and (piece[0] != "<" or piece == "<") and piece.strip():
-                now.stack.pop(), now.gold.pop()
-                hidden -= 1
+                close(len(stack.items) - 1)
             if not hidden and (piece[0] != "<" or piece == "<"):
                 piece = html.unescape(piece)
-                now.parts.append(piece)
+                parts.append(piece)
                 if links:
-                    now.linked += len(piece.strip())
+                    linked += len(piece.strip())
             continue
         tag = tag.lower()
         if found[1]:
-            if tag in ("p", "br") and not any(x[0] == tag for x in now.stack):
-                continue
-            depth = next((i for i in range(len(now.stack) - 1, -1, -1) if now.stack[i][0] == tag), None)
+            depth = stack.last(tag)
             if depth is None:
                 continue
-            gone = now.stack[depth:]
-            if any(x[0] not in INLINE and x[0] not in RAW for x in gone):
+            if stack.above(depth, "blocks"):
                 # an inline end tag that comes late doesn't close the blocks around it
                 if tag in INLINE:
                     continue
                 flush()
-            del now.stack[depth:], now.gold[depth:]
-            hidden -= sum(x[0] in RAW for x in gone)
-            links -= sum(x[0] == "a" for x in gone)
+            close(depth)
             continue
         if in_head and tag not in IN_HEAD:
-            now.stack.pop(), now.gold.pop()
-            hidden -= 1
+            close(len(stack.items) - 1)
         if tag in VOID:
             if tag == "hr":
                 flush()
-            now.parts.append(" ")
+            parts.append(" ")
             continue
         if tag not in INLINE and tag not in RAW:
             flush()
             for other in CLOSES.get(tag, ()):
-                depth = next((i for i in range(len(now.stack) - 1, -1, -1) if now.stack[i][0] == other), None)
+                depth = stack.last(other)
                 # only inline elements may stand between for the end to be implied
-                if depth is not None and all(x[0] in INLINE for x in now.stack[depth + 1 :]):
-                    links -= sum(x[0] == "a" for x in now.stack[depth:])
-                    del now.stack[depth:], now.gold[depth:]
-        if found[3].rstrip().endswith("/"):
+                if depth is not None and stack.above(depth, "outer") == 1:
+                    close(depth)
+        if (tag in FOREIGN or any(stack.places.get(x) for x in FOREIGN)) and CLOSED.search(found[3]):
             continue
-        names, gold = "", None
-        if found[3]:
-            for name, value in NAMED.findall(found[3]):
-                value = value.strip("\"'")
-                if name.lower() == "data-gold":
-                    gold = int(value)
-                else:
-                    names += f" {value}"
-        now.stack.append((tag, names))
-        now.gold.append(gold)
+        names = "".join(f" {value.strip(QUOTES)}" for _, value in NAMED.findall(found[3])) if found[3] else ""
+        stack.push(tag, names, gold.get(begin) if gold else None)
         hidden += tag in RAW
         links += tag == "a"
         if tag in UNPARSED:
-            close = re.compile(rf"</{tag}", re.I).search(page, at)
-            at = close.start() if close else len(page)
+            end = END[tag].search(page, at)
+            at = end.start() if end else len(page)
     flush()
     return out
 
 
-def path_features(path: tuple[tuple[str, str], ...]) -> list[str]:
+def near_features(node: Node | None) -> tuple[str, str]:
+    """The nearest tag, and the two nearest."""
+    near = node.tag if node else ""
+    return f"t:{near}", f"n:{node.parent.tag}/{near}" if node and node.parent else f"n:{near}"
+
+
+def path_features(node: Node | None) -> list[str]:
     """Ancestor tags and the words of their classes, ids and roles, each once, and the two nearest tags."""
-    tags = {f"a:{tag}" for tag, _ in path if tag not in ("html", "body")}
-    names = {f"c:{word.lower()}" for _, value in path if value for word in PART.findall(value)}
-    near = [tag for tag, _ in path[-2:]]
-    return [*sorted(tags), *sorted(names), f"t:{near[-1] if near else ''}", f"n:{'/'.join(near)}"]
+    out, at = [*near_features(node)], node
+    while at:
+        out += at.fresh
+        at = at.parent
+    return out
+
+
+def has_digit(text: str) -> bool:
+    if DIGIT.search(text) is not None:
+        return True
+    if text.isascii():
+        return False
+    try:
+        latin = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return RAISED.search(text) is not None
+    return any(x in latin for x in (b"\xb2", b"\xb3", b"\xb9"))
 
 
 def text_features(block: Block) -> list[str]:
@@ -156,7 +241,7 @@ def text_features(block: Block) -> list[str]:
         f"l:{min(4, int(4 * share))}",
         f"e:{text[-1] in '.!?…:;»”'}",
         f"u:{text[0].isupper()}",
-        f"d:{DIGIT.search(text) is not None}",
+        f"d:{has_digit(text)}",
         f"s:{'©' in text or '|' in text}",
         f"p:{min(3, text.count('. '))}",
     ]
@@ -167,18 +252,18 @@ class Field:
 
     def __init__(self, weights: dict[str, float], steps: np.ndarray, start: np.ndarray):
         self.weights, self.steps, self.start = weights, steps, start
-        self.paths: dict[tuple, float] = {}
-
-    def __getstate__(self):
-        return {"weights": self.weights, "steps": self.steps, "start": self.start, "paths": {}}
 
     def evidence(self, block: Block) -> float:
-        known = self.paths.get(block.path)
-        if known is None:
-            if len(self.paths) > 50_000:
-                self.paths.clear()
-            known = self.paths[block.path] = sum(self.weights.get(f, 0.0) for f in path_features(block.path))
-        return known + sum(self.weights.get(f, 0.0) for f in text_features(block))
+        """What a block's features weigh; each element's share is worked out once."""
+        get, todo, at = self.weights.get, [], block.node
+        while at and at.weight is None:
+            todo.append(at)
+            at = at.parent
+        weight = at.weight if at else 0.0
+        for node in reversed(todo):
+            weight += sum(get(f, 0.0) for f in node.fresh)
+            node.weight = weight
+        return weight + sum(get(f, 0.0) for f in near_features(block.node)) + sum(get(f, 0.0) for f in text_features(block))
 
     def decode(self, blocks: list[Block]) -> list[int]:
         """Most likely labels (Viterbi)."""
@@ -210,7 +295,7 @@ def train(pages: list[list[Block]]) -> Field:
     longest = max(map(len, pages))
     for i, page in enumerate(pages):
         for j, block in enumerate(page):
-            for f in path_features(block.path) + text_features(block):
+            for f in path_features(block.node) + text_features(block):
                 cell_block.append(i * longest + j)
                 cell_feature.append(place.setdefault(f, len(place)))
     cell_block, cell_feature = np.array(cell_block), np.array(cell_feature)
@@ -273,6 +358,18 @@ def _close(wrapper: str) -> str:
     return f"</{re.match('<([a-z]+)', wrapper)[1]}>"
 
 
+GOLD = re.compile(r' data-gold="(\d)"')
+
+
+def labelled_blocks(made: str) -> list[Block]:
+    """Blocks of a made-up page, whose gold labels are taken out of it before it is read."""
+    gold, shift = {}, 0
+    for found in GOLD.finditer(made):
+        gold[made.rindex("<", 0, found.start()) - shift] = int(found[1])
+        shift += len(found[0])
+    return leaf_blocks(GOLD.sub("", made), gold)
+
+
 def layout(texts: list[str], rng: random.Random) -> str:
     """A labelled page around the given paragraphs: boilerplate of all kinds in some wrapper before, in and after them."""
     safe = [html.escape(t) for t in texts] or ["Lorem."]
@@ -319,7 +416,10 @@ def by_elements(blocks: list[Block]) -> list[Block]:
     """Gold labels of a page that marks its article by element: main inside it, outside of what isn't its text."""
     kinds = {"nav", "aside", "footer", "form", "header"}
     for b in blocks:
-        tags = {tag for tag, _ in b.path}
+        tags, at = set(), b.node
+        while at:
+            tags.add(at.tag)
+            at = at.parent
         b.gold = int(bool(tags & {"article", "main"}) and not tags & kinds)
     return blocks
 
@@ -344,7 +444,7 @@ def fit(pages: DataFrame, page: str = "html", seed: int = 11) -> Field:
         texts.append([b.text for b in blocks if b.gold][:12])
     filler = [[" ".join("".join(rng.choice(["ta", "re", "no", "il", "en", "so"]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(4, 60))) + "." for _ in range(6)] for _ in range(20 if not texts else 0)]
     for paragraphs in [t for t in texts if t] + filler * 4:
-        labelled += [leaf_blocks(layout(paragraphs, rng)) for _ in range(LAYOUTS)]
+        labelled += [labelled_blocks(layout(paragraphs, rng)) for _ in range(LAYOUTS)]
     return train([[b for b in p if b.gold is not None] for p in labelled])
 
 

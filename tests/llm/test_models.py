@@ -88,7 +88,7 @@ def test_made_up_layouts(page_model):
     rng, wrong, n = random.Random(77), 0, 0
     texts = [["Some heading of it", *(f"Paragraph {i} has a number of words, and then it ends after a while. So it goes." for i in range(5))] for _ in range(60)]
     for paragraphs in texts:
-        blocks = [b for b in html_crf.leaf_blocks(html_crf.layout(paragraphs, rng)) if b.gold is not None]
+        blocks = [b for b in html_crf.labelled_blocks(html_crf.layout(paragraphs, rng)) if b.gold is not None]
         wrong += sum(int(b.gold != y) for b, y in zip(blocks, page_model.decode(blocks)))
         n += len(blocks)
     assert wrong <= 0.03 * n
@@ -126,3 +126,28 @@ def test_odd_pages(spark, page_model):
     assert out[3] == "One & two <b> x y\nopen bold end"
     assert out[4].count("\n") == 19_999
     assert html_crf.fit(frame.limit(0)).weights
+
+
+def test_page_gold_and_closed_tags():
+    texts = lambda page: [(b.text, b.linked) for b in html_crf.leaf_blocks(page)]
+    assert texts('<p data-gold="x">y</p>') == [("y", 0)] and html_crf.leaf_blocks('<p data-gold="1">y</p>')[0].gold is None
+    assert texts("<script src=/a.js/>var x=1;</script><p>t</p>") == [("t", 0)]
+    assert texts("<a href=http://x.com/>link</a> more") == [("link more", 4)]
+    assert texts('<svg><path d="m"/><g/></svg><svg/><p>after</p>') == [("after", 0)]
+    assert texts("<div/>inside") == [("inside", 0)]
+
+
+def test_page_depth_costs_no_square():
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    blocks = html_crf.leaf_blocks("<div class=a>a" * 50_000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(blocks) == 50_000 and most < 200e6
+    assert sorted(html_crf.path_features(blocks[-1].node)) == ["a:div", "c:a", "n:div/div", "t:div"]
+    began = time.time()
+    html_crf.leaf_blocks("<b>" + "<div>a" * 20_000 + "</b>" * 20_000 + "</i>" * 20_000 + "<p>" * 20_000)
+    field = html_crf.Field({"a:div": 1.0}, html_crf.np.zeros((2, 2)), html_crf.np.zeros(2))
+    assert field.decode(blocks) == [1] * 50_000 and time.time() - began < 20
