@@ -12,12 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from raresight.llm.common import carried, cut, small_batches, worker_state
+from raresight.llm.common import carried, cut, run_hashes, small_batches, worker_state
 
 CAPACITY = 4096
 END = 1
-#: Words a worker remembers the ids of; others are encoded each time.
-REMEMBERED = 150_000
+#: Bytes of words and ids that a worker remembers, and ids of a word at most; others are encoded each time.
+REMEMBERED, WORD_IDS = 40 << 20, 64
+BASES = 0x27BB2EE687B0B0FD, 0x9FB21C651E98DF25
+GAP = re.compile("[ \n]")
 #: Code points that are encoded in one call, and rows of a piece table that share a rank block.
 CALL, BLOCK = 1 << 20, 1 << 12
 #: New words encoded in one call.
@@ -25,31 +27,23 @@ TOGETHER = 500
 PIECE = "row long, piece int, start long, length int, ids_crc32 long"
 
 
-class Places(dict):
-    """Word -> its number; a new word gets the next one and is noted."""
-
-    def __init__(self):
-        self.fresh: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        self.fresh.append(word)
-        return number
-
-
 class WordIds:
-    """Ids of words, each encoded once and remembered.
+    """Ids of words, each encoded once and remembered by two 64-bit hashes.
 
     The tokenizer splits at white space before anything that looks beyond a word,
-    so the ids of a text are those of its words in a row.
+    so the ids of a text are those of its words in a row. The table is plain
+    arrays, ``REMEMBERED`` bytes at most whatever the words are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.place = Places()
-        self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.a, self.b = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.begin, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def held(self) -> int:
+        return sum(x.nbytes for x in (self.a, self.b, self.begin, self.count, self.flat))
 
     def _encode(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of words, encoded together and told apart by where their tokens stand."""
@@ -78,26 +72,68 @@ class WordIds:
         return ids[np.arange(int(counts.sum())) + np.repeat(begin - shift, counts)], counts
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        where = np.array([x for some in split for x in map(self.place.__getitem__, some)], np.int64)
-        fresh, self.place.fresh = self.place.fresh, []
-        if fresh:
-            ids, counts = self._encode(fresh)
-            self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(counts)))
-            self.flat = np.concatenate((self.flat, ids))
-        begin = self.begin
-        lengths = begin[where + 1] - begin[where]
-        ends = np.cumsum(lengths)
-        every = self.flat[np.arange(int(lengths.sum())) + np.repeat(begin[where] - (ends - lengths), lengths)]
-        over = min(len(fresh), len(self.place) - REMEMBERED)
-        if over > 0:
-            for w in fresh[len(fresh) - over :]:
-                del self.place[w]
-            self.begin = begin[: len(begin) - over]
-            self.flat = self.flat[: self.begin[-1]]
-        last = np.cumsum([len(some) for some in split]) - 1
-        return np.split(every, ends[last][:-1])
+        """Ids of each text; long ones are taken in parts that end between words."""
+        parts, owner = [], []
+        for i, text in enumerate(texts):
+            at = 0
+            while True:
+                gap = GAP.search(text, at + CALL) if len(text) - at > CALL else None
+                parts.append(text[at : gap.start() if gap else len(text)].encode())
+                owner.append(i)
+                if not gap:
+                    break
+                at = gap.start()
+        lo, out = 0, [[] for _ in texts]
+        while lo < len(parts):
+            hi, size = lo, 0
+            while hi < len(parts) and (hi == lo or size + len(parts[hi]) <= 4 * CALL):
+                size += len(parts[hi])
+                hi += 1
+            for i, found in zip(owner[lo:hi], self._part_ids(parts[lo:hi])):
+                out[i].append(found)
+            lo = hi
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
+
+    def _part_ids(self, parts: list[bytes]) -> list[np.ndarray]:
+        data = np.frombuffer(b"\n".join(parts), np.uint8)
+        edge = np.diff(((data != 32) & (data != 10)).view(np.int8), prepend=0, append=0)
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        a, b = (run_hashes(data, starts, ends, base) for base in BASES)
+        _, first, word = np.unique(a, return_index=True, return_inverse=True)
+        if (b[first][word] != b).any():
+            _, first, word = np.unique(np.stack((a, b), axis=1), axis=0, return_index=True, return_inverse=True)
+            word = word.ravel()
+        a, b = a[first], b[first]
+        begin, count, flat = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), self.flat
+        place = np.searchsorted(self.a, a)
+        known = np.zeros(len(a), bool)
+        if len(self.a):
+            there = np.minimum(place, len(self.a) - 1)
+            known = (self.a[there] == a) & (self.b[there] == b)
+            begin[known], count[known] = self.begin[there[known]], self.count[there[known]]
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            made, n = self._encode([data[s:e].tobytes().decode() for s, e in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist())])
+            begin[fresh], count[fresh] = len(flat) + np.cumsum(n) - n, n
+            flat = np.concatenate((flat, made))
+            self._remember(fresh, place, a, b, count, made, n)
+        lengths = count[word]
+        stop = np.cumsum(lengths)
+        every = flat[np.arange(int(lengths.sum())) + np.repeat(begin[word] - (stop - lengths), lengths)]
+        last = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in parts]))  # words up to the end of each part
+        edges = np.concatenate(([0], stop))[last]
+        return np.split(every, edges[:-1])
+
+    def _remember(self, fresh, place, a, b, count, made, n) -> None:
+        room = (REMEMBERED - self.held()) - np.cumsum(28 + 4 * np.minimum(n, WORD_IDS + 1))
+        some = np.flatnonzero((n <= WORD_IDS) & (room > 0))
+        if not len(some):
+            return
+        at, kept = place[fresh[some]], fresh[some]
+        begin = len(self.flat) + np.cumsum(n[some]) - n[some]
+        self.flat = np.concatenate((self.flat, made[np.repeat(np.isin(np.arange(len(n)), some), n)]))
+        self.a, self.b = np.insert(self.a, at, a[kept]), np.insert(self.b, at, b[kept])
+        self.begin, self.count = np.insert(self.begin, at, begin), np.insert(self.count, at, count[kept].astype(np.int32))
 
 
 def slices(batch: pa.RecordBatch):
