@@ -19,13 +19,17 @@ SHARDS = 4
 #: Cells of the activation table and of the filters, a byte or a bit each whatever the input.
 CELL_BITS = 24
 #: Bytes of text taken at once, phrases counted at once before they leave a task.
-SLICE, HELD, OUT = 1 << 21, 1 << 21, 1 << 18
+SLICE, HELD, OUT = 1 << 21, 3 << 20, 1 << 18
 #: Slots in which a task keeps the phrases it has named; one that lost its slot is named again.
 NAMED_BITS = 20
 BASE_A, BASE_B = 0x27BB2EE687B0B0FD, 0x9FB21C651E98DF25
 STEP_A, STEP_B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-COUNTS = "a long, b long, n long"
+COUNTS = "a long, b int, n long"
+#: Mentions of a phrase that the first naming scan passes on, about; a scan after it passes on all it is asked for.
+MENTIONS = 16
 #: What a byte is: 0 of a word, 1 between words, 2 between pieces.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
 KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
@@ -35,11 +39,12 @@ class Words:
     """Word hashes of a text, in two independent 64-bit words, and the piece each word is in."""
 
     def __init__(self, data: np.ndarray):
-        upper = (data >= 65) & (data <= 90)
-        self.data = data + (upper.astype(np.uint8) << 5)
+        self.data = LOWER[data]
         kind = KIND[data]
-        edge = np.diff((kind == 0).view(np.int8), prepend=0, append=0)
-        self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        inside = np.zeros(len(data) + 2, bool)
+        np.equal(kind, 0, out=inside[1:-1])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        self.starts, self.ends = edge[::2], edge[1::2]
         self.piece = np.searchsorted(np.flatnonzero(kind == 2), self.starts)
         self.a = run_hashes(self.data, self.starts, self.ends, BASE_A)
         self._b = None
@@ -57,13 +62,18 @@ class Words:
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.starts[at : at + length], self.ends[at : at + length])).decode("utf-8", "replace")
 
 
+def language_key(lang: str) -> np.uint64:
+    """Spark's xxhash64 of the name."""
+    return np.uint64(xxhash.xxh64_intdigest(lang.encode(), 42))
+
+
 class Phrases:
     """Phrases of a text by growing length: places ``at`` and keys ``a``, which hold the language too."""
 
     def __init__(self, words: Words, lang: str):
         self.words, self.length = words, 1
         self.at = np.arange(len(words.a))
-        self.a = mixed(words.a ^ np.uint64(xxhash.xxh64_intdigest(lang.encode(), 1)))
+        self.a = mixed(words.a ^ language_key(lang))
 
     def grow(self, usable: np.ndarray) -> np.ndarray:
         """One word more, where the phrase and the one a word later are both ``usable``; returns where the former stood."""
@@ -77,12 +87,12 @@ class Phrases:
         return kept
 
     def keys(self, some=slice(None)) -> tuple[np.ndarray, np.ndarray]:
-        """(a, b): ``b`` is a second, independent hash whose low bits hold the length."""
+        """(a, b): ``b`` is a second, independent hash of 29 bits before the length's three."""
         at = self.at[some]
         b = mixed(self.words.b(at))
         for i in range(1, self.length):
             b = mixed(b * STEP_B + self.words.b(at + i))
-        return self.a[some], (b << np.uint64(3)) | np.uint64(self.length)
+        return self.a[some], ((b >> np.uint64(35)) << np.uint64(3) | np.uint64(self.length)).astype(np.uint32)
 
 
 def cell_of(a: np.ndarray) -> np.ndarray:
@@ -122,6 +132,7 @@ def counts_of(scan: int, shards: int, longest: int, started):
     A phrase starts when its first and its last words but one have both reached it,
     and is counted in the ``shards`` scans that follow: one full cycle. Cells only
     ever get their first value, so each phrase keeps its start, whatever shares its cells.
+    A language's own key, with no length, counts its words.
     """
 
     def run(batches):
@@ -131,13 +142,15 @@ def counts_of(scan: int, shards: int, longest: int, started):
         def out(parts):
             a, b, n = tallied(parts)
             for lo in range(0, len(a), OUT):
-                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + OUT].view(np.int64)) for x in (a, b, n)], ["a", "b", "n"])
+                columns = a[lo : lo + OUT].view(np.int64), b[lo : lo + OUT].view(np.int32), n[lo : lo + OUT]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "n"])
 
         for batch in batches:
             for lang, words in texts_of(batch):
                 at = Phrases(words, lang)
                 if scan <= shards:
                     parts.append((*at.keys(), np.ones(len(at.a), np.int64)))
+                    parts.append((np.array([language_key(lang)]), np.zeros(1, np.uint32), np.array([len(at.a)])))
                     held += len(at.a)
                 begun = np.zeros(len(at.a), np.uint8)
                 for _ in range(2, longest + 1):
@@ -178,83 +191,130 @@ def marked(rows: DataFrame) -> np.ndarray:
 
 
 def in_cells(rows: DataFrame, cells: np.ndarray) -> DataFrame:
-    """The counts whose cells are on, and some more if they share them."""
+    """The counts whose cells are on, and some more if they share them; those of languages always."""
     shared = rows.sparkSession.sparkContext.broadcast(zlib.compress(np.packbits(cells).tobytes(), 1))
 
     def keep(batches):
         on = np.unpackbits(np.frombuffer(zlib.decompress(shared.value), np.uint8)).view(bool)
         for batch in batches:
-            yield batch.filter(pa.array(on[cell_of(batch.column(0).to_numpy().view(np.uint64))]))
+            yield batch.filter(pa.array(on[cell_of(batch.column(0).to_numpy().view(np.uint64))] | (batch.column(1).to_numpy() == 0)))
 
     return rows.mapInArrow(keep, COUNTS)
 
 
 def frequent(table: str, spark, least: int, longest: int, shards: int) -> DataFrame:
-    """(a, b, n) of every phrase that occurs ``least`` times or more, from the shards at ``table``.
+    """(a, b, n) of every phrase that occurs ``least`` times or more, and of every language, from the shards at ``table``.
 
     Scans go round the shards. Words are counted from the first scan on, longer
     phrases from when both subphrases have reached the threshold; the scans end
     when each phrase has completed its cycle. A phrase of ``least`` occurrences has
     a share of them in one scan at least, so only keys with such a share are added
-    up over the scans.
+    up over the scans, and of a scan that no open cycle holds any more only they stay.
     """
     started = np.zeros(1 << CELL_BITS, np.uint8)
     likely = np.zeros(1 << CELL_BITS, bool)
     share = -(-least // shards)
-    parts, scan = [], 0
+    parts, done, scan = [], [], 0
     while scan < shards or scan < int(started.max()) + shards:
         scan += 1
         texts = spark.read.parquet(f"{table}/shard={(scan - 1) % shards}").select("lang", "text")
         shared = spark.sparkContext.broadcast(zlib.compress(started.tobytes(), 1))
         found = texts.mapInArrow(counts_of(scan, shards, longest, shared), COUNTS)
-        parts.append(cut(found.groupBy("a", "b").agg(F.sum("n").alias("n"))))
+        parts.append(written(found.groupBy("a", "b").agg(F.sum("n").alias("n"))))
         shared.unpersist()
-        likely |= marked(parts[-1].where(F.col("n") >= share))
+        likely |= marked(parts[-1][0].where(F.col("n") >= share))
         # a count that changed now has all its parts in the last cycle
-        new = _totals(parts[-shards:], likely & (started == 0), least).where(F.col("b").bitwiseAND(F.lit(7)) < longest)
+        new = _totals([x for x, _ in parts], likely & (started == 0), least).where(F.col("b").bitwiseAND(F.lit(7)).between(1, longest - 1))
         started[marked(new) & (started == 0)] = scan
-    return _totals(parts, likely, least)
+        if len(parts) == shards:
+            old, path = parts.pop(0)
+            done.append(cut(in_cells(old, likely)))
+            drop_scratch(spark, path)
+    return _totals(done + [x for x, _ in parts], likely, least)
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """A table under the shared folder, and where it is."""
+    path = scratch_path(df.sparkSession, "counts")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def _totals(parts: list[DataFrame], cells: np.ndarray, least: int) -> DataFrame:
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.union(more)
-    return in_cells(rows, cells).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    total = in_cells(rows, cells).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return total.where((F.col("n") >= least) | (F.col("b") == 0))
 
 
-def named(table: str, found: DataFrame, longest: int) -> DataFrame:
-    """(a, b, lang, phrase) once a task for phrases of ``found`` and maybe others; rows without a phrase have a language's words in ``n``."""
-    spark = found.sparkSession
-    shared = spark.sparkContext.broadcast(zlib.compress(np.packbits(marked(found)).tobytes(), 1))
+def levels_of(found: DataFrame) -> np.ndarray:
+    """By cell, two more than the logarithm of the largest count of its keys; 0 without a key. The driver gets a byte a cell at most."""
+    level = F.floor(F.log2(F.max("n"))) + 2
+    cells = found.groupBy(F.shiftrightunsigned("a", 64 - CELL_BITS).cast("int").alias("cell")).agg(level.cast("byte").alias("level")).toArrow()
+    out = np.zeros(1 << CELL_BITS, np.uint8)
+    out[cells["cell"].to_numpy()] = cells["level"].to_numpy()
+    return out
+
+
+def mentions_of(levels, all_of_them: bool, shards: int, longest: int):
+    """(a, b, phrase) of asked-for phrases of a scan, and of some that share their cells.
+
+    ``levels`` is 0 where no phrase is asked for, 1 where one leads to longer ones
+    alone, else ``levels_of``. A phrase passes once a batch, by a hash of key and batch so often that about
+    ``MENTIONS`` do, or ``all_of_them``; a task passes it on again only if it lost its slot.
+    """
 
     def run(batches):
-        on = np.unpackbits(np.frombuffer(zlib.decompress(shared.value), np.uint8)).view(bool)
-        known, words_of = np.zeros(1 << NAMED_BITS, np.uint64), Counter()
+        level = np.frombuffer(zlib.decompress(levels.value), np.uint8)
+        known = np.zeros(1 << NAMED_BITS, np.uint64)
+        slot_of = lambda a: (a & np.uint64((1 << NAMED_BITS) - 1)).astype(np.int64)
         for batch in batches:
             for lang, words in texts_of(batch):
-                words_of[lang] += len(words.a)
                 at, rows = Phrases(words, lang), []
+                mark = mixed(np.array([zlib.crc32(words.data)], np.uint64))
                 while True:
-                    hit = on[cell_of(at.a)]
-                    place = np.flatnonzero(hit)
-                    slot = (at.a[place] & np.uint64((1 << NAMED_BITS) - 1)).astype(np.int64)
-                    place = place[known[slot] != at.a[place]]
+                    seen = level[cell_of(at.a)]
+                    place = np.flatnonzero(seen > 1)
+                    if not all_of_them:
+                        often = np.minimum(1.0, MENTIONS * shards * 2.0 ** (2.0 - seen[place]))
+                        place = place[(mixed(at.a[place] ^ mark) >> np.uint64(11)) * 2.0**-53 < often]
+                    place = place[known[slot_of(at.a[place])] != at.a[place]]
                     a, first = np.unique(at.a[place], return_index=True)
-                    known[(a & np.uint64((1 << NAMED_BITS) - 1)).astype(np.int64)] = a
+                    known[slot_of(a)] = a
                     place = place[first]
-                    rows += zip(*(x.view(np.int64).tolist() for x in at.keys(place)), [words.phrase(i, at.length) for i in at.at[place].tolist()])
+                    keys = at.keys(place)
+                    rows += zip(keys[0].view(np.int64).tolist(), keys[1].view(np.int32).tolist(), [words.phrase(i, at.length) for i in at.at[place].tolist()])
                     if at.length == longest:
                         break
-                    at.grow(hit)
+                    at.grow(seen > 0)
                 if rows:
                     a, b, phrase = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([lang] * len(a)), pa.array(phrase), pa.nulls(len(a), pa.int64())], ["a", "b", "lang", "phrase", "n"])
-        if words_of:
-            none = pa.nulls(len(words_of), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(list(words_of)), none.cast(pa.string()), pa.array(list(words_of.values()), pa.int64())], ["a", "b", "lang", "phrase", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array([lang] * len(a)), pa.array(phrase)], ["a", "b", "lang", "phrase"])
+
+    return run
+
 
-    return spark.read.parquet(table).select("lang", "text").mapInArrow(run, "a long, b long, lang string, phrase string, n long")
+def named(table: str, found: DataFrame, longest: int, shards: int) -> DataFrame:
+    """(lang, phrase, words, f) of the counted phrases ``found``, their words read off the texts.
+
+    The first shard names nearly all; the next ones are read for those not met so far.
+    """
+    spark, out, rest, every = found.sparkSession, None, found, levels_of(found) > 0
+    for i in range(shards):
+        levels = levels_of(rest)
+        if not levels.any():
+            break
+        levels = np.where(levels > 0, levels, every)
+        shared = spark.sparkContext.broadcast(zlib.compress(levels.tobytes(), 1))
+        texts = spark.read.parquet(f"{table}/shard={i}").select("lang", "text")
+        met = texts.mapInArrow(mentions_of(shared, i > 0, shards, longest), "a long, b int, lang string, phrase string")
+        names = met.join(rest.select("a", "b", "n"), ["a", "b"]).groupBy("a", "b").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"), F.min("n").alias("f"))
+        names = cut(names)
+        out = names if out is None else out.union(names)
+        rest = cut(rest.join(names, ["a", "b"], "left_anti"))
+    kind = "lang string, phrase string, words int, f long"
+    return spark.createDataFrame([], kind) if out is None else out.select("lang", "phrase", F.col("b").bitwiseAND(F.lit(7)).cast("int").alias("words"), "f")
 
 
 def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -275,10 +335,9 @@ def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least: int
     for i in range(shards):
         rows.limit(0).write.mode("append").parquet(f"{table}/shard={i}")
     found = cut(frequent(table, spark, least, longest, shards))
-    names = cut(named(table, found, longest))
-    text_of = names.where(F.col("phrase").isNotNull()).groupBy("a", "b").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
-    kept = cut(found.join(text_of, ["a", "b"]).select("lang", "phrase", F.col("b").bitwiseAND(F.lit(7)).cast("int").alias("words"), F.col("n").alias("f")))
-    totals = cut(names.where(F.col("phrase").isNull()).groupBy("lang").agg(F.sum("n").alias("n")))
+    kept = cut(named(table, found.where(F.col("b") != 0), longest, shards))
+    langs = rows.select("lang").distinct().withColumn("a", F.xxhash64("lang"))
+    totals = cut(found.where((F.col("b") == 0) & (F.col("n") > 0)).join(langs, "a").select("lang", "n"))
     drop_scratch(spark, table)
     return kept, totals
 
