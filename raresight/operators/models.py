@@ -4,29 +4,35 @@ Frames hold ``case_index``, ``label`` (0/1) and ``features`` (vector). A fitted
 model's ``transform`` adds ``prediction``; ``scored`` turns that into
 ``predicted`` and ``proba`` (0 where a learner has no probabilities).
 
+Trees and forests are regression trees on the 0/1 label: the split criterion,
+variance, is half the Gini impurity, and a leaf keeps its share of positives.
+A native classification tree merges sibling leaves of the same class, which on
+a rare label leaves one node. ``entropy`` has no such twin: those trees are
+classifiers and score by class.
+
 Against the usual single-machine learners: tree depth stops at 30, trees have
 no minimum split size, boosting has no L1/L2 terms or step bound, the linear
-SVC uses the hinge loss, and the perceptron is trained by L-BFGS.
+SVC uses the hinge loss with a sigmoid fitted on its margin, and the
+perceptron is trained by L-BFGS.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LinearSVC,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasSeed
+from pyspark.ml.param.shared import HasSeed
+from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import uniform
@@ -81,6 +87,87 @@ class ThresholdScreen(Model):
         return df.withColumn("prediction", threshold_screen(x, self.cutoff).cast("double"))
 
 
+#: A line of a tree's description: depth by its indent, then a test or a leaf.
+_LINE = re.compile(r"^( *)(?:If \(feature (\d+) <= (\S+)\)|(Else) .*|Predict: (\S+))$")
+
+
+@dataclass
+class PackedTrees:
+    """The nodes of many trees in flat arrays, scored side by side.
+
+    A node goes ``left`` where its feature is at most its threshold; leaves have
+    feature -1. ``roots`` has the first node of each tree, ``importances`` the mean
+    of the trees' feature importances. However many trees there are, a plan holds
+    one vectorised step, and its memory is bounded by ``CELLS``.
+    """
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+    roots: np.ndarray
+    importances: np.ndarray
+
+    @classmethod
+    def of(cls, models: list) -> PackedTrees:
+        """Pack fitted trees, or forests of one tree, with continuous features."""
+        feature, threshold, left, right, value, roots = [], [], [], [], [], []
+        for model in models:
+            roots.append(len(feature))
+            open_: list[tuple[int, int]] = []  # (depth, node) whose right side is still to come
+            above: list[tuple[int, int]] = []
+            for line in model.toDebugString.splitlines():
+                found = _LINE.match(line)
+                if not found or "Tree" in line:
+                    continue
+                depth, node = len(found[1]), len(feature)
+                if found[4]:
+                    while above and above[-1][0] > depth:
+                        above.pop()
+                    open_.append(above.pop())
+                    continue
+                feature.append(int(found[2]) if found[2] else -1)
+                threshold.append(float(found[3]) if found[3] else 0.0)
+                value.append(float(found[5]) if found[5] else 0.0)
+                left.append(node)
+                right.append(node)
+                if open_ and open_[-1][0] < depth:
+                    right[open_.pop()[1]] = node
+                elif above:
+                    left[above[-1][1]] = node
+                if found[2]:
+                    above.append((depth, node))
+        importances = np.mean([m.featureImportances.toArray() for m in models], axis=0)
+        return cls(np.array(feature, np.int32), np.array(threshold), np.array(left, np.int32), np.array(right, np.int32), np.array(value), np.array(roots, np.int32), importances)
+
+    #: Rows times trees that are held at once.
+    CELLS = 1 << 20
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        """(rows, trees): the value of each row's leaf."""
+        node = np.repeat(self.roots[None, :], len(x), axis=0)
+        row = np.arange(len(x))[:, None]
+        while True:
+            f = self.feature[node]
+            if (f < 0).all():
+                return self.value[node]
+            goes_left = x[row, np.maximum(f, 0)] <= self.threshold[node]
+            node = np.where(f < 0, node, np.where(goes_left, self.left[node], self.right[node]))
+
+    def combined(self, df: DataFrame, combine, name: str) -> DataFrame:
+        """``df`` with ``combine`` of its rows' leaf values, one number a row."""
+        step = max(1, self.CELLS // max(1, len(self.roots)))
+        shared = df.sparkSession.sparkContext.broadcast(self)
+
+        def score(features: pd.Series) -> pd.Series:
+            x = np.stack(features.to_numpy()) if len(features) else np.zeros((0, 1))
+            parts = [combine(shared.value.values(x[lo : lo + step])) for lo in range(0, len(x), step)]
+            return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+        return df.withColumn(name, F.pandas_udf(score, "double")(vector_to_array("features")))
+
+
 class _ClassRows(Params):
     """Shared parts of the composed learners."""
 
@@ -126,18 +213,22 @@ def bootstrap_weight(*salt) -> Column:
 
 
 class AveragedModel(Model):
-    """Mean probability of the member models; positive from one half on."""
+    """Mean score of the member trees; positive above one half."""
 
-    def __init__(self, members: list):
+    def __init__(self, trees: PackedTrees):
         super().__init__()
-        self.members = members
+        self.trees = trees
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        out, base = df, df.columns
-        for i, m in enumerate(self.members):
-            out = m.transform(out).withColumn(f"__p{i}", vector_to_array("probability")[1]).drop(*ML_COLUMNS)
-        mean = sum((F.col(f"__p{i}") for i in range(len(self.members))), F.lit(0.0)) / F.lit(float(len(self.members)))
-        return out.select(*base, mean.alias("proba")).withColumn("prediction", (F.col("proba") > 0.5).cast("double"))
+        out = self.trees.combined(df, lambda values: values.mean(axis=1), "proba")
+        return out.withColumn("prediction", (F.col("proba") > 0.5).cast("double"))
+
+
+def tree_learner(impurity: str = "gini", **params):
+    """A forest whose trees keep the share of positives of their leaves, see the module's text."""
+    if impurity == "gini":
+        return RandomForestRegressor(**params)
+    return RandomForestClassifier(impurity=impurity, **params)
 
 
 class BalancedBagging(Estimator, HasSeed, _ClassRows):
@@ -161,12 +252,12 @@ class BalancedBagging(Estimator, HasSeed, _ClassRows):
                 bag = bag.where("weight > 0")
                 if self.getOrDefault(self.balanced):
                     bag = balanced_weights(bag, name="__cw").withColumn("weight", F.col("weight") * F.col("__cw"))
-                tree = RandomForestClassifier(
+                tree = tree_learner(
+                    self.getOrDefault(self.impurity),
                     numTrees=1,
                     bootstrap=False,
                     featureSubsetStrategy=self.strategy,
                     maxDepth=self.getOrDefault(self.maxDepth),
-                    impurity=self.getOrDefault(self.impurity),
                     minInstancesPerNode=self.getOrDefault(self.minInstancesPerNode),
                     weightCol="weight",
                     seed=seed + i,
@@ -175,7 +266,7 @@ class BalancedBagging(Estimator, HasSeed, _ClassRows):
 
             return fit
 
-        return AveragedModel(self._members(df, [member(i) for i in range(self.getOrDefault(self.rounds))]))
+        return AveragedModel(PackedTrees.of(self._members(df, [member(i) for i in range(self.getOrDefault(self.rounds))])))
 
 
 class BalancedRandomForest(BalancedBagging):
@@ -185,28 +276,31 @@ class BalancedRandomForest(BalancedBagging):
 
 
 class BoostedModel(Model):
-    """Weighted vote (SAMME) or summed log odds (SAMME.R) of the members."""
+    """Weighted vote (SAMME) or summed log odds (SAMME.R) of the member trees."""
 
-    def __init__(self, members: list, alphas: list[float], variant: str):
+    def __init__(self, trees: PackedTrees, alphas: list[float], variant: str):
         super().__init__()
-        self.members, self.alphas, self.variant = members, alphas, variant
+        self.trees, self.alphas, self.variant = trees, list(alphas), variant
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        out, base = df, df.columns
-        for i, m in enumerate(self.members):
-            out = m.transform(out).withColumn(f"__v{i}", member_vote(self.variant)).drop(*ML_COLUMNS)
-        total = sum(self.alphas) or 1.0
-        d = sum((F.col(f"__v{i}") * F.lit(a) for i, a in enumerate(self.alphas)), F.lit(0.0)) / F.lit(total)
-        proba = F.lit(1.0) / (F.lit(1.0) + F.exp(-d))
-        return out.select(*base, d.alias("__d")).select(
-            *base, (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("__d")))).alias("proba"), (F.col("__d") > 0).cast("double").alias("prediction")
-        )
+        share, variant = np.array(self.alphas) / (sum(self.alphas) or 1.0), self.variant
+
+        def margin(values: np.ndarray) -> np.ndarray:
+            if variant == "SAMME":
+                return np.where(values > 0.5, 1.0, -1.0) @ share
+            p = np.clip(values, 1e-10, 1.0 - 1e-10)
+            return (np.log(p) - np.log1p(-p)) @ share
+
+        out = self.trees.combined(df, margin, "__d")
+        proba = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("__d")))
+        return out.withColumns({"proba": proba, "prediction": (F.col("__d") > 0).cast("double")}).drop("__d")
 
 
 def member_vote(variant: str) -> Column:
+    """A regression tree's vote: its class as a sign, or the log odds of its leaf."""
     if variant == "SAMME":
-        return F.when(F.col("prediction") == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
-    p = F.greatest(F.least(vector_to_array("probability")[1], F.lit(1.0 - 1e-10)), F.lit(1e-10))
+        return F.when(F.col("prediction") > 0.5, F.lit(1.0)).otherwise(F.lit(-1.0))
+    p = F.greatest(F.least(F.col("prediction"), F.lit(1.0 - 1e-10)), F.lit(1e-10))
     return F.log(p) - F.log(F.lit(1.0) - p)
 
 
@@ -231,9 +325,9 @@ class AdaBoost(Estimator, HasSeed, _ClassRows):
         members, alphas = [], []
         for i in range(self.getOrDefault(self.rounds)):
             rows = balanced_draw(work, counts, seed, i) if self.under_sample else work
-            tree = DecisionTreeClassifier(maxDepth=self.getOrDefault(self.maxDepth), weightCol="weight", seed=seed + i).fit(rows)
+            tree = DecisionTreeRegressor(maxDepth=self.getOrDefault(self.maxDepth), weightCol="weight", seed=seed + i).fit(rows)
             out = tree.transform(work).withColumns(
-                {"__wrong": (F.col("prediction") != F.col("label")).cast("int"), "__vote": member_vote(variant)}
+                {"__wrong": ((F.col("prediction") > 0.5).cast("int") != F.col("label")).cast("int"), "__vote": member_vote(variant)}
             )
             w = F.col("weight")
             factor_r = F.exp(F.lit(-0.5 * rate) * F.when(F.col("label") == 1, F.col("__vote")).otherwise(-F.col("__vote")))
@@ -258,7 +352,7 @@ class AdaBoost(Estimator, HasSeed, _ClassRows):
                 work = truncate_lineage(work)
         if not members:  # the first stump is no better than chance
             members, alphas = [tree], [1.0]
-        return BoostedModel(members, alphas, variant)
+        return BoostedModel(PackedTrees.of(members), alphas, variant)
 
 
 class RUSBoost(AdaBoost):
@@ -267,24 +361,45 @@ class RUSBoost(AdaBoost):
     under_sample = True
 
 
-class Weighted(Estimator):
-    """Any native learner with balanced class weights."""
+class ForestModel(Model):
+    """A fitted forest: its mean leaf share as ``proba``."""
 
-    def __init__(self, learner):
+    def __init__(self, forest):
         super().__init__()
-        self.learner = learner
+        self.forest = forest
 
-    def _fit(self, df: DataFrame):
-        return self.learner.copy().setParams(weightCol="weight").fit(balanced_weights(df))
+    @property
+    def featureImportances(self):
+        return self.forest.featureImportances
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        out = self.forest.transform(df)
+        p = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
+        return out.withColumn("proba", p).drop(*ML_COLUMNS).withColumn("prediction", (F.col("proba") > 0.5).cast("double"))
 
-    def copy(self, extra=None):
-        return Weighted(self.learner.copy(extra))
 
-    def hasParam(self, name):
-        return self.learner.hasParam(name)
+class Forest(Estimator, HasSeed, _ClassRows):
+    """A forest, or with one tree a decision tree that tries a feature subset at each split."""
 
-    def getParam(self, name):
-        return self.learner.getParam(name)
+    numTrees = Param(Params._dummy(), "numTrees", "trees", TypeConverters.toInt)
+    featureSubsetStrategy = Param(Params._dummy(), "featureSubsetStrategy", "features tried at a split", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, numTrees=20, maxDepth=5, impurity="gini", minInstancesPerNode=1, bootstrap=False, featureSubsetStrategy="auto", balanced=False, seed=0):
+        super().__init__()
+        self._setDefault(numTrees=20, maxDepth=5, impurity="gini", minInstancesPerNode=1, bootstrap=False, featureSubsetStrategy="auto", balanced=False)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> ForestModel:
+        strategy = self.getOrDefault(self.featureSubsetStrategy)
+        trees = self.getOrDefault(self.numTrees)
+        params = {p: self.getOrDefault(p) for p in ("numTrees", "maxDepth", "minInstancesPerNode", "bootstrap")}
+        # the regressor's own default of a third is not the classifier's root
+        strategy = ("all" if trees == 1 else "sqrt") if strategy == "auto" else strategy
+        learner = tree_learner(self.getOrDefault(self.impurity), seed=self.getSeed(), featureSubsetStrategy=strategy, **params)
+        if self.getOrDefault(self.balanced):
+            df, learner = balanced_weights(df), learner.setWeightCol("weight")
+        return ForestModel(learner.fit(df))
 
 
 class ScaledSVC(Estimator, _ClassRows):
@@ -309,7 +424,24 @@ class ScaledSVC(Estimator, _ClassRows):
         svc = LinearSVC(featuresCol="__scaled", regParam=1.0 / (self.getOrDefault(self.C) * n), maxIter=self.maxIter)
         if weighted:
             svc = svc.setWeightCol("weight")
-        return Pipeline(stages=[scaler, svc]).fit(rows)
+        fitted = Pipeline(stages=[scaler, svc]).fit(rows)
+        margins = fitted.transform(df).select(F.col("label").cast("double").alias("label"), array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("features"))
+        sigmoid = LogisticRegression(maxIter=50).fit(truncate_lineage(margins))
+        return MarginModel(fitted, float(sigmoid.coefficients[0]), float(sigmoid.intercept))
+
+
+class MarginModel(Model):
+    """A linear classifier with a sigmoid on its margin; the class stays the margin's sign."""
+
+    def __init__(self, fitted, slope: float, intercept: float):
+        super().__init__()
+        self.fitted, self.slope, self.intercept = fitted, slope, intercept
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        out = self.fitted.transform(df)
+        margin = vector_to_array("rawPrediction")[1]
+        proba = F.lit(1.0) / (F.lit(1.0) + F.exp(-(margin * F.lit(self.slope) + F.lit(self.intercept))))
+        return out.withColumn("proba", proba).drop("rawPrediction", "__scaled")
 
 
 class ScaledPerceptron(Estimator):
@@ -360,17 +492,13 @@ SPACES = {
 
 
 def make_model(name: str, seed: int = 0, **params):
-    """Unfitted learner by its stored name."""
+    """Unfitted learner by its stored name; the incumbent rule needs no fit and is a model at once."""
     plain = name.removesuffix("(balanced)")
     balanced = name != plain
     if plain == "DecisionTree":
-        # a one-tree forest is the native way to try a feature subset per split
-        params.setdefault("featureSubsetStrategy", "sqrt")
-        learner = RandomForestClassifier(numTrees=1, bootstrap=False, seed=seed, **params)
-        return Weighted(learner) if balanced else learner
+        return Forest(seed=seed, balanced=balanced, **{"numTrees": 1, "featureSubsetStrategy": "sqrt", **params})
     if plain == "RandomForest":
-        learner = RandomForestClassifier(seed=seed, **params)
-        return Weighted(learner) if balanced else learner
+        return Forest(seed=seed, balanced=balanced, **params)
     if plain == "BalancedBagging":
         return BalancedBagging(seed=seed, **params)
     if plain == "BalancedRandomForest":
@@ -385,6 +513,8 @@ def make_model(name: str, seed: int = 0, **params):
         return ScaledSVC(balanced=balanced, **params)
     if plain == "Perceptron":
         return ScaledPerceptron(seed=seed, **params)
+    if plain == "ThresholdScreen":
+        return ThresholdScreen(**params)
     raise KeyError(name)
 
 
@@ -394,6 +524,6 @@ def feature_importances(model, names: list[str]) -> dict[str, float] | None:
         v = model.featureImportances.toArray()
         return {n: float(v[i]) if i < len(v) else 0.0 for i, n in enumerate(names)}
     if isinstance(model, (AveragedModel, BoostedModel)):
-        per = [feature_importances(m, names) for m in model.members]
-        return {n: sum(p[n] for p in per) / len(per) for n in names}
+        v = model.trees.importances
+        return {n: float(v[i]) if i < len(v) else 0.0 for i, n in enumerate(names)}
     return None
