@@ -63,25 +63,23 @@ def per_case(predictions: DataFrame, members: list[int]) -> DataFrame:
 def and_subsets(predictions: DataFrame, members: list[int], most: int = MOST_MEMBERS) -> DataFrame:
     """Unanimous vote of each non-empty subset: tp, fp, fn, ppv, fnr.
 
-    Cases collapse to (mask, label) counts, at most 2^(n+1) rows; a subset is
-    positive where it is contained in the mask, so each mask feeds its own
-    subsets.
+    Cases collapse to (mask, label) counts, at most 2^(n+1) rows. A subset is
+    positive where it is contained in the mask, so its counts are sums over all
+    supersets: one transform of the 2^n counts in n steps, a step for each member.
     """
     members = _check(members, most)
     n = len(members)
-    counts = truncate_lineage(per_case(predictions, members).groupBy("mask", "actual").agg(F.count(F.lit(1)).alias("n")))
-    all_pos = counts.where("actual = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    subsets = F.sequence(F.lit(1), F.lit((1 << n) - 1))
-    fed = counts.select(
-        "actual", "n", F.explode(F.filter(subsets, lambda s: s.bitwiseAND(F.col("mask")) == s)).alias("subset")
+    counts = per_case(predictions, members).groupBy("mask").agg(
+        F.count_if(F.col("actual") == 1).alias("tp"), F.count_if(F.col("actual") == 0).alias("fp")
     )
-    hits = fed.groupBy("subset").agg(
-        F.coalesce(F.sum(F.when(F.col("actual") == 1, F.col("n"))), F.lit(0)).alias("tp"),
-        F.coalesce(F.sum(F.when(F.col("actual") == 0, F.col("n"))), F.lit(0)).alias("fp"),
-    )
-    # a subset that never votes positive still gets its row
-    every = predictions.sparkSession.range(1, 1 << n).select(F.col("id").cast("int").alias("subset"))
-    out = every.join(hits, "subset", "left").fillna(0, ["tp", "fp"]).withColumn("fn", all_pos - F.col("tp"))
+    every = predictions.sparkSession.range(1 << n).select(F.col("id").cast("int").alias("mask"))
+    dense = every.join(counts, "mask", "left").fillna(0, ["tp", "fp"])
+    one = dense.agg(F.array_sort(F.collect_list(F.struct("mask", "tp", "fp"))).alias("c"))
+    work = one.select(F.col("c.tp").alias("tp"), F.col("c.fp").alias("fp"))
+    for i in range(n):
+        work = work.withColumns({c: superset_step(F.col(c), i) for c in ("tp", "fp")})
+    rows = work.select(F.posexplode(F.arrays_zip("tp", "fp")).alias("subset", "s"), F.element_at("tp", 1).alias("all_pos"))
+    out = rows.where("subset > 0").select("subset", "s.tp", "s.fp", (F.col("all_pos") - F.col("s.tp")).alias("fn"))
     return out.select(
         F.col("subset").cast("int").alias("subset"),
         _member_name(members, F.col("subset")).alias("members"),
@@ -92,8 +90,14 @@ def and_subsets(predictions: DataFrame, members: list[int], most: int = MOST_MEM
     )
 
 
+def superset_step(counts: Column, bit: int) -> Column:
+    """Each mask without ``bit`` takes in the count of the mask with it."""
+    step = F.lit(1 << bit)
+    return F.transform(counts, lambda v, m: F.when(m.bitwiseAND(step) == 0, v + F.get(counts, m.bitwiseOR(step))).otherwise(v))
+
+
 def _voted(cases: DataFrame, n: int) -> DataFrame:
-    """(subset, vote, actual) for every subset of a case: the mean member
+    """(subset, vote, actual, n) for every subset of a score row: the mean member
     score, added in member order.
 
     The subset number is exploded first and the score is plain arithmetic on
@@ -104,7 +108,7 @@ def _voted(cases: DataFrame, n: int) -> DataFrame:
     for i in range(n):
         total = total + F.when(s.bitwiseAND(F.lit(1 << i)) != 0, F.col(f"p{i}")).otherwise(F.lit(0.0))
     wide = cases.withColumn("subset", F.explode(F.sequence(F.lit(1), F.lit((1 << n) - 1))))
-    return wide.select("subset", "actual", (total / F.bit_count(s)).alias("vote"))
+    return wide.select("subset", "actual", "n", (total / F.bit_count(s)).alias("vote"))
 
 
 def best_threshold(lowest: Column, grid: list[float]) -> Column:
@@ -134,32 +138,32 @@ def normalised_cases(predictions: DataFrame, members: list[int], top: dict[int,
 def vote_subsets(predictions: DataFrame, members: list[int], grid: list[float] | None = None, most: int = MOST_MEMBERS) -> DataFrame:
     """Mean-score vote of each subset at its best threshold.
 
-    Pass 1 takes the lowest vote of the positives per subset (positives only).
-    Pass 2 counts rows at or above the threshold; a negative whose every score
-    is under the grid start can be positive for no subset and is filtered
-    before it is expanded.
+    Cases of equal scores and label are one row with their number. Pass 1 takes the
+    lowest vote of the positives per subset. Pass 2 counts rows at or above the
+    threshold; a negative whose every score is under the lowest threshold of all
+    subsets can be positive for none and is not expanded.
     """
     members = _check(members, most)
     n = len(members)
     grid = grid or vote_grid()
-    top = top_scores(predictions, members)
-    # the label belongs to the case, so positives are cut before the shuffle
-    pos = _voted(normalised_cases(predictions.where("actual = 1"), members, top), n)
-    cases = normalised_cases(predictions, members, top)
-    lows = pos.groupBy("subset").agg(F.min("vote").alias("lowest"), F.count(F.lit(1)).alias("all_pos"))
+    scores = [f"p{i}" for i in range(n)]
+    cases = normalised_cases(predictions, members).groupBy("actual", *scores).agg(F.count(F.lit(1)).alias("n"))
+    cases = truncate_lineage(cases)
+    lows = _voted(cases.where("actual = 1"), n).groupBy("subset").agg(F.min("vote").alias("lowest"), F.sum("n").alias("all_pos"))
     # every subset has its row, also where no case is positive
     every = predictions.sparkSession.range(1, 1 << n).select(F.col("id").cast("int").alias("subset"))
     cuts = every.join(lows, "subset", "left").fillna(0, ["all_pos"])
     cuts = truncate_lineage(cuts.withColumn("threshold", best_threshold(F.col("lowest"), grid)))
-    best_score = F.greatest(*[F.col(f"p{i}") for i in range(n)]) if n > 1 else F.col("p0")
-    # 1e-9 keeps rows whose mean could round up to the grid start
-    live = cases.where((F.col("actual") == 1) | (best_score >= grid[0] - 1e-9))
-    rows = _voted(live, n).where(F.col("vote") >= grid[0])
+    least = cuts.agg(F.min("threshold")).first()[0]
+    best_score = F.greatest(*scores) if n > 1 else F.col("p0")
+    # 1e-9 keeps rows whose mean could round up to the threshold
+    live = cases.where((F.col("actual") == 1) | (best_score >= least - 1e-9))
+    rows = _voted(live, n).where(F.col("vote") >= least)
     counted = (
         rows.join(bounded_broadcast(cuts.select("subset", "threshold"), 1 << n), "subset")
         .where(F.col("vote") >= F.col("threshold"))
         .groupBy("subset")
-        .agg(F.count_if(F.col("actual") == 1).alias("tp"), F.count_if(F.col("actual") == 0).alias("fp"))
+        .agg(*[F.coalesce(F.sum(F.when(F.col("actual") == a, F.col("n"))), F.lit(0)).alias(c) for c, a in (("tp", 1), ("fp", 0))])
     )
     out = cuts.join(counted, "subset", "left").fillna(0, ["tp", "fp"]).withColumn("fn", F.col("all_pos") - F.col("tp"))
     return out.select(
