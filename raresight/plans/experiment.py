@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
+from pyspark.ml import Model
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, functions as F
@@ -13,10 +15,12 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.metrics import classification_metrics, confusion_aggregates, scorers
 from ..operators import folds as fold_ops
 from ..operators.curves import percentile_cut
+from ..operators.features import feature_chain
 from ..operators.models import SPACES, make_model, ml_frame, scored
 from ..operators.resample import resample
 from ..session import truncate_lineage
-from ..sources.model_store import StoredModels, save_model
+from ..sources import catalog
+from ..sources.model_store import StoredModels, fold_path, save_model
 from ..sources.tables import append_extra_train, save_results
 
 
@@ -160,9 +164,49 @@ def train_eval_fold(
     return preds, fitted
 
 
+@dataclass
+class FeatureOptions:
+    """How a grid makes a cell's vectors from named columns.
+
+    ``stored`` has a feature set per combination (``catalog.upsert_feature_sets``);
+    a combination without one takes all ``columns``. Primary weights, ratios and
+    powers follow in that order. Primary weights come from all rows unless
+    ``fit_on`` names the rows.
+    """
+
+    columns: list[str]
+    stored: DataFrame | None = None
+    primary: bool = False
+    ratios: bool = False
+    powers: bool = False
+    fit_on: DataFrame | None = None
+
+
+def feature_vectors(df: DataFrame, options: FeatureOptions, combination: int | None = None) -> tuple[DataFrame, list[str]]:
+    """(case_index, label, other columns but the features, features) and the names of the vector's places.
+
+    A stored feature that the table has not is an error.
+    """
+    stored = catalog.load_feature_set(options.stored, combination) if options.stored is not None and combination is not None else []
+    rest = [c for c in df.columns if c not in options.columns and c not in ("case_index", "label")]
+    made = feature_chain(df, options.columns, "label", "case_index", stored or None, options.primary, options.ratios, options.powers, options.fit_on)
+    names = [c for c in made.columns if c not in ("case_index", "label")]
+    vectors = made.select("case_index", "label", F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("features"))
+    return (vectors.join(df.select("case_index", *rest), "case_index") if rest else vectors), names
+
+
+def member(spec, name: str, seed: int):
+    """A grid's member: a learner to fit, or a fitted model or stored models that are taken as they are."""
+    return spec if isinstance(spec, (Model, StoredModels)) else make_model(name, seed, **spec)
+
+
+def is_fixed(one) -> bool:
+    return isinstance(one, (Model, StoredModels))
+
+
 def run_grid(
     df: DataFrame,
-    models: dict[str, dict],
+    models: dict[str, dict | Model | StoredModels],
     resamplers: dict[str, float],
     scorer_names: list[str],
     tag: str,
@@ -177,42 +221,76 @@ def run_grid(
     parallelism: int = 2,
     seed: int = 0,
     search: dict | None = None,
+    features: FeatureOptions | None = None,
+    catalog_path: str | None = None,
+    metadata: str = "{}",
 ) -> DataFrame:
     """Every (cross validator, resampler, fold, model, scorer) cell; results
     land in the partitioned store, models in the model store. Returns the
     metrics.
 
+    ``models`` maps a stored name to settings, or to a fitted model or stored
+    models of all folds, whose fit and resampling are skipped.
     ``cross_validators`` maps a name to its fold column (None: train and test
-    are all rows). The training rows of a (resampler, fold) are prepared once
-    and shared by all models and scorers. Cells are independent jobs submitted
-    from a few driver threads; Spark schedules their tasks.
+    are all rows). ``features`` makes the vectors of each combination from named
+    columns; without it ``df`` has them. The rows of a (feature set, fold) and
+    their resampled form are prepared when their cells begin and shared by them.
+    Cells are independent jobs submitted from a few driver threads; Spark
+    schedules their tasks. With ``catalog_path`` the run is recorded there, once.
     """
     spark = df.sparkSession
-    cells = []
-    for cv, column in (cross_validators or {"StratifiedKFold_5": "fold"}).items():
-        rows = df if column is None else df.withColumn("fold", F.col(column))
-        if column is None:
-            ids = [0]
-        else:  # one row per fold
-            ids = folds if folds is not None else sorted(r[0] for r in rows.select("fold").distinct().collect())
-        for fold in ids:
-            sides = (rows, rows) if column is None else fold_ops.split(rows, fold)
-            train, test = apply_layers(*sides, list(layers), fold, passthrough)
-            test = ml_frame(test)
-            for resampler, ratio in resamplers.items():
-                ready = prepare_train(train, fold, resampler, ratio, seed, extra)
-                cells += [(cv, resampler, fold, ready, test, name, params) for name, params in models.items()]
+    # combinations by their vectors: most grids have one set for all
+    groups: dict[tuple, list[tuple[str, str]]] = {}
+    validators = cross_validators or {"StratifiedKFold_5": "fold"}
+    for cv in validators:
+        for name in models:
+            for scorer in scorer_names:
+                chosen: tuple = ()
+                if features is not None and features.stored is not None:
+                    chosen = tuple(catalog.load_feature_set(features.stored, catalog.combination_id(name, "none", scorer, cv)))
+                groups.setdefault((cv, chosen), []).append((name, scorer))
+    for (cv, chosen), members in groups.items():
+        rows = df
+        if features is not None:
+            one = FeatureOptions(list(chosen) or features.columns, None, features.primary, features.ratios, features.powers, features.fit_on)
+            kept = [c for c in df.columns if c not in features.columns]
+            rows = truncate_lineage(feature_vectors(df.select(*kept, *one.columns), one)[0])
+        _run_cells(spark, rows, cv, validators[cv], members, models, resamplers, tag, run_ts, results_path, models_path, folds, layers, passthrough, extra, parallelism, seed, search)
+    stored = spark.read.parquet(results_path).where((F.col("tag") == tag) & (F.col("run_ts") == run_ts))
+    metrics = classification_metrics(stored, ["cross_validator", "resampler", "model", "scorer", "tag", "run_ts", "fold"])
+    if catalog_path is not None:
+        metrics = truncate_lineage(metrics)
+        parts = ("cross_validator", "resampler", "model", "scorer", "tag")
+        folder = F.concat(*[F.concat(F.lit(f"/{c}="), F.col(c)) for c in parts], F.lit("/run_ts="), F.col("run_ts"), F.lit("/fold="), F.col("fold").cast("string"))
+        files = {"result_file": F.concat(F.lit(results_path), folder), "model_file": fold_path(models_path, ("cross_validator", "resampler", "model", "tag", "scorer"))}
+        catalog.write_run(metrics.withColumns(files), catalog_path, f"{tag}-{run_ts}", F.to_timestamp_ntz(F.lit(run_ts), F.lit("yyyy-MM-dd_HH-mm-ss")), metadata)
+    return metrics
+
+
+def _run_cells(spark, rows, cv, column, members, models, resamplers, tag, run_ts, results_path, models_path, folds, layers, passthrough, extra, parallelism, seed, search) -> None:
+    """The cells of combinations that share their vectors."""
+    rows = rows if column is None else rows.withColumn("fold", F.col(column))
+    if column is None:
+        ids = [0]
+    else:  # one row per fold
+        ids = folds if folds is not None else sorted(r[0] for r in rows.select("fold").distinct().collect())
+    names = list(dict.fromkeys(name for name, _ in members))
 
     def run(cell) -> None:
-        cv, resampler, fold, train, test, name, params = cell
+        resampler, fold, train, test, name = cell
+        scorers_of = [s for n, s in members if n == name]
+        key = {"cross_validator": cv, "resampler": resampler, "model": name, "tag": tag}
+        one = member(models[name], name, seed)
         # without a search the scorer is only recorded: one fit serves all
-        groups = [[s] for s in scorer_names] if search is not None else [scorer_names]
-        for group in groups:
-            if search is not None:
+        for group in [[s] for s in scorers_of] if search is not None and not is_fixed(one) else [scorers_of]:
+            if isinstance(one, StoredModels):
+                fitted = one.models[fold]
+            elif is_fixed(one):
+                fitted = one
+            elif search is not None:
                 fitted, _, _ = tune(train, name, group[0], seed=seed, **search)
             else:
-                fitted = make_model(name, seed, **params).fit(train)
-            key = {"cross_validator": cv, "resampler": resampler, "model": name, "tag": tag}
+                fitted = one.fit(train)
             preds = scored(fitted, test).select(
                 "case_index",
                 F.col("label").alias("actual"),
@@ -227,7 +305,15 @@ def run_grid(
             for scorer in group:
                 save_model(spark, fitted, models_path, {**key, "scorer": scorer}, fold)
 
+    learners = [n for n in names if not is_fixed(member(models[n], n, seed))]
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        list(pool.map(inheritable_thread_target(spark)(run), cells))
-    stored = spark.read.parquet(results_path).where((F.col("tag") == tag) & (F.col("run_ts") == run_ts))
-    return classification_metrics(stored, ["cross_validator", "resampler", "model", "scorer", "tag", "run_ts", "fold"])
+        # a fold's sides are made as its cells begin, not before the first fit of the grid
+        for fold in ids:
+            sides = (rows, rows) if column is None else fold_ops.split(rows, fold)
+            train, test = apply_layers(*sides, list(layers), fold, passthrough)
+            test = ml_frame(test)
+            cells = []
+            for resampler, ratio in resamplers.items():
+                ready = prepare_train(train, fold, resampler, ratio, seed, extra) if learners else None
+                cells += [(resampler, fold, ready, test, name) for name in names]
+            list(pool.map(inheritable_thread_target(spark)(run), cells))

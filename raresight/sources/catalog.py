@@ -101,6 +101,70 @@ def star_join(tables: dict[str, DataFrame], condition: Column | None = None) ->
     )
 
 
+COMBINATION = ("model", "resampler", "scorer", "cross_validator")
+STAR = ("combination", "record", "record_data", "model_data", "analysis")
+
+
+def _hash_id(*parts: Column) -> Column:
+    return F.xxhash64(*parts)
+
+
+def combination_id(model: str, resampler: str, scorer: str, cross_validator: str) -> int:
+    """The id that ``write_run`` gives a combination: a hash of its natural key, the same on every cluster and in every run."""
+    from pyspark.sql import SparkSession
+
+    one = SparkSession.active().range(1).select(_hash_id(*[F.lit(x) for x in (model, resampler, scorer, cross_validator)]))
+    return one.first()[0]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where))
+
+
+def write_run(cells: DataFrame, root: str, run: str, created_at: Column, metadata: str = "{}") -> bool:
+    """Record one grid run, (combination key, tag, fold, counts, result_file, model_file) a cell; False if it is there already.
+
+    Ids are hashes of the natural keys: a combination is inserted if it is absent,
+    and a job that died is repeated over its own folders. A run counts for readers
+    once its commit marker stands, which is written last.
+    """
+    spark = cells.sparkSession
+    if _exists(spark, f"{root}/commits/run={run}/_SUCCESS"):
+        return False
+    keyed = cells.withColumn("combination_id", _hash_id(*COMBINATION)).withColumn("metadata", F.lit(metadata))
+    keyed = keyed.withColumns({"record_id": _hash_id(F.lit(run), F.col("combination_id"), F.col("tag"), F.col("fold"), F.col("metadata")), "created_at": created_at})
+    keyed = truncate_lineage(keyed)
+    counts = ["true_positives", "false_positives", "false_negatives", "true_negatives"]
+    combos = keyed.select(F.col("combination_id").alias("id"), *COMBINATION).distinct()
+    if _exists(spark, f"{root}/combination"):
+        combos = combos.join(read_catalog(spark, root)["combination"], list(COMBINATION), "left_anti").select("id", *COMBINATION)
+    tables = {
+        "combination": combos,
+        "record": keyed.select(F.col("record_id").alias("id"), "combination_id", "tag", "fold", "metadata", "created_at"),
+        "record_data": keyed.select("record_id", "result_file"),
+        "model_data": keyed.select("record_id", "model_file"),
+        "analysis": keyed.select("record_id", *counts),
+    }
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{root}/{name}/run={run}")
+    keyed.agg(F.count(F.lit(1)).alias("records")).write.mode("overwrite").parquet(f"{root}/commits/run={run}")
+    return True
+
+
+def read_catalog(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The five tables of the committed runs; the newest record of a key is found by ``star_join``."""
+    done = spark.read.parquet(f"{root}/commits").select("run").distinct() if _exists(spark, f"{root}/commits") else None
+    out = {}
+    for name in STAR:
+        table = spark.read.parquet(f"{root}/{name}")
+        table = table.limit(0) if done is None else table.join(F.broadcast(done), "run", "left_semi")
+        out[name] = table.drop("run")
+    # two runs side by side may both have found a combination absent
+    out["combination"] = out["combination"].distinct()
+    return out
+
+
 def upsert_feature_sets(existing: DataFrame, updates: DataFrame) -> DataFrame:
     """Last write per combination wins."""
     both = existing.unionByName(updates)
