@@ -1,5 +1,6 @@
 """Golden vectors, invariants and edge sets."""
 
+import itertools
 import math
 
 import numpy as np
@@ -10,7 +11,7 @@ from raresight.functions import numeric as num
 from raresight.functions.metrics import classification_metrics
 from raresight.functions.text import splitter_name
 from raresight.operators import clean, curves, ensemble, features as fe, models, profile, resample as rs
-from raresight.operators.explain import shapley_values
+from raresight.operators.explain import sampled_shapley, shapley_values
 from raresight.operators.sweep import CUTOFFS, threshold_counts
 from raresight.plans import experiment
 from raresight.session import scratch_path
@@ -209,14 +210,28 @@ def test_shapley_adds_up(spark, sf):
     df = screening(spark, sf).select("case_index", "label", "fold", F.array("tsh", "f_k", F.col("err").cast("double")).alias("features"))
     model = models.make_model("RandomForest", numTrees=4, maxDepth=4).fit(models.ml_frame(df))
     rows, bg = df.where("case_index < 40"), df.where("case_index between 100 and 130")
-    phi = shapley_values(model, rows, bg, ["tsh", "f_k", "err"], permutations=5).toPandas()
-    assert len(phi) == 40 * 3
     f_row = models.scored(model, models.ml_frame(rows)).toPandas().set_index("case_index").proba
     f_bg = models.scored(model, models.ml_frame(bg)).toPandas().proba
+    phi = sampled_shapley(model, rows, bg, ["tsh", "f_k", "err"], permutations=6).toPandas()
+    assert len(phi) == 40 * 3
     total = phi.groupby("case_index").phi.sum()
     # f(row) - phi is the mean score of the drawn background rows
     base = f_row - total
     assert base.between(f_bg.min() - 1e-9, f_bg.max() + 1e-9).all()
+    exact = shapley_values(model, rows, bg, ["tsh", "f_k", "err"]).toPandas()
+    assert len(exact) == 40 * 3 and np.allclose(exact.groupby("case_index").phi.sum(), f_row.sort_index() - f_bg.mean(), atol=1e-9)
+    # the definition, coalition by coalition, for one case
+    x, drawn = rows.where("case_index = 7").first()["features"], [r["features"] for r in bg.select("features").collect()]
+    masked = [(m * 1000 + i, 0, [x[j] if m >> j & 1 else b[j] for j in range(3)]) for m in range(8) for i, b in enumerate(drawn)]
+    data = spark.createDataFrame(masked, "case_index long, label int, features array<double>")
+    s = models.scored(model, models.ml_frame(data)).toPandas()
+    v = s.groupby(s.case_index // 1000).proba.mean()
+    order = list(itertools.permutations(range(3)))
+    for j, name in enumerate(["tsh", "f_k", "err"]):
+        before = [sum(1 << k for k in o[: o.index(j)]) for o in order]
+        want = np.mean([v[m | 1 << j] - v[m] for m in before])
+        got = exact[(exact.case_index == 7) & (exact.feature == name)].phi.iloc[0]
+        assert abs(got - want) < 1e-9
 
 
 def test_importances_sum_to_one(spark, sf):
@@ -281,3 +296,51 @@ def test_grid_without_folds_scores_every_row(spark, sf):
         scratch_path(spark, "g"), scratch_path(spark, "gm"), cross_validators={"none": None},
     ).toPandas()
     assert m.total_predictions.tolist() == [df.count()]
+
+
+def test_packed_trees_score_like_their_members(spark, sf):
+    df = models.ml_frame(screening(spark, sf).select("case_index", "label", F.array(*FEATURES).alias("features")))
+    trees = [models.tree_learner(numTrees=1, bootstrap=False, maxDepth=5, featureSubsetStrategy="sqrt", seed=i).fit(df) for i in range(4)]
+    packed = models.PackedTrees.of(trees)
+    x = np.array([r["f"] for r in df.select(models.vector_to_array("features").alias("f")).collect()])
+    for i, tree in enumerate(trees):
+        want = [r["prediction"] for r in tree.transform(df).select("prediction").collect()]
+        assert packed.values(x)[:, i].tolist() == want
+    few, many = (models.AveragedModel(models.PackedTrees.of(trees * n)) for n in (2, 125))
+    plan = lambda m: m.transform(df)._jdf.queryExecution().executedPlan().toString().count("\n")
+    assert len(many.trees.roots) == 500 and plan(few) == plan(many)
+    a, b = (models.scored(m, df).orderBy("case_index").toPandas().proba for m in (few, many))
+    assert np.allclose(a, b, rtol=1e-12)
+
+
+def test_catalogue_takes_a_run_once(spark):
+    root = scratch_path(spark, "cat")
+    keys = [(m, "none", s, "cv", "t", f, 1, 2, 3, 4, "r", "m") for m in ("a", "b") for s in ("x", "y") for f in range(2)]
+    names = "model string, resampler string, scorer string, cross_validator string, tag string, fold int, true_positives long, false_positives long, false_negatives long, true_negatives long, result_file string, model_file string"
+    cells, at = spark.createDataFrame(keys, names), lambda d: F.to_timestamp_ntz(F.lit(f"2024-01-0{d} 00:00:00"))
+    assert catalog.write_run(cells, root, "one", at(1)) and not catalog.write_run(cells, root, "one", at(1))
+    more = cells.unionByName(cells.withColumn("model", F.lit("c")))
+    # a run that died before its marker is not seen, and is repeated over its own folders
+    more.select(F.lit(1).alias("id")).write.parquet(f"{root}/record/run=two")
+    assert catalog.read_catalog(spark, root)["record"].count() == 8
+    assert catalog.write_run(more, root, "two", at(2))
+    tables = catalog.read_catalog(spark, root)
+    assert tables["combination"].count() == 6 and tables["record"].count() == 20
+    star = catalog.star_join(tables)
+    assert star.count() == 12 and {r[0].day for r in star.select("created_at").collect()} == {2}
+    assert catalog.combination_id("a", "none", "x", "cv") in {r["id"] for r in tables["combination"].collect()}
+
+
+def test_grid_members_are_taken_as_they_are(spark, sf):
+    df = screening(spark, sf).select("case_index", "label", "fold", *FEATURES)
+    with pytest.raises(ValueError, match="not in the table"):
+        sets = spark.createDataFrame([(1, '["absent"]', 1)], "combination_id bigint, feature_set string, created_at int")
+        experiment.feature_vectors(df, experiment.FeatureOptions(FEATURES, sets), 1)
+    rows = df.select("case_index", "label", "fold", F.array(*FEATURES).alias("features"))
+    root, key = scratch_path(spark, "m"), {"c": 1}
+    for fold in range(2):
+        model_store.save_model(spark, models.ThresholdScreen(0, 100.0 + 50 * fold), root, key, fold)
+    stored = model_store.StoredModels(spark, root, key, [0, 1])
+    m = experiment.run_grid(rows, {"kept": stored}, {"SMOTE": 0.1}, ["accuracy"], "t", "2024-01-01_00-00-00", scratch_path(spark, "g"), scratch_path(spark, "gm"), folds=[0, 1])
+    got = {r["fold"]: r["true_positives"] + r["false_positives"] for r in m.collect()}
+    assert got == {f: df.where(f"fold = {f} and tsh >= {100 + 50 * f}").count() for f in (0, 1)}

@@ -8,7 +8,7 @@ from raresight.operators import clean, curves, explain_tables, profile
 from raresight.operators.features import class_medians, primary_weight_rank
 
 from .fixtures import (
-    AND_SQL, CLEAN, COUNTS_SQL, FEATURES, K, RATES_SQL, S, SP, SPMA, T, W, WIDE, analysis, combination_means, dirty, predictions, screening,
+    AND_SQL, CLEAN, COUNTS_SQL, FEATURES, FLOOR, K, MEMBERS, RATES_SQL, S, SP, SP10, SPMA, T, W, WIDE, analysis, combination_means, dirty, predictions, screening,
     table, wide, with_ctes,
 )
 
@@ -174,14 +174,17 @@ def class_minority(spark, sf):
 def max_by_model_count(spark, sf):
     from raresight.operators.ensemble import and_subsets, max_by_size
 
-    return max_by_size(and_subsets(predictions(spark, sf), list(range(1, 9))), ["ppv", "fnr"])
+    return max_by_size(and_subsets(predictions(spark, sf, len(MEMBERS)), MEMBERS), ["ppv", "fnr"])
 
 
 def importance_mean(spark, sf):
+    """The strongest feature of each combination is the one that ranks the cases best by itself."""
     from .learning import forest_importances
 
     means = explain_tables.mean_importance(forest_importances(spark, sf), 5)
-    return means.groupBy("combination_id").agg(F.count_distinct("feature").alias("features"), F.count_if(~F.col("importance").between(0.0, 1.0)).alias("outside"))
+    return means.groupBy("combination_id").agg(
+        F.count_distinct("feature").alias("features"), F.count_if(~F.col("importance").between(0.0, 1.0)).alias("outside"), F.max_by("feature", "importance").alias("strongest")
+    )
 
 
 def impact_tail_sum(spark, sf):
@@ -405,9 +408,14 @@ QUERIES = {
     "class_minority": (class_minority, with_ctes(S) + "select label as minority, count(*) as n from s group by label order by n, label limit 1"),
     "max_by_model_count": (
         max_by_model_count,
-        SP + AND_SQL + "select model_count, max(ppv) as ppv, max(fnr) as fnr from ands group by model_count",
+        SP10 + AND_SQL + "select model_count, max(ppv) as ppv, max(fnr) as fnr from ands group by model_count",
+    ),
+    "importance_mean": (
+        importance_mean,
+        with_ctes(S, FLOOR)
+        + """select combination_id, (select count(*) from best) as features, 0::bigint as outside, (select arg_max(feature, area) from best) as strongest
+ from (select unnest([1,2])::int as combination_id)""",
     ),
-    "importance_mean": (importance_mean, "select unnest([1,2])::int as combination_id, 4::bigint as features, 0::bigint as outside"),
     "impact_tail_sum": (
         impact_tail_sum,
         with_ctes(S, PHI)

@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from raresight.operators import ensemble
 
-from .fixtures import AND_SQL, GRID_SQL, SP, VOTE_SQL, predictions
+from .fixtures import AND_SQL, GRID_SQL, MEMBERS, SP, SP10, VOTE_SQL, predictions
 
-MEMBERS = list(range(1, 9))
+
+def votes(spark, sf):
+    return predictions(spark, sf, len(MEMBERS))
 
 
 def complete_combinations(spark, sf):
@@ -17,11 +19,11 @@ def complete_combinations(spark, sf):
 
 
 def ensemble_and(spark, sf):
-    return ensemble.and_subsets(predictions(spark, sf), MEMBERS).drop("members")
+    return ensemble.and_subsets(votes(spark, sf), MEMBERS).drop("members")
 
 
 def ensemble_vote(spark, sf):
-    v = ensemble.vote_subsets(predictions(spark, sf), MEMBERS)
+    v = ensemble.vote_subsets(votes(spark, sf), MEMBERS)
     return v.drop("members").withColumn("threshold", F.round("threshold", 6))
 
 
@@ -36,14 +38,14 @@ def agreement_matrix(spark, sf):
 
 
 def best_per_size(spark, sf):
-    p = predictions(spark, sf)
+    p = votes(spark, sf)
     a = ensemble.max_by_size(ensemble.and_subsets(p, MEMBERS), ["ppv", "fnr"]).withColumn("vote", F.lit("unanimous"))
     v = ensemble.max_by_size(ensemble.vote_subsets(p, MEMBERS), ["ppv", "fnr"]).withColumn("vote", F.lit("probability"))
     return a.unionByName(v)
 
 
 def best_subset_per_size(spark, sf):
-    out = ensemble.best_rows_by_size(ensemble.and_subsets(predictions(spark, sf), MEMBERS))
+    out = ensemble.best_rows_by_size(ensemble.and_subsets(votes(spark, sf), MEMBERS))
     return out.select("model_count", "subset", "ppv", "fnr", "tp", "fp")
 
 
@@ -53,10 +55,10 @@ QUERIES = {
         SP
         + """select combination_id, count(*) as rows from p where not (combination_id=5 and case_index=17) group by 1 having count(*)=(select count(distinct case_index) from p)""",
     ),
-    "ensemble_and": (ensemble_and, SP + AND_SQL + "select * from ands"),
+    "ensemble_and": (ensemble_and, SP10 + AND_SQL + "select * from ands"),
     "ensemble_vote": (
         ensemble_vote,
-        SP + VOTE_SQL + "select subset, model_count, tp, fp, fn, ppv, fnr, round(threshold,6) as threshold from votes",
+        SP10 + VOTE_SQL + "select subset, model_count, tp, fp, fn, ppv, fnr, round(threshold,6) as threshold from votes",
     ),
     "vote_threshold_search": (
         vote_threshold_search,
@@ -72,15 +74,15 @@ QUERIES = {
     ),
     "best_per_size": (
         best_per_size,
-        SP
+        SP10
         + AND_SQL
-        + VOTE_SQL.replace("sub as (select unnest(range(1,256))::int as subset),\n", "")
+        + VOTE_SQL.replace("sub as (select unnest(range(1,1024))::int as subset),\n", "")
         + """select 'unanimous' as vote, model_count, max(ppv) as ppv, max(fnr) as fnr from ands group by model_count
  union all select 'probability', model_count, max(ppv), max(fnr) from votes group by model_count""",
     ),
     "best_subset_per_size": (
         best_subset_per_size,
-        SP
+        SP10
         + AND_SQL
         + "select model_count, subset, ppv, fnr, tp, fp from ands qualify row_number() over (partition by model_count order by ppv desc, fnr, subset)=1",
     ),

@@ -54,12 +54,20 @@ S = f"""s as (
   floor({u_parts("'fold'", "event_id")}*5)::int as fold
  from events)"""
 
+# ---- how well single features rank the cases ----------------------------
+
+FLOOR = """best as (select feature, greatest(area, 1-area) as area from (
+ select feature, (sum(rk) filter (where label=1) - count(*) filter (where label=1)*(count(*) filter (where label=1)+1)/2.0)
+  /(count(*) filter (where label=1)*count(*) filter (where label=0)) as area from (
+  select feature, label, rank() over (partition by feature order by x) + (count(*) over (partition by feature, x)-1)/2.0 as rk from ("""+" union all ".join(f"select '{f}' as feature, {f} as x, label from s" for f in FEATURES)+""")) group by feature)),
+fl as (select 0.5::double+(max(area)-0.5)/2 as floor from best)"""
+
 # ---- P: predictions of eight combinations -------------------------------
 
 
-def predictions(spark, sf) -> DataFrame:
+def predictions(spark, sf, combinations: int = N_COMBINATIONS) -> DataFrame:
     s = screening(spark, sf).select("case_index", "fold", "label", "tsh", "err")
-    s = s.withColumn("combination_id", F.explode(F.array(*[F.lit(i) for i in range(1, N_COMBINATIONS + 1)])))
+    s = s.withColumn("combination_id", F.explode(F.array(*[F.lit(i) for i in range(1, combinations + 1)])))
     raw = (
         F.col("tsh") / F.lit(300.0)
         + F.lit(0.25) * uniform(F.col("combination_id"), F.col("case_index"))
@@ -77,14 +85,18 @@ def predictions(spark, sf) -> DataFrame:
     )
 
 
-P = f"""p0 as (
+def p_sql(combinations: int) -> str:
+    return f"""p0 as (
  select c.combination_id::int as combination_id, s.fold, s.case_index, s.label as actual,
   greatest(0.0::double, least(1.0::double, s.tsh/300.0::double
    + 0.25::double*{u_parts("c.combination_id", "s.case_index")} + 0.25::double*s.err
    - 0.06::double*(c.combination_id-1))) as proba
- from s cross join (values (1),(2),(3),(4),(5),(6),(7),(8)) as c(combination_id)),
+ from s cross join (values {",".join(f"({i})" for i in range(1, combinations + 1))}) as c(combination_id)),
 p as (select combination_id, fold, case_index, actual, (proba>=0.5)::int as predicted, proba from p0)"""
 
+
+P = p_sql(N_COMBINATIONS)
+
 # ---- M: run records with metrics ----------------------------------------
 
 _THRESHOLDS = {  # (tag, version) -> cut applied to the scores
@@ -353,11 +365,14 @@ def with_ctes(*ctes: str) -> str:
 
 
 SP = with_ctes(S, P)
+#: The votes combine ten models.
+MEMBERS = list(range(1, 11))
+SP10 = with_ctes(S, p_sql(len(MEMBERS)))
 SPM = with_ctes(S, P, M)
 SPMA = with_ctes(S, P, M, A)
 
 # unanimous vote of every subset, the naive way: one row per (subset, case, member)
-AND_SQL = """, sub as (select unnest(range(1,256))::int as subset),
+AND_SQL = """, sub as (select unnest(range(1,1024))::int as subset),
 ands as (select subset, bit_count(subset)::int as model_count, tp, fp, fn,
   case when tp+fp<>0 then tp::double/(tp+fp) else 0 end as ppv, case when tp+fn<>0 then fn::double/(tp+fn) else 0 end as fnr from (
   select subset, count(*) filter (where v=1 and actual=1) as tp, count(*) filter (where v=1 and actual=0) as fp,
@@ -365,7 +380,7 @@ ands as (select subset, bit_count(subset)::int as model_count, tp, fp, fn,
    select subset, case_index, any_value(actual) as actual, min(predicted) as v from sub join p on (subset>>(combination_id-1))&1=1
    group by subset, case_index) group by subset)) """
 
-_VOTE = "(" + "+".join(f"case when (subset>>{i})&1=1 then p{i} else 0.0::double end" for i in range(8)) + ")/bit_count(subset)"
+_VOTE = "(" + "+".join(f"case when (subset>>{i})&1=1 then p{i} else 0.0::double end" for i in range(len(MEMBERS))) + ")/bit_count(subset)"
 
 
 def _vote_grid() -> list[float]:
@@ -379,8 +394,8 @@ GRID_SQL = "[" + ",".join(f"{x!r}::double" for x in _vote_grid()) + "]"
 
 # mean normalised score of every subset and its best threshold
 VOTE_SQL = f""", n as (select case_index, combination_id, actual, proba/max(proba) over (partition by combination_id) as x from p),
-pv as (select case_index, max(actual) as actual, {", ".join(f"max(x) filter (where combination_id={i + 1}) as p{i}" for i in range(8))} from n group by 1),
-sub as (select unnest(range(1,256))::int as subset),
+pv as (select case_index, max(actual) as actual, {", ".join(f"max(x) filter (where combination_id={i + 1}) as p{i}" for i in range(len(MEMBERS)))} from n group by 1),
+sub as (select unnest(range(1,1024))::int as subset),
 vt as (select subset, case_index, actual, {_VOTE} as vote from pv cross join sub),
 th as (select subset, coalesce(list_max(list_filter({GRID_SQL}, lambda t: t<=min(vote) filter (where actual=1))), 0.49::double) as threshold from vt group by subset),
 votes as (select subset, bit_count(subset)::int as model_count, threshold, tp, fp, fn,

@@ -4,17 +4,17 @@ Labels come from event type and value; the type itself is not a feature, so
 the learners have a real task.
 """
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from raresight.functions.metrics import classification_metrics, confusion_counts
-from raresight.operators import explain, explain_tables, models, resample
+from raresight.operators import curves, explain, explain_tables, models, resample
 from raresight.operators.sweep import CUTOFFS, threshold_counts
 from raresight.plans import experiment, results
 from raresight.session import scratch_path, truncate_lineage
 from raresight.sources import catalog, model_store
 
 from .aggregates import PHI, phi_table
-from .fixtures import COUNTS_SQL, FEATURES, S, SP, SPMA, analysis, predictions, records, screening, u_parts, with_ctes
+from .fixtures import COUNTS_SQL, FEATURES, FLOOR, S, SP, SPMA, analysis, predictions, records, screening, u_parts, with_ctes
 
 
 def rows(spark, sf):
@@ -24,17 +24,39 @@ def rows(spark, sf):
 FOLDS = range(5)
 
 
+_FLOORS: dict = {}
+
+
+def floor(spark, sf):
+    """Half of what the best single feature gains over chance, as an area under the curve."""
+    if (spark, sf) not in _FLOORS:
+        cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in FEATURES])
+        long = screening(spark, sf).select("label", F.explode(cells).alias("c")).select("label", "c.*")
+        areas = curves.auc(long, ["feature"], "x", "label").select(F.greatest("auc", 1 - F.col("auc")).alias("a"))
+        _FLOORS[spark, sf] = 0.5 + (areas.agg(F.max("a")).first()[0] - 0.5) / 2
+    return _FLOORS[spark, sf]
+
+
+def learned(spark, sf, scores):
+    """The floor, and whether scores (actual, proba) rank the cases at least so well."""
+    area = curves.auc(scores.withColumn("all", F.lit(1)), ["all"]).first()["auc"]
+    return F.lit(round(floor(spark, sf), 6)).alias("floor"), F.lit(area is not None and area >= floor(spark, sf)).alias("learned")
+
+
 def sound(predicted="predicted", proba="proba"):
     """A class and a probability."""
     return (F.col(predicted).isin(0, 1) & F.col(proba).between(0.0, 1.0)).alias("valid")
 
 
 def _model(name, **params):
-    """Fit on four folds, score the fifth: its cases, and whether each has a class and a probability."""
+    """Fit on four folds, score all cases: each has a class and a probability, and the scores rank the cases."""
 
     def run(spark, sf):
-        preds = experiment.train_eval_fold(rows(spark, sf), 0, name, params=params)[0]
-        return preds.select("case_index", "fold", "actual", sound())
+        data = truncate_lineage(rows(spark, sf))
+        _, fitted = experiment.train_eval_fold(data, 0, name, params=params)
+        scores = models.scored(fitted, models.ml_frame(data), ["case_index", "fold", "label"]).withColumnRenamed("label", "actual")
+        scores = truncate_lineage(scores)
+        return scores.select("case_index", "fold", "actual", sound(), *learned(spark, sf, scores))
 
     return run
 
@@ -48,13 +70,18 @@ _FOREST = dict(numTrees=50, maxDepth=4)
 
 
 def model_from_storage(spark, sf):
-    """Models of all folds are stored, loaded and score their own folds."""
-    data, root = rows(spark, sf), scratch_path(spark, "models")
-    key = {"combination_id": 1, "tag": "original_data"}
+    """Models of all folds are stored, loaded and score their own folds as before."""
+    data, root = truncate_lineage(rows(spark, sf)), scratch_path(spark, "models")
+    key, before = {"combination_id": 1, "tag": "original_data"}, None
     for fold in FOLDS:
-        _, fitted = experiment.train_eval_fold(data, fold, "DecisionTree", params=dict(maxDepth=4))
+        preds, fitted = experiment.train_eval_fold(data, fold, "DecisionTree", params=dict(maxDepth=4))
         model_store.save_model(spark, fitted, root, key, fold)
-    return model_store.StoredModels(spark, root, key, list(FOLDS)).score(models.ml_frame(data)).select("case_index", sound())
+        before = preds if before is None else before.unionByName(preds)
+    after = model_store.StoredModels(spark, root, key, list(FOLDS)).score(models.ml_frame(data))
+    both = truncate_lineage(after.select("case_index", "predicted", F.col("proba").alias("loaded")).join(before.select("case_index", "actual", "proba"), "case_index"))
+    valid = sound() & (F.abs(F.col("loaded") - F.col("proba")) < 1e-12)
+    varied = both.agg(F.count_distinct("proba")).first()[0] > 1
+    return both.select("case_index", (valid & F.lit(varied)).alias("valid"))
 
 
 def model_store_q(spark, sf):
@@ -79,31 +106,112 @@ def proba_fallback(spark, sf):
     return out.select("combination_id", "case_index", (F.lit(1.0) - F.col("p1")).alias("p0"), "p1")
 
 
-def experiment_grid(spark, sf):
-    """Cases and positives of every cell, counted from the stored predictions."""
-    cells = experiment.run_grid(
-        rows(spark, sf),
-        {"DecisionTree": dict(maxDepth=4), "LinearSVC": dict(maxIter=10)},
-        {"none": 0.02, "RandomUnderSampler": 0.05},
-        ["recall_score", "fp_fn"],
-        "original_data",
-        "2024-03-02_09-30-00",
-        scratch_path(spark, "grid"),
-        scratch_path(spark, "gridmodels"),
+def _grid(spark, sf, members, options=None, tag="original_data", resamplers=None, catalog_path=None, run_ts="2024-03-02_09-30-00", **more):
+    return experiment.run_grid(
+        more.pop("data", None) or rows(spark, sf),
+        members,
+        resamplers or {"none": 0.02},
+        more.pop("scorers", ["recall_score"]),
+        tag,
+        run_ts,
+        more.pop("results_path", None) or scratch_path(spark, "grid"),
+        more.pop("models_path", None) or scratch_path(spark, "gridmodels"),
+        features=options,
+        catalog_path=catalog_path,
+        **more,
     )
+
+
+def experiment_grid(spark, sf):
+    """Cases and positives of every cell, counted from the stored predictions; the rule's cells in full."""
+    cells = _grid(
+        spark, sf,
+        {"DecisionTree": dict(maxDepth=4), "LinearSVC": dict(maxIter=10), "ThresholdScreen": dict(index=0, cutoff=150.0)},
+        resamplers={"none": 0.02, "RandomUnderSampler": 0.05},
+        scorers=["recall_score", "fp_fn"],
+    )
     positives = F.col("true_positives") + F.col("false_negatives")
+    rule = F.col("model") == "ThresholdScreen"
     return cells.select(
         "cross_validator", "resampler", "model", "scorer", "tag", "fold", positives.alias("positives"),
         (positives + F.col("false_positives") + F.col("true_negatives")).alias("cases"),
+        F.when(rule, F.col("false_positives")).otherwise(-1).alias("rule_fp"), F.when(rule, F.col("true_positives")).otherwise(-1).alias("rule_tp"),
+    )
+
+
+_RULES = {"ThresholdScreen": 150.0, "ThresholdScreen(180)": 180.0, "ThresholdScreen(120)": 120.0}
+
+
+def _stored_grid(spark, sf):
+    """A grid of threshold rules run twice over one catalogue; returns the catalogue's tables and the results."""
+    root, results_path = scratch_path(spark, "catalogue"), scratch_path(spark, "grid")
+    members = {name: models.ThresholdScreen(0, cut) for name, cut in _RULES.items()}
+    for _ in range(2):
+        _grid(spark, sf, members, catalog_path=root, results_path=results_path, metadata='{"layer": 0}')
+    return catalog.read_catalog(spark, root), spark.read.parquet(results_path)
+
+
+def grid_catalogue(spark, sf):
+    """What a grid has recorded, by the star join; its repetition has added nothing."""
+    tables, _ = _stored_grid(spark, sf)
+    star = catalog.star_join(tables, catalog.metadata_filter(tag="^original", model="^Threshold"))
+    records_of = tables["record"].groupBy("combination_id").agg(F.count(F.lit(1)).alias("records"))
+    return star.join(records_of, "combination_id").select(
+        "model", "resampler", "cross_validator", "scorer", "tag", "fold", "metadata", "records",
+        "true_positives", "false_positives", "false_negatives", "true_negatives",
+    )
+
+
+def grid_vote(spark, sf):
+    """Grid -> records -> star -> best without a miss -> unanimous vote on the stored rows."""
+    from raresight.functions.metrics import rates
+    from raresight.operators import ensemble
+
+    tables, stored = _stored_grid(spark, sf)
+    star = truncate_lineage(catalog.star_join(tables).withColumns({k: v for k, v in rates().items() if k in ("fnr", "ppv")}))
+    best = results.top_zero_fnr(star, 10).join(tables["combination"].withColumnRenamed("id", "combination_id"), "combination_id")
+    names = {r["combination_id"]: r["model"] for r in best.select("combination_id", "model").collect()}
+    order = {c: i + 1 for i, c in enumerate(sorted(names, key=names.get))}
+    number = F.create_map(*[F.lit(x) for name, c in sorted((n, order[c]) for c, n in names.items()) for x in (name, c)])
+    votes = stored.withColumn("combination_id", F.element_at(number, F.col("model"))).where(F.col("combination_id").isNotNull())
+    return ensemble.and_subsets(votes, list(order.values())).select("subset", "model_count", "tp", "fp", "fn")
+
+
+def grid_features(spark, sf):
+    """Vectors of two feature choices: a stored set with ratios, and powers of all features."""
+    wide = screening(spark, sf).select("case_index", "label", "fold", *FEATURES)
+    sets = spark.createDataFrame([(7, '["tsh","f_k"]', 1)], "combination_id bigint, feature_set string, created_at int")
+    out = None
+    for name, options, combination in (
+        ("ratios", experiment.FeatureOptions(FEATURES, sets, ratios=True), 7), ("powers", experiment.FeatureOptions(FEATURES, sets, powers=True), 8),
+    ):
+        made, names = experiment.feature_vectors(wide, options, combination)
+        cells = made.select("case_index", F.posexplode("features").alias("at", "x"))
+        part = cells.select(F.lit(name).alias("choice"), "case_index", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("at") + 1).alias("feature"), "x")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def grid_two_choices(spark, sf):
+    """Cells of a grid whose combinations differ in their stored feature sets; the rule looks at its first feature."""
+    wide = screening(spark, sf).select("case_index", "label", "fold", *FEATURES)
+    combination = lambda model: catalog.combination_id(model, "none", "recall_score", "StratifiedKFold_5")
+    sets = spark.createDataFrame(
+        [(combination("ThresholdScreen"), '["tsh"]', 1), (combination("ThresholdScreen(hour)"), '["f_hour","tsh"]', 1)], "combination_id bigint, feature_set string, created_at int"
     )
+    members = {"ThresholdScreen": models.ThresholdScreen(0, 150.0), "ThresholdScreen(hour)": models.ThresholdScreen(0, 12.0)}
+    cells = _grid(spark, sf, members, experiment.FeatureOptions(FEATURES, sets), data=wide)
+    return cells.select("model", "fold", "true_positives", "false_positives", "false_negatives", "true_negatives")
 
 
 def train_eval_fold(spark, sf):
-    """With a first layer (threshold), extra rows and resampling."""
-    data = rows(spark, sf)
+    """With a first layer (threshold), extra rows and resampling; the fitted model ranks the cases."""
+    data = truncate_lineage(rows(spark, sf))
     layer = data.select("case_index", (F.col("features")[0] >= 20).cast("int").alias("predicted"))
     extra = data.where("label = 1").withColumn("case_index", -F.col("case_index") - 1)
-    return experiment.train_eval_fold(data, 2, "RandomForest", "RandomUnderSampler", 0.1, _FOREST, [layer], extra=extra)[0].select("case_index", "fold", "actual", sound())
+    preds, fitted = experiment.train_eval_fold(data, 2, "RandomForest", "RandomUnderSampler", 0.1, _FOREST, [layer], extra=extra)
+    scores = models.scored(fitted, models.ml_frame(data)).withColumnRenamed("label", "actual")
+    return preds.select("case_index", "fold", "actual", sound(), *learned(spark, sf, scores))
 
 
 def hyperparameter_search(spark, sf):
@@ -115,11 +223,13 @@ def hyperparameter_search(spark, sf):
         train, "DecisionTree(balanced)", "f10_score_pos", draws=10, inner_folds=5, parallelism=5, bounds={"maxDepth": (3, 6)}
     )
     m = models.scored(fitted, models.ml_frame(test)).select(F.col("label").alias("actual"), "predicted", F.lit(0).alias("fold"))
+    mark = learned(spark, sf, models.scored(fitted, models.ml_frame(data)).withColumnRenamed("label", "actual"))
     positives = F.col("true_positives") + F.col("false_negatives")
     return classification_metrics(m, ["fold"]).select(
         positives.alias("positives"),
         (positives + F.col("false_positives") + F.col("true_negatives")).alias("cases"),
-        F.lit(0 <= score <= 1 and 3 <= settings["maxDepth"] <= 6).alias("valid"),
+        F.lit(0 < score <= 1 and 3 <= settings["maxDepth"] <= 6).alias("valid"),
+        *mark,
     )
 
 
@@ -165,9 +275,12 @@ def layered_two_stage(spark, sf):
     # a case reaches the second layer exactly if the first calls it positive
     both = data.select("case_index", "fold", "label").join(own.withColumnRenamed("predicted", "first"), "case_index")
     both = both.join(out.select("case_index", "predicted", "proba"), "case_index", "left")
+    both = truncate_lineage(both.withColumnRenamed("label", "actual"))
     passed = F.col("predicted").isin(0, 1) & F.col("proba").between(0.0, 1.0)
     valid = F.when(F.col("first") == 1, F.coalesce(passed, F.lit(False))).otherwise(F.col("predicted").isNull())
-    return both.select("case_index", "fold", F.col("label").alias("actual"), valid.alias("valid"))
+    # the first layer passes some cases and holds some back
+    kinds = both.agg(F.count_distinct("first")).first()[0]
+    return both.select("case_index", "fold", "actual", (valid & F.lit(kinds == 2)).alias("valid"))
 
 
 def threshold_baseline_run(spark, sf):
@@ -208,31 +321,30 @@ def feature_importance(spark, sf):
     return matrix.agg(*[F.round(F.sum(f"`{c}`"), 6).alias(f"total_{i}") for i, c in enumerate(matrix.columns[1:], 1)], F.count(F.lit(1)).alias("features"))
 
 
-def _phi(spark, sf):
-    data = rows(spark, sf)
+def _phi(spark, sf, cases):
+    """Attributions of some cases, each with its score by the model itself, and whether that model learned."""
+    data = truncate_lineage(rows(spark, sf))
     _, fitted = experiment.train_eval_fold(data, 0, "RandomForest", params=_FOREST)
-    background = resample.undersample_n(data.where("fold <> 0"), 100)
-    return fitted, background, explain.shapley_values(fitted, data.where("fold = 0"), background, FEATURES, 10)
-
-
-def _bounded(df, *columns):
-    """No attribution of a probability leaves [-1, 1], nor does their sum."""
-    total = F.sum("phi").over(Window.partitionBy("case_index"))
-    return df.select(*columns, "feature", "value", (F.col("phi").between(-1.0, 1.0) & total.between(-1.0, 1.0)).alias("valid"))
+    chosen = data.join(cases.select("case_index"), "case_index", "left_semi")
+    phi = truncate_lineage(explain.shapley_values(fitted, chosen, explain.background_sample(data.where("fold <> 0")), FEATURES))
+    scores = models.scored(fitted, models.ml_frame(data)).withColumnRenamed("label", "actual")
+    own = models.scored(fitted, models.ml_frame(chosen)).select("case_index", "proba")
+    sums = phi.groupBy("case_index").agg(F.sum("phi").alias("total"), F.max("base").alias("base")).join(own, "case_index")
+    exact = sums.select("case_index", (F.abs(F.col("total") - (F.col("proba") - F.col("base"))) < 1e-9).alias("valid"))
+    return phi, exact, learned(spark, sf, scores)
 
 
 def shapley_values(spark, sf):
-    return _bounded(_phi(spark, sf)[2], "case_index", "model_id")
+    """A case's attributions add up to its score less the background's mean score."""
+    phi, exact, mark = _phi(spark, sf, screening(spark, sf).where("fold = 0"))
+    return phi.join(exact, "case_index").select("case_index", "model_id", "feature", "value", "valid", *mark)
 
 
 def case_explanations(spark, sf):
     cases = screening(spark, sf).where("label = 1 and fold = 0")
-    data = rows(spark, sf)
-    _, fitted = experiment.train_eval_fold(data, 0, "RandomForest", params=_FOREST)
-    background = resample.undersample_n(data.where("fold <> 0"), 100)
-    # only the chosen cases are explained
-    phi = explain.shapley_values(fitted, data.join(cases.select("case_index"), "case_index", "left_semi"), background, FEATURES, 10)
-    return _bounded(explain.case_explanations(phi, screening(spark, sf), cases), "case_index", "episode", "fold", "label")
+    phi, exact, mark = _phi(spark, sf, cases)
+    out = explain.case_explanations(phi, screening(spark, sf), cases).join(exact, "case_index")
+    return out.select("case_index", "episode", "fold", "label", "feature", "value", "valid", *mark)
 
 
 def shap_group_features(spark, sf):
@@ -258,9 +370,11 @@ def shap_impact(spark, sf):
 
 
 SPHI = with_ctes(S, PHI)
-SOUND = with_ctes(S) + "select case_index, fold, label as actual, true as valid from s where fold=0"
-_LONG = " union all ".join(f"select {{columns}}, '{f}' as feature, {f}::double as value, true as valid from s where {{where}}" for f in FEATURES)
+_MARK = "(select round(floor,6) from fl) as floor, true as learned"
+SOUND = with_ctes(S, FLOOR) + f"select case_index, fold, label as actual, true as valid, {_MARK} from s"
+_LONG = " union all ".join(f"select {{columns}}, '{f}' as feature, {f}::double as value, true as valid, {_MARK} from s where {{where}}" for f in FEATURES)
 _CUTS = "(select unnest([" + ",".join(f"{c}::double" for c in CUTOFFS) + "]) as cutoff)"
+_RULES_SQL = "(values " + ",".join(f"('{m}',{c}::double)" for m, c in _RULES.items()) + ") as r(model, cut)"
 _RATE = "case when {d}<>0 then {n}::double/({d}) else 0 end"
 
 
@@ -294,13 +408,44 @@ QUERIES = {
     "experiment_grid": (
         experiment_grid,
         with_ctes(S)
-        + """select 'StratifiedKFold_5' as cross_validator, resampler, model, scorer, 'original_data' as tag, fold, positives, cases
- from (select fold, sum(label)::bigint as positives, count(*) as cases from s group by fold)
- cross join (select unnest(['none','RandomUnderSampler']) as resampler) cross join (select unnest(['DecisionTree','LinearSVC']) as model)
+        + """select 'StratifiedKFold_5' as cross_validator, resampler, model, scorer, 'original_data' as tag, fold, positives, cases,
+ case when model='ThresholdScreen' then fp else -1 end as rule_fp, case when model='ThresholdScreen' then positives else -1 end as rule_tp
+ from (select fold, sum(label)::bigint as positives, count(*) as cases, count(*) filter (where label=0 and tsh>=150) as fp from s group by fold)
+ cross join (select unnest(['none','RandomUnderSampler']) as resampler) cross join (select unnest(['DecisionTree','LinearSVC','ThresholdScreen']) as model)
  cross join (select unnest(['recall_score','fp_fn']) as scorer)""",
     ),
-    "train_eval_fold": (train_eval_fold, with_ctes(S) + "select case_index, fold, label as actual, true as valid from s where fold=2 and tsh>=20"),
-    "hyperparameter_search": (hyperparameter_search, with_ctes(S) + "select sum(label)::bigint as positives, count(*) as cases, true as valid from s where fold=0"),
+    "grid_catalogue": (
+        grid_catalogue,
+        with_ctes(S)
+        + f"""select model, 'none' as resampler, 'StratifiedKFold_5' as cross_validator, 'recall_score' as scorer, 'original_data' as tag, fold, '{{"layer": 0}}' as metadata, 5::bigint as records, {COUNTS_SQL}
+ from (select model, fold, label as actual, (tsh>=cut)::int as predicted from s cross join {_RULES_SQL}) group by model, fold""",
+    ),
+    "grid_vote": (
+        grid_vote,
+        with_ctes(S)
+        + """, v as (select case_index, label as actual, tsh>=120 as a, tsh>=150 as b from s), pos as (select count(*) filter (where actual=1) as n from v),
+ sub as (select 1 as subset, count(*) filter (where b and actual=1) as tp, count(*) filter (where b and actual=0) as fp from v
+  union all select 2, count(*) filter (where a and actual=1), count(*) filter (where a and actual=0) from v
+  union all select 3, count(*) filter (where a and b and actual=1), count(*) filter (where a and b and actual=0) from v)
+ select subset::int as subset, bit_count(subset)::int as model_count, tp, fp, n-tp as fn from sub cross join pos""",
+    ),
+    "grid_features": (
+        grid_features,
+        with_ctes(S)
+        + """select 'ratios' as choice, case_index, feature, x from (
+  select case_index, 'tsh' as feature, tsh as x from s union all select case_index, 'f_k', f_k from s
+  union all select case_index, 'tsh/f_k', tsh*(case when f_k=0 then 0 else 1/f_k end) from s union all select case_index, 'f_k/tsh', f_k*(case when tsh=0 then 0 else 1/tsh end) from s)
+ union all """
+        + " union all ".join(f"select 'powers', case_index, '{f}', {f}*{f} from s" for f in FEATURES),
+    ),
+    "grid_two_choices": (
+        grid_two_choices,
+        with_ctes(S)
+        + f"""select model, fold, {COUNTS_SQL} from (select 'ThresholdScreen' as model, fold, label as actual, (tsh>=150)::int as predicted from s
+ union all select 'ThresholdScreen(hour)', fold, label, (f_hour>=12)::int from s) group by model, fold""",
+    ),
+    "train_eval_fold": (train_eval_fold, with_ctes(S, FLOOR) + f"select case_index, fold, label as actual, true as valid, {_MARK} from s where fold=2 and tsh>=20"),
+    "hyperparameter_search": (hyperparameter_search, with_ctes(S, FLOOR) + f"select sum(label)::bigint as positives, count(*) as cases, true as valid, {_MARK} from s where fold=0"),
     "custom_scorers": (
         custom_scorers,
         SP
@@ -340,8 +485,8 @@ QUERIES = {
  select tag, combination_id, fold, case_index, actual, proba from p join b using(combination_id)""",
     ),
     "feature_importance": (feature_importance, "select 1.0::double as total_1, 1.0::double as total_2, 4::bigint as features"),
-    "shapley_values": (shapley_values, with_ctes(S) + _LONG.format(columns="case_index, 1::int as model_id", where="fold=0")),
-    "case_explanations": (case_explanations, with_ctes(S) + _LONG.format(columns="case_index, episode, fold, label", where="fold=0 and label=1")),
+    "shapley_values": (shapley_values, with_ctes(S, FLOOR) + _LONG.format(columns="case_index, 1::int as model_id", where="fold=0")),
+    "case_explanations": (case_explanations, with_ctes(S, FLOOR) + _LONG.format(columns="case_index, episode, fold, label", where="fold=0 and label=1")),
     "shap_group_features": (
         shap_group_features,
         SPHI

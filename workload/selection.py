@@ -7,7 +7,7 @@ from raresight.operators.features import primary_weight_columns, primary_weight_
 from raresight.plans import results
 
 from .fixtures import (
-    AND_SQL, FEATURES, S, SP, SPM, SPMA, VOTE_SQL, analysis, predictions, records, screening, table, with_ctes,
+    AND_SQL, FEATURES, MEMBERS, S, SP, SP10, SPM, SPMA, VOTE_SQL, analysis, predictions, records, screening, table, with_ctes,
 )
 
 
@@ -34,12 +34,12 @@ def topk_features(spark, sf):
 
 
 def top100_votes(spark, sf):
-    v = ensemble.vote_subsets(predictions(spark, sf), list(range(1, 9)))
+    v = ensemble.vote_subsets(predictions(spark, sf, len(MEMBERS)), MEMBERS)
     return v.orderBy(F.col("ppv").desc(), "subset").limit(100).select("subset", "model_count", F.round("ppv", 9).alias("ppv"))
 
 
 def sort_multi(spark, sf):
-    a = ensemble.and_subsets(predictions(spark, sf), list(range(1, 9)))
+    a = ensemble.and_subsets(predictions(spark, sf, len(MEMBERS)), MEMBERS)
     return a.orderBy(F.col("ppv").desc(), "model_count", "fnr", "subset").select("subset", "model_count", "ppv", "fnr")
 
 
@@ -63,11 +63,18 @@ def fn_rank_cases(spark, sf):
 
 
 def union_all(spark, sf):
-    p = predictions(spark, sf)
-    out = None
-    for fold in range(5):
-        part = p.where(F.col("fold") == fold).select("case_index", "combination_id", "proba")
-        out = part if out is None else out.unionByName(part)
+    """Rows of different tables under one schema, repeated rows kept."""
+    s = screening(spark, sf)
+    orders, parts = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    rows = [
+        s.select("case_index", F.lit("screening").alias("origin"), F.col("tsh").alias("value")),
+        predictions(spark, sf).select(F.col("proba").alias("value"), "case_index", F.lit("scores").alias("origin")),
+        orders.select(F.col("o_orderkey").alias("case_index"), F.lit("orders").alias("origin"), F.col("o_totalprice").cast("double").alias("value")),
+        parts.select(F.col("l_orderkey").alias("case_index"), F.lit("lines").alias("origin"), F.col("l_discount").cast("double").alias("value")),
+    ]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
     return out
 
 
@@ -108,11 +115,11 @@ def power_set_products(spark, sf):
 
 def model_subsets(spark, sf):
     """Every subset of the combinations with the cases all members flag."""
-    a = ensemble.and_subsets(predictions(spark, sf), list(range(1, 9)))
+    a = ensemble.and_subsets(predictions(spark, sf, len(MEMBERS)), MEMBERS)
     return a.select("subset", "members", "model_count", "tp", "fp")
 
 
-_MEMBERS = "list_aggregate(list_transform(list_filter(range(8), lambda i: (subset>>i)&1=1), lambda i: (i+1)::varchar),'string_agg',',') as members"
+_MEMBERS = "list_aggregate(list_transform(list_filter(range(10), lambda i: (subset>>i)&1=1), lambda i: (i+1)::varchar),'string_agg',',') as members"
 
 QUERIES = {
     "topk_by_ppv_per_tag": (
@@ -151,9 +158,9 @@ QUERIES = {
     ),
     "top100_votes": (
         top100_votes,
-        SP + VOTE_SQL + "select subset, model_count, round(ppv,9) as ppv from votes order by votes.ppv desc, subset limit 100",
+        SP10 + VOTE_SQL + "select subset, model_count, round(ppv,9) as ppv from votes order by votes.ppv desc, subset limit 100",
     ),
-    "sort_multi": (sort_multi, SP + AND_SQL + "select subset, model_count, ppv, fnr from ands order by ppv desc, model_count, fnr, subset"),
+    "sort_multi": (sort_multi, SP10 + AND_SQL + "select subset, model_count, ppv, fnr from ands order by ppv desc, model_count, fnr, subset"),
     "sort_newest": (sort_newest, SPM + "select record_id, tag, fold, created_at from m order by created_at desc, record_id"),
     "order_cases_by_agreement": (
         order_cases_by_agreement,
@@ -166,7 +173,12 @@ QUERIES = {
         + "select combination_id, (select count(distinct case_index) from p where predicted=1)-count(distinct case_index) as null_count from p where predicted=1 group by 1",
     ),
     "fn_rank_cases": (fn_rank_cases, SP + "select case_index, count(*) as count from p where actual=1 and predicted=0 group by 1 order by 2 desc, 1"),
-    "union_all": (union_all, SP + "select case_index, combination_id, proba from p"),
+    "union_all": (
+        union_all,
+        SP
+        + """select case_index, 'screening' as origin, tsh as value from s union all select case_index, 'scores', proba from p
+ union all select o_orderkey, 'orders', o_totalprice::double from orders union all select l_orderkey, 'lines', l_discount::double from lineitem""",
+    ),
     "concat_columns": (concat_columns, with_ctes(S) + "select tsh, f_k, episode, label as definitive_diagnosis from s"),
     "distinct_values": (distinct_values, SPMA + "select distinct tag, scorer, resampler, fold from a"),
     "union_distinct_cases": (union_distinct_cases, SP + "select distinct case_index from p where predicted=1"),
@@ -180,5 +192,5 @@ QUERIES = {
         with_ctes(S)
         + """select case_index, f_hour*f_k as f_hourxf_k, f_hour*tsh as f_hourxtsh, f_k*tsh as f_kxtsh, f_hour*f_k*tsh as f_hourxf_kxtsh from s""",
     ),
-    "model_subsets": (model_subsets, SP + AND_SQL + f"select subset, {_MEMBERS}, model_count, tp, fp from ands"),
+    "model_subsets": (model_subsets, SP10 + AND_SQL + f"select subset, {_MEMBERS}, model_count, tp, fp from ands"),
 }
