@@ -160,13 +160,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return pd.Series(out)
 
     made = chosen.select("h", "good", F.pandas_udf(shares, "binary")("text").alias("x")).dropDuplicates(["h"])
-    found = sorted((h, good, bytes(x)) for h, good, x in made.orderBy("h").limit(MAX_ROWS).collect())
-    rows = [np.frombuffer(x, "<i4").reshape(2, -1) for _, _, x in found]
-    y = np.array([int(good) for _, good, _ in found], np.int64)
+    # columns of one Arrow table: the driver holds the sample once
+    found = made.orderBy("h").limit(MAX_ROWS).toArrow()
+    found = found.take(np.argsort(found["h"].to_numpy(), kind="stable"))
+    rows = [np.frombuffer(x.as_buffer(), "<i4").reshape(2, -1) for x in found["x"]]
+    y = found["good"].to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 0.5
         return Model(np.zeros((BUCKETS + 1, 1), np.float32), np.zeros((1, 2), np.float32), np.array([0, np.log(share / (1 - share))]))
-    return train([(x[0].astype(np.int64), x[1].view("<f4").astype(np.float32)) for x in rows], y)
+    return train([(x[0], x[1].view("<f4")) for x in rows], y)
 
 
 def score(spark: SparkSession, model: Model, text: Column) -> Column:
