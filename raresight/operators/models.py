@@ -220,7 +220,7 @@ class AveragedModel(Model):
         self.trees = trees
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        out = self.trees.combined(df, lambda values: values.mean(axis=1), "proba")
+        out = self.trees.combined(df, lambda values: np.clip(values, 0.0, 1.0).mean(axis=1), "proba")
         return out.withColumn("prediction", (F.col("proba") > 0.5).cast("double"))
 
 
@@ -374,7 +374,8 @@ class ForestModel(Model):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         out = self.forest.transform(df)
-        p = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
+        # a weighted mean of zeros and ones may miss them in its last digit
+        p = vector_to_array("probability")[1] if "probability" in out.columns else F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction")))
         return out.withColumn("proba", p).drop(*ML_COLUMNS).withColumn("prediction", (F.col("proba") > 0.5).cast("double"))
 
 
