@@ -12,12 +12,12 @@ from raresight.llm.common import carried, small_batches
 SAMPLE, SAMPLE_ALL = 24_000, 400_000
 #: Code points a labelled text gives at most, so that a sample holds many texts.
 PIECE = 2_000
-#: Texts are parsed in pieces of this many code points, all pieces of a batch side by side.
+#: Texts are parsed in pieces of this many code points, all pieces of a batch side by side, and mended where pieces meet.
 STEP = 512
 #: Pieces parsed at once, and code points of a text taken at once.
 LANES, SLICE = 4096, 4096 * STEP
-#: Symbols an automaton tells apart; the rest is one symbol that no training text has.
-SYMBOLS = 62
+#: Most frequent symbols, whose transitions stand in a dense table; those of all others are looked up in a sorted one.
+DENSE = 62
 UNKNOWN = "und"
 SCHEMA = "lang_pred string, score double"
 
@@ -54,25 +54,33 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 class Parser:
     """Cross-parsing tables of all languages.
 
-    A cell holds ``next_state_row * 4 + ended``: where the symbol doesn't go on, the
-    phrase has ended and the next one starts with the symbol.
+    A cell of ``table`` holds ``next_state_row * 4 + ended``: where the symbol doesn't
+    go on, the phrase has ended and the next one starts with the symbol. Columns are
+    the ``DENSE`` most frequent symbols of all samples; every other symbol of a
+    sample has its transitions in ``edges`` (row and symbol, sorted) and ``to``.
     """
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        counts = np.bincount(np.concatenate([_points(samples[x]) for x in self.langs] or [np.zeros(0, np.int64)]), minlength=1)
-        known = [c for c in np.argsort(-counts, kind="stable")[:SYMBOLS].tolist() if counts[c]]
-        self.known = np.array(sorted(known), np.int64)
-        self.width = len(known) + 2  # 0: unknown, last: padding
-        tables, self.roots, self.norm, base = [], [], [], 0
+        found, counts = np.unique(np.concatenate([_points(samples[x]) for x in self.langs] or [np.zeros(0, np.int64)]), return_counts=True)
+        n = min(DENSE, len(found))
+        self.width = n + 2  # 0: in no sample, last: padding
+        rank = np.empty(len(found), np.int32)
+        rank[np.lexsort((found, -counts))] = np.arange(len(found))
+        # symbols beyond the dense ones are numbered on after the padding
+        self.known, self.code = found, np.where(rank < n, rank + 1, rank + 2).astype(np.int32)
+        self.kinds = len(found) + 2
+        tables, roots, self.norm, base, edges = [], [], [], 0, []
         for lang in self.langs:
             codes = self.symbols(samples[lang])
             goes = suffix_automaton(codes.tolist())
             cells = np.full((len(goes), self.width), -1, np.int64)
-            for state, edges in enumerate(goes):
-                for c, to in edges.items():
-                    cells[state, c] = to
-            cells[:, 0] = -1
+            for state, by in enumerate(goes):
+                for c, to in by.items():
+                    if c < self.width:
+                        cells[state, c] = to
+                    else:
+                        edges.append(((state + base) * self.width * self.kinds + c, (to + base) * self.width))
             start = np.where(cells[0] >= 0, cells[0], 0)
             rows = np.where(cells >= 0, cells, start[None, :])
             # a symbol that starts no phrase is one by itself, beside the one it ends
@@ -80,47 +88,110 @@ class Parser:
             out = (rows + base) * self.width * 4 + ended
             out[:, -1] = (np.arange(len(goes)) + base) * self.width * 4
             tables.append(out.astype(np.int32).ravel())
-            self.roots.append(base * self.width)
+            roots.append(base * self.width)
             self.norm.append(np.log2(max(2, len(codes))))
             base += len(goes)
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        self.roots = np.array(roots, np.int32)[:, None]
+        edges.sort()
+        self.edges, self.to = np.array([e for e, _ in edges], np.int64), np.array([t for _, t in edges], np.int32)
 
     def symbols(self, text: str) -> np.ndarray:
         points = _points(text)
-        at = np.minimum(np.searchsorted(self.known, points), max(0, len(self.known) - 1))
-        return np.where(self.known[at] == points, at + 1, 0) if len(self.known) else np.zeros(len(points), np.int64)
+        if not len(self.known):
+            return np.zeros(len(points), np.int32)
+        at = np.minimum(np.searchsorted(self.known, points), len(self.known) - 1)
+        return np.where(self.known[at] == points, self.code[at], np.int32(0))
 
     def phrases(self, texts: list[str]) -> np.ndarray:
-        """(texts, languages): phrases of the longest matches that make up each text."""
+        """(texts, languages): phrases of the longest matches that make up each whole text."""
         out = np.zeros((len(texts), len(self.langs)))
         if not self.langs:
             return out
         pieces, owner, held = [], [], 0
+        entry: np.ndarray | None = None  # where the text cut by the last flush stands
         for i, text in enumerate(texts):
             for lo in range(0, len(text), SLICE):
-                codes = self.symbols(text[lo : lo + SLICE]).astype(np.uint8)
-                fill = np.full(-len(codes) % STEP, self.width - 1, np.uint8)
+                codes = self.symbols(text[lo : lo + SLICE])
+                fill = np.full(-len(codes) % STEP, self.width - 1, np.int32)
                 pieces.append(np.concatenate((codes, fill)).reshape(-1, STEP))
                 owner.append(np.full(len(pieces[-1]), i))
                 held += len(pieces[-1])
                 if held >= LANES:
-                    self._parse(np.concatenate(pieces), np.concatenate(owner), out)
+                    entry = self._parse(np.concatenate(pieces), np.concatenate(owner), entry, out)
+                    if lo + SLICE >= len(text):
+                        out[i] += entry != self.roots[:, 0]  # the phrase the text breaks off
+                        entry = None
                     pieces, owner, held = [], [], 0
         if held:
-            self._parse(np.concatenate(pieces), np.concatenate(owner), out)
+            last = self._parse(np.concatenate(pieces), np.concatenate(owner), entry, out)
+            out[owner[-1][0]] += last != self.roots[:, 0]
         return out
 
-    def _parse(self, grid: np.ndarray, owner: np.ndarray, out: np.ndarray) -> None:
-        roots = np.array(self.roots, np.int32)[:, None]
-        columns = np.ascontiguousarray(grid.T).astype(np.int32)
-        state = np.repeat(roots, columns.shape[1], axis=1)
+    def _advance(self, state: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and ended phrases of (languages, lanes) on one symbol a lane."""
+        rare = np.flatnonzero(column >= self.width)
+        if not len(rare):
+            cell = self.table.take(state + column)
+            return cell >> 2, cell & 3
+        cell = self.table.take(state + np.where(column < self.width, column, 0))
+        after, ended = cell >> 2, cell & 3
+        symbol, here = column[rare].astype(np.int64), state[:, rare]
+        on, to = self._edge(here, symbol)
+        first, start = self._edge(np.broadcast_to(self.roots, here.shape), symbol)
+        after[:, rare] = np.where(on, to, np.where(first, start, self.roots))
+        ended[:, rare] = ~on * (1 + (~first & (here != self.roots)))
+        return after, ended
+
+    def _edge(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = state.astype(np.int64) * self.kinds + symbol
+        at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+        return self.edges[at] == key, self.to[at]
+
+    def _parse(self, grid: np.ndarray, owner: np.ndarray, entry: np.ndarray | None, out: np.ndarray) -> np.ndarray:
+        """Add the phrases of texts cut into pieces; gives the state after the last piece.
+
+        All pieces are parsed from the start state at once. A piece that goes on with a
+        text is then parsed again from the state before it, until both ways stand in
+        the same state, from where they agree; where they don't meet in a piece, the
+        piece after it is mended again. Ends of all texts but the last are counted.
+        """
+        columns = np.ascontiguousarray(grid.T)
+        state = np.repeat(self.roots, columns.shape[1], axis=1)
         ended = np.zeros(state.shape, np.int32)
         for column in columns:
-            cell = self.table.take(state + column)
-            ended += cell & 3
-            state = cell >> 2
-        ended += state != roots  # the phrase the piece breaks off
-        np.add.at(out, owner, ended.T)
+            state, more = self._advance(state, column)
+            ended += more
+        plain, count = state, ended.copy()
+        state = plain.copy()
+        follows = np.concatenate(([False], owner[1:] == owner[:-1]))
+        before = np.repeat(self.roots, len(owner), axis=1)
+        asked = np.repeat(self.roots, len(owner), axis=1)
+        while True:
+            before[:, 1:] = np.where(follows[1:], state[:, :-1], self.roots)
+            if entry is not None:
+                before[:, 0] = entry
+            todo = np.flatnonzero((before != asked).any(axis=0))
+            if not len(todo):
+                break
+            asked[:, todo] = before[:, todo]
+            state[:, todo], count[:, todo] = plain[:, todo], ended[:, todo]
+            true, guess = before[:, todo], np.repeat(self.roots, len(todo), axis=1)
+            for column in columns:
+                apart = np.flatnonzero((true != guess).any(axis=0))
+                if len(apart) < len(todo):
+                    todo, true, guess = todo[apart], true[:, apart], guess[:, apart]
+                if not len(todo):
+                    break
+                true, more = self._advance(true, column[todo])
+                guess, less = self._advance(guess, column[todo])
+                count[:, todo] += more - less
+            else:
+                state[:, todo] = true
+        closing = np.flatnonzero(owner[1:] != owner[:-1])
+        count[:, closing] += state[:, closing] != self.roots
+        np.add.at(out, owner, count.T)
+        return state[:, -1]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language of fewest normalised phrases; the score is its share of the inverse counts."""
@@ -160,7 +231,11 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", seed: int =
 
 
 def identify(spark: SparkSession, parser: Parser, text: Column) -> Column:
-    """struct(lang_pred, score) of each whole text; ``und`` and 0 for null, letterless or untrained ones."""
+    """struct(lang_pred, score) of each whole text; ``und`` and 0 for null, letterless or untrained ones.
+
+    A very long text is parsed in slices of bounded memory, with the phrase counts of
+    the whole text. Equal texts get equal answers; no column is added but the struct.
+    """
     small_batches(spark)
     shared = spark.sparkContext.broadcast(parser)
 

@@ -20,18 +20,38 @@ def longest_match_phrases(text, sample):
     return n
 
 
-def test_phrases_match_plain_search(monkeypatch):
-    monkeypatch.setattr(langid, "SLICE", langid.STEP)
+@pytest.mark.parametrize("step", [4, 32, 512])
+def test_phrases_match_plain_search(monkeypatch, step):
+    monkeypatch.setattr(langid, "STEP", step)
+    monkeypatch.setattr(langid, "SLICE", 2 * step)
     monkeypatch.setattr(langid, "LANES", 2)
     samples = {"a": "abracadabra banana ", "b": "the cat sat on the mat ", "c": "zzz"}
     parser = langid.Parser(samples)
     rng = random.Random(5)
-    texts = ["".join(rng.choices("abcdzthe nmt?é", k=rng.randint(0, 90))) for _ in range(60)] + ["", "banana" * 300]
+    texts = ["".join(rng.choices("abcdzthe nmt?é", k=rng.randint(0, 90))) for _ in range(60)] + ["", "banana" * 300, "ab" * step, "z" * (6 * step)]
     got = parser.phrases(texts)
     for text, row in zip(texts, got):
-        for lang, n in zip(parser.langs, row):
-            pieces = [text[i : i + langid.STEP] for i in range(0, len(text), langid.STEP)]
-            assert n == sum(longest_match_phrases(p, samples[lang]) for p in pieces)
+        assert row.tolist() == [longest_match_phrases(text, samples[lang]) for lang in parser.langs]
+
+
+def test_phrases_of_long_texts_in_many_scripts():
+    rng = random.Random(7)
+
+    def words(first, last, n):
+        stock = ["".join(chr(rng.randint(first, last)) for _ in range(rng.randint(1, 6))) for _ in range(60)]
+        return lambda k: " ".join(rng.choice(stock) for _ in range(k)), n
+
+    makers = {"el": words(0x3B1, 0x3C9, 300), "ru": words(0x430, 0x44F, 300), "zh": words(0x4E00, 0x4F20, 400), "en": words(97, 122, 300), "hi": words(0x905, 0x939, 300), "x": words(0x1F600, 0x1F640, 200)}
+    samples = {name: make(n) for name, (make, n) in makers.items()}
+    parser = langid.Parser(samples)
+    assert len(parser.known) > 3 * langid.DENSE
+    texts = [make(4_000) for make, _ in makers.values()]
+    texts.append(" ".join(make(400) for make, _ in makers.values()) + "".join(chr(rng.randint(0x4E00, 0x5200)) for _ in range(3_000)))
+    assert min(map(len, texts)) > 10_000
+    for text, row in zip(texts, parser.phrases(texts)):
+        assert row.tolist() == [longest_match_phrases(text, samples[lang]) for lang in parser.langs]
+    # no letter in the last
+    assert parser.predict(texts[:6])[0] == ["el", "ru", "zh", "en", "hi", langid.UNKNOWN]
 
 
 def test_language_held_out(spark, docs_of):
