@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -148,13 +150,34 @@ class Parser:
         at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
         return self.edges[at] == key, self.to[at]
 
+    def _walk(self, state: int, root: int, symbols: list[int]) -> tuple[int, int]:
+        """State and ended phrases of one language after ``symbols``."""
+        table, edges, to, ended = memoryview(self.table), memoryview(self.edges), memoryview(self.to), 0
+
+        def edge(state: int, c: int) -> int:
+            at = bisect_left(edges, state * self.kinds + c)
+            return to[at] if at < len(edges) and edges[at] == state * self.kinds + c else -1
+
+        for c in symbols:
+            if c < self.width:
+                cell = table[state + c]
+                state, ended = cell >> 2, ended + (cell & 3)
+                continue
+            after = edge(state, c)
+            if after < 0:
+                after = edge(root, c)
+                ended += 1 + (after < 0 and state != root)
+            state = after if after >= 0 else root
+        return state, ended
+
     def _parse(self, grid: np.ndarray, owner: np.ndarray, entry: np.ndarray | None, out: np.ndarray) -> np.ndarray:
         """Add the phrases of texts cut into pieces; gives the state after the last piece.
 
         All pieces are parsed from the start state at once. A piece that goes on with a
         text is then parsed again from the state before it, until both ways stand in
-        the same state, from where they agree; where they don't meet in a piece, the
-        piece after it is mended again. Ends of all texts but the last are counted.
+        the same state, from where they agree. Where they don't meet in a piece, as in
+        periodic texts, the pieces after it are walked one by one, each once. Ends of
+        all texts but the last are counted.
         """
         columns = np.ascontiguousarray(grid.T)
         state = np.repeat(self.roots, columns.shape[1], axis=1)
@@ -162,32 +185,30 @@ class Parser:
         for column in columns:
             state, more = self._advance(state, column)
             ended += more
-        plain, count = state, ended.copy()
-        state = plain.copy()
-        follows = np.concatenate(([False], owner[1:] == owner[:-1]))
-        before = np.repeat(self.roots, len(owner), axis=1)
+        count = ended.copy()
+        follows = np.concatenate(([entry is not None], owner[1:] == owner[:-1]))
         asked = np.repeat(self.roots, len(owner), axis=1)
-        while True:
-            before[:, 1:] = np.where(follows[1:], state[:, :-1], self.roots)
-            if entry is not None:
-                before[:, 0] = entry
-            todo = np.flatnonzero((before != asked).any(axis=0))
+        asked[:, 1:] = np.where(follows[1:], state[:, :-1], self.roots)
+        if entry is not None:
+            asked[:, 0] = entry
+        todo = np.flatnonzero((asked != self.roots).any(axis=0))
+        true, guess, after = asked[:, todo], np.repeat(self.roots, len(todo), axis=1), state.copy()
+        for column in columns:
+            apart = np.flatnonzero((true != guess).any(axis=0))
+            if len(apart) < len(todo):
+                todo, true, guess = todo[apart], true[:, apart], guess[:, apart]
             if not len(todo):
                 break
-            asked[:, todo] = before[:, todo]
-            state[:, todo], count[:, todo] = plain[:, todo], ended[:, todo]
-            true, guess = before[:, todo], np.repeat(self.roots, len(todo), axis=1)
-            for column in columns:
-                apart = np.flatnonzero((true != guess).any(axis=0))
-                if len(apart) < len(todo):
-                    todo, true, guess = todo[apart], true[:, apart], guess[:, apart]
-                if not len(todo):
-                    break
-                true, more = self._advance(true, column[todo])
-                guess, less = self._advance(guess, column[todo])
-                count[:, todo] += more - less
-            else:
-                state[:, todo] = true
+            true, more = self._advance(true, column[todo])
+            guess, less = self._advance(guess, column[todo])
+            count[:, todo] += more - less
+        else:
+            after[:, todo] = true
+        state = after
+        stale = follows[1:] & (state[:, :-1] != asked[:, 1:]).any(axis=0)
+        for k in range(1 + int(stale.argmax()), len(owner)) if stale.any() else ():
+            for x in np.flatnonzero(state[:, k - 1] != asked[:, k]).tolist() if follows[k] else ():
+                state[x, k], count[x, k] = self._walk(int(state[x, k - 1]), int(self.roots[x, 0]), grid[k].tolist())
         closing = np.flatnonzero(owner[1:] != owner[:-1])
         count[:, closing] += state[:, closing] != self.roots
         np.add.at(out, owner, count.T)

@@ -29,6 +29,7 @@ def test_phrases_match_plain_search(monkeypatch, step):
     parser = langid.Parser(samples)
     rng = random.Random(5)
     texts = ["".join(rng.choices("abcdzthe nmt?é", k=rng.randint(0, 90))) for _ in range(60)] + ["", "banana" * 300, "ab" * step, "z" * (6 * step)]
+    texts += ["the cat sat " * step, "at the mat nabc" * step, "zz?" * step]
     got = parser.phrases(texts)
     for text, row in zip(texts, got):
         assert row.tolist() == [longest_match_phrases(text, samples[lang]) for lang in parser.langs]
@@ -47,6 +48,7 @@ def test_phrases_of_long_texts_in_many_scripts():
     assert len(parser.known) > 3 * langid.DENSE
     texts = [make(4_000) for make, _ in makers.values()]
     texts.append(" ".join(make(400) for make, _ in makers.values()) + "".join(chr(rng.randint(0x4E00, 0x5200)) for _ in range(3_000)))
+    texts.append("".join(map(chr, range(0x4E00, 0x4E0B))) * 1_000)  # never in step
     assert min(map(len, texts)) > 10_000
     for text, row in zip(texts, parser.phrases(texts)):
         assert row.tolist() == [longest_match_phrases(text, samples[lang]) for lang in parser.langs]
