@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegralType
 
-from raresight.llm.common import carried, cut, own, small_batches, worker_state
+from raresight.llm.common import carried, cut, own, range_rank, small_batches, worker_state
 
 #: Similarity as a fraction: 4 / 5.
 NUM, DEN = 4, 5
@@ -24,8 +25,8 @@ LAGS = 512
 #: Sets of at most so many tokens match only their equals.
 EQUALS = 3
 FILTER_BITS = 24
-#: Bytes of text taken at once, bytes hashed at once, members of a list compared in one task.
-SLICE, SEGMENT, LIST_BLOCK = 1 << 20, 1 << 18, 50_000
+#: Bytes of text taken at once, bytes hashed at once (so few that they stay in a core's cache), members of a list compared in one task.
+SLICE, SEGMENT, LIST_BLOCK = 1 << 20, 1 << 16, 50_000
 #: Postings of one list that are held at once.
 LIST_HELD = 1 << 20
 BASE = 0x27BB2EE687B0B0FD
@@ -87,22 +88,24 @@ class Lines:
         count = np.diff(first)
         row = np.repeat(np.arange(len(docs)), count)
         self.doc, self.line = docs[row], mark[row] + np.arange(int(count.sum())) - first[row]
-        keep = wanted(self.doc, self.line) if wanted else None
-        blank = (data == 32) | ((data >= 9) & (data <= 13))
+        begin = np.sort(np.concatenate((offsets[:-1], feeds + 1)))
+        if wanted:
+            # only the bytes of the lines picked are read on
+            keep = wanted(self.doc, self.line)
+            length = np.diff(np.append(begin, len(data)))
+            data, length = data[np.repeat(keep, length)], length[keep]
+            begin = np.cumsum(length) - length
+            self.doc, self.line = self.doc[keep], self.line[keep]
+        blank = (data == 32) | (data - np.uint8(9) < 5)
         edge = np.zeros(len(data) + 1, bool)
-        edge[offsets] = True
+        edge[begin] = True
         before = np.concatenate(([True], blank))
         after = np.concatenate((blank, [True]))
         starts = np.flatnonzero(~after & (before | edge))
+        edge[-1] = True
         ends = np.flatnonzero(~before & (after | edge))
-        line = np.searchsorted(feeds, starts) + np.searchsorted(offsets, starts, "right") - 1
-        if keep is not None:
-            mine = keep[line]
-            starts, ends = starts[mine], ends[mine]
-            line = (np.cumsum(keep) - 1)[line[mine]]
-            self.doc, self.line = self.doc[keep], self.line[keep]
-        self.owner = line
-        self.size = np.bincount(line, minlength=len(self.doc))
+        self.size = np.diff(np.append(np.searchsorted(starts, begin), len(starts)))
+        self.owner = np.repeat(np.arange(len(begin)), self.size)
         self.tokens = _token_hashes(data, starts, ends)
 
 
@@ -348,10 +351,15 @@ def filter_hits(bits: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _sets(lines: Lines) -> pa.Array:
     """The distinct tokens of each line."""
-    order = np.lexsort((lines.tokens, lines.owner))
-    token, owner = lines.tokens[order], lines.owner[order]
+    key = (lines.owner.astype(np.uint64) << np.uint64(40)) | (lines.tokens >> np.uint64(24))
+    order = np.argsort(key)
+    token, owner, key = lines.tokens[order], lines.owner[order], key[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
+    if (new[1:] & (key[1:] == key[:-1])).any():  # different tokens of one key
+        order = np.lexsort((lines.tokens, lines.owner))
+        token, owner = lines.tokens[order], lines.owner[order]
+        new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
     edges = np.concatenate(([0], np.cumsum(np.bincount(owner[new], minlength=len(lines.size)))))
     return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(token[new].view(np.int64)))
 
@@ -451,6 +459,16 @@ def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame) -> DataFram
     return alike.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).distinct()
 
 
+def numbered(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with ``__d``, a long in the order of the key: whole numbers stand for themselves, other keys are ranked; null comes first."""
+    keys = docs.select(F.col(key).alias("__key"))
+    if isinstance(keys.schema["__key"].dataType, IntegralType):
+        return docs.withColumn("__d", F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)))
+    ranks = range_rank(keys.where("__key is not null").distinct(), [F.col("__key")], name="__rank")
+    joined = docs.join(ranks, F.col(key) == F.col("__key"), "left")
+    return joined.select(*own(docs), F.coalesce("__rank", F.lit(NULL_KEY)).alias("__d"))
+
+
 def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, line) of every line that has an earlier line of Jaccard similarity 0.8 or more.
 
@@ -458,11 +476,15 @@ def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     key, then by the text's checksum and the line's number; a null key comes first.
     Whether the earlier line goes itself makes no difference. ``line`` packs the
     checksum and the number; identical rows share their places and never match
-    each other's equal places.
+    each other's equal places. ``doc`` is the key, or its rank if it is no whole number.
     """
+    return _matches(numbered(docs, key), text)
+
+
+def _matches(docs: DataFrame, text: str) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = docs.select(F.col("__d").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     levels = spark.sparkContext.broadcast(token_levels(texts))
     postings = texts.mapInArrow(_posting_rows(levels), POSTING)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -486,12 +508,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     ``n_lines`` counts the lines before; ``emptied`` says that no line with a word
     is left of a text that had one. Null texts stay null with no line, rows without
-    a removal keep their text as it is. Columns of these names are replaced.
+    a removal keep their text as it is. Columns of these names are replaced. Keys
+    may be of any type with an order; a very long text is one batch of its own.
     """
     docs = docs.drop("n_lines", "n_removed", "emptied")
-    lines = later_matches(docs, key, text).groupBy("doc", F.shiftright("line", 31).alias("mark")).agg(F.collect_list(F.col("line").bitwiseAND(F.lit(2**31 - 1))).alias("__gone"))
+    ranked = numbered(docs, key)
+    lines = _matches(ranked, text).groupBy("doc", F.shiftright("line", 31).alias("mark")).agg(F.collect_list(F.col("line").bitwiseAND(F.lit(2**31 - 1))).alias("__gone"))
     lines = cut(lines.withColumnsRenamed({"doc": "__doc", "mark": "__mark"}))
-    marked = docs.withColumns({"__d": F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)), "__m": F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))})
+    marked = ranked.withColumn("__m", F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     # texts that surely keep all lines go past the join
     touched = bit_filter(docs.sparkSession, lines.select("__doc", "__mark"))
 

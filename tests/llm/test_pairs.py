@@ -51,6 +51,31 @@ def test_lines_match_brute_force(docs_of, monkeypatch, lags):
     assert as_key((r["doc_id"], r["text"]) for r in out) == as_key((i, t) for (i, _), t in zip(rows, want))
 
 
+def test_lines_by_text_keys(docs_of):
+    rows = corpus(9, 60)
+    named = lambda i: None if i is None else f"doc {i:05d}"
+    docs = docs_of([(i, t, None, None) for i, t in rows]).selectExpr("'doc ' || lpad(doc_id, 5, '0') as doc_id", "text", "`a.b`", "key")
+    out = line_dedup.dedup(docs).collect()
+    want = near_lines(rows)
+    assert sorted(repr((r["doc_id"], r["text"])) for r in out) == sorted(repr((named(i), t)) for (i, _), t in zip(rows, want))
+    assert line_dedup.dedup(docs.limit(0)).count() == 0
+
+
+def test_picked_lines_are_those_of_all():
+    rng = random.Random(4)
+    for _ in range(300):
+        texts = ["".join(rng.choices("ab \n\t\x0b\x08\x0e", k=rng.randint(0, 14))).encode() for _ in range(rng.randint(1, 6))]
+        offsets = line_dedup.np.cumsum([0] + [len(x) for x in texts])
+        data = line_dedup.np.frombuffer(b"".join(texts), line_dedup.np.uint8)
+        pick = lambda doc, line: (doc + line) % 3 != 0
+        every = line_dedup.Lines(line_dedup.np.arange(len(texts)), offsets, data)
+        some = line_dedup.Lines(line_dedup.np.arange(len(texts)), offsets, data, pick)
+        assert every.size.tolist() == [len(x.split()) for t in texts for x in t.split(b"\n")]
+        keep = pick(every.doc, every.line)
+        assert some.size.tolist() == every.size[keep].tolist() and some.line.tolist() == every.line[keep].tolist()
+        assert some.tokens.tolist() == every.tokens[keep[every.owner]].tolist()
+
+
 def test_lines_odd_rows(docs_of):
     long = " ".join(f"t{i}" for i in range(50_000))
     rows = [(1, None), (2, ""), (3, "\n \n"), (4, long), (5, long + " x\nkept"), (6, "same words here now\nsame words here now"), (7, "kept")]
