@@ -45,8 +45,8 @@ def worker_state(key: str, make: Callable):
     return getattr(store, key)
 
 
-#: Values hashed at once.
-SEGMENT = 1 << 18
+#: Values hashed at once, so few that they stay in a core's cache.
+SEGMENT = 1 << 16
 TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
