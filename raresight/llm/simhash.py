@@ -122,11 +122,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """One row of each near-duplicate group: the smallest key, null keys first, one copy of repeated rows."""
-    prints, roots = _linked(docs, key, text, shingle, distance)
+    small_batches(docs.sparkSession)
+    # a text and its fingerprint are written once: the join below would make it again for its filters
+    marked = cut(docs.withColumn("__fp1", fingerprint(F.col(text), shingle)))
+    prints = marked.select(F.col(key).alias("key"), F.col("__fp1").alias("fp"))
+    roots = cut(link(prints.select("fp").distinct(), distance))
     # by root: the component is null for every group whose keys are all null
     firsts = prints.groupBy("fp").agg(F.min(F.struct("key")).alias("first")).join(roots, "fp")
     keep = firsts.groupBy("root").agg(F.min(F.struct("first.key", "fp")).alias("__k")).select(F.col("__k.key").alias("__key"), F.col("__k.fp").alias("__fp"))
-    marked = docs.withColumn("__fp1", fingerprint(F.col(text), shingle))
     kept = marked.join(keep, marked[key].eqNullSafe(keep["__key"]) & (marked["__fp1"] == keep["__fp"]), "left_semi")
     return kept.dropDuplicates([key, "__fp1"]).select(*own(docs))
 
