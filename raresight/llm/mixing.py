@@ -13,11 +13,10 @@ DIGIT, LEVELS = 4096, 3
 SALTS = 32
 
 
-def sampling_hash(key: Column, seed: int, text: Column | None = None) -> Column:
-    """36 seeded bits of a row's key, and of its text if given; a rerun draws the same."""
-    own_text = [] if text is None else [F.lit("|"), F.md5(F.coalesce(text, F.lit("")))]
-    text = F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit("")), *own_text)
-    return F.conv(F.substring(F.md5(text), 1, 9), 16, 10).cast("long")
+def sampling_hash(key: Column, seed: int, text: Column) -> Column:
+    """36 seeded bits of a row's key and text; a rerun draws the same."""
+    told = F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(told), 1, 9), 16, 10).cast("long")
 
 
 def water_fill(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -76,17 +75,16 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 1,
-        weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, by_text: bool = False) -> DataFrame:
+        weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """``docs`` with size, source_size, target and copies (0 to ``max_epochs``).
 
     Size counts words; a null text has none. A source without words has target 0.
-    Rows of one key draw alike, all null keys as one; with ``by_text`` only rows
-    that share their text too, so that many null keys are no unit. Rows of all sources, the null source included, are
-    kept; copies 0 means left out of the mix. Columns named size, source_size,
-    target or copies are replaced.
+    Only rows that share key and text draw alike, so many null keys are no unit.
+    Rows of all sources, the null source included, are kept; copies 0 means left
+    out of the mix. Columns named size, source_size, target or copies are replaced.
     """
     docs = docs.drop("size", "source_size", "target", "copies")
-    sized = docs.withColumns({"size": word_count(F.col(text)), "__h": sampling_hash(F.col(key), seed, F.col(text) if by_text else None)})
+    sized = docs.withColumns({"size": word_count(F.col(text)), "__h": sampling_hash(F.col(key), seed, F.col(text))})
     rows = cut(sized.select(F.col(source).alias("source"), "size", F.col("__h").alias("h")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = thresholds(rows, water_fill(sizes, weights, max_epochs))

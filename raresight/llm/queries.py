@@ -91,7 +91,7 @@ def op13_quality(spark: SparkSession, sf: str) -> DataFrame:
 MIXING_SQL = r"""
 with docs as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         ('0x' || substr(md5('1|' || coalesce(doc_id::varchar, '')), 1, 9))::bigint as h
+         ('0x' || substr(md5('1|' || coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, ''))), 1, 9))::bigint as h
   from documents),
 src as (select source, sum(size)::bigint as source_size from docs group by source),
 weighed as (

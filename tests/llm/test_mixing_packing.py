@@ -57,7 +57,10 @@ def test_mix(docs_of):
 def test_null_keys_are_no_unit(docs_of):
     # a null-key third of the large source, and a fraction of it to be met
     rows = [(i if i % 3 else None, f"a b c d e f g h i {i}", None, "big") for i in range(300)] + [(1000 + i, "x y z " * 30, None, "small") for i in range(10)]
-    out = corpus_pipeline.mix_sources(None, docs_of(rows), None).collect()
+    docs = docs_of(rows)
+    operator = mixing.mix(docs).where("source = 'big'").selectExpr('sum(copies * size)').first()[0]
+    assert abs(operator - water({"big": 3000, "small": 900})["big"]) <= 10
+    out = corpus_pipeline.mix_sources(None, docs, None).collect()
     taken = sum(len(r["text"].split()) for r in out if r["source"] == "big")
     assert abs(taken - water({"big": 3000, "small": 900})["big"]) <= 10
     copies = Counter(r["text"] for r in out if r["doc_id"] is None and r["source"] == "big")

@@ -93,6 +93,59 @@ def test_toxicity_held_out(spark, docs_of):
     assert toxicity.fit(docs_of([(1, "x", None, None), (2, None, None, None)]), nulls).weights == {}
 
 
+def test_ordinal_fit_against_a_plain_likelihood():
+    import math
+
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(6)]
+    true = dict(zip(vocabulary, (2.0, 1.5, 1.0, 0.5, 0.0, -1.0)))
+    rows = [{w: rng.randint(1, 4) for w in vocabulary if rng.random() < 0.4} for _ in range(400)]
+    noisy = [sum(true[w] * math.log1p(n) for w, n in r.items()) + rng.gauss(0, 1) for r in rows]
+    grades = [sum(x > c for c in (1.5, 3.0)) for x in noisy]
+    model = toxicity.train(rows, grades, vocabulary)
+
+    def loss(w, cuts):
+        total = 0.0
+        for row, y in zip(rows, grades):
+            x = sum(w.get(t, 0.0) * math.log1p(n) for t, n in row.items())
+            for g, cut in enumerate(cuts, start=1):
+                p = 1 / (1 + math.exp(cut - x))
+                total -= math.log(p if y >= g else 1 - p)
+        return total / len(rows)
+
+    # the smallest penalised loss: no slope but the penalty's
+    w, cuts, d = dict(model.weights), model.cuts.tolist(), 1e-5
+    assert cuts == sorted(cuts)
+    for word in vocabulary:
+        up, down = dict(w), dict(w)
+        up[word], down[word] = w.get(word, 0.0) + d, w.get(word, 0.0) - d
+        slope = (loss(up, cuts) - loss(down, cuts)) / (2 * d)
+        if word in w:
+            assert slope == pytest.approx(-math.copysign(toxicity.L1, w[word]), abs=1e-4)
+        else:
+            assert abs(slope) <= toxicity.L1 + 1e-4
+    for g in range(2):
+        up, down = list(cuts), list(cuts)
+        up[g], down[g] = cuts[g] + d, cuts[g] - d
+        assert (loss(w, up) - loss(w, down)) / (2 * d) == pytest.approx(0, abs=1e-4)
+
+
+def test_severity_is_the_expected_grade(spark, docs_of):
+    import math
+
+    model = toxicity.Model({"bad": 1.5, "awfu*": 0.75}, [0.5, 2.0])
+    texts = ["bad bad awful", "awfully BAD", "fine words", "", None, "awful " * 50]
+    out = docs_of([(i, t, None, None) for i, t in enumerate(texts)]).select("doc_id", toxicity.severity(spark, model, toxicity.F.col("text")).alias("x")).select("doc_id", "x.*").collect()
+    for r in out:
+        words = (texts[r["doc_id"]] or "").lower().split()
+        bad, awful = words.count("bad"), sum(w.startswith("awfu") for w in words)
+        x = 1.5 * math.log1p(bad) + 0.75 * math.log1p(awful)
+        above = [1 / (1 + math.exp(c - x)) if words else 0.0 for c in (0.5, 2.0)]
+        chance = [1 - above[0], above[0] - above[1], above[1]]
+        assert r["severity"] == pytest.approx(sum(g * p for g, p in enumerate(chance)))
+        assert r["p_toxic"] == pytest.approx(above[0]) and r["grade"] == max(range(3), key=chance.__getitem__)
+
+
 @pytest.fixture(scope="module")
 def page_model(spark):
     return html_crf.fit(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
