@@ -8,8 +8,10 @@ Three physical shapes, all exact, chosen by measured size:
 * neither fits: copies of one vector are folded into one row first, so a group
   of copies of any size costs one search. Both sides are then cut into Voronoi
   cells of sampled pivots, cells into blocks of bounded size. A first pass over
-  each query's own cell gives an upper bound of its k-th distance; the second
-  pass visits only the cells that the triangle inequality cannot exclude.
+  each query's own cell gives an upper bound of its k-th distance. The cells that
+  the triangle inequality cannot exclude are listed by id alone and visited
+  nearest first, twice as many in each round; every round shrinks the bound, so
+  a vector is only sent to the cells that are really searched.
 
 Ties are broken by ``case_index``.
 """
@@ -214,14 +216,15 @@ def _cell_join(q: DataFrame, r: DataFrame, k: int, nr: int, exclude_self: bool,
 
     own = [c for c in qn if c in info]
     first = truncate_lineage(_merge(visit(qc.where(F.col("cell").isin(own)).select("id", "v", "cell"), {c: qn[c] for c in own}), k).drop("rank"))
-    bound = first.groupBy(F.col("query").alias("id")).agg(F.count(F.lit(1)).alias("found"), F.max("dist").alias("kth"))
-    bounded = qc.join(bound, "id", "left").select(
-        "id", "v", F.col("cell").alias("own"), F.when(F.col("found") >= k, F.col("kth")).otherwise(F.lit(math.inf)).alias("bound")
-    )
     radius = {c: rad for c, (rad, _) in info.items()}
 
-    def remaining(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Cells whose lower bound |q - pivot| - radius is within the bound."""
+    def bounds(best: DataFrame) -> DataFrame:
+        """(id, bound): the k-th distance so far; queries with fewer than k found are left out."""
+        found = best.groupBy(F.col("query").alias("id")).agg(F.count(F.lit(1)).alias("found"), F.max("dist").alias("bound"))
+        return found.where(F.col("found") >= k).drop("found")
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Cells whose lower bound |q - pivot| - radius is within the bound, by turns from the nearest."""
         p = shared.value
         cells = np.array(sorted(radius), dtype=np.int32)
         rad = np.array([radius[c] for c in cells])
@@ -230,13 +233,23 @@ def _cell_join(q: DataFrame, r: DataFrame, k: int, nr: int, exclude_self: bool,
                 continue
             x = _matrix(pdf["v"])
             d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (p[cells] ** 2).sum(1)[None, :] - 2 * x @ p[cells].T, 0.0))
-            slack = 1e-6 * (1.0 + d + rad[None, :])
-            open_ = (d - rad[None, :] - slack <= pdf["bound"].to_numpy()[:, None]) & (cells[None, :] != pdf["own"].to_numpy()[:, None])
-            qi, ci = np.nonzero(open_)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[qi], "v": [pdf["v"].iloc[i] for i in qi], "cell": cells[ci]})
-
-    rest = truncate_lineage(bounded.mapInPandas(remaining, "id bigint, v array<double>, cell int"))
-    per_cell = {x["cell"]: x["n"] for x in rest.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not per_cell:
-        return _merge(first, k)
-    return _merge(first.unionByName(visit(rest, per_cell)), k)
+            low = d - rad[None, :] - 1e-6 * (1.0 + d + rad[None, :])
+            open_ = (low <= pdf["bound"].fillna(math.inf).to_numpy()[:, None]) & (cells[None, :] != pdf["own"].to_numpy()[:, None])
+            order = np.argsort(np.where(open_, low, math.inf), axis=1, kind="stable")
+            qi, turn = np.nonzero(np.take_along_axis(open_, order, axis=1))
+            ci = order[qi, turn]
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[qi], "cell": cells[ci], "low": low[qi, ci], "turn": turn.astype("int32")})
+
+    asked = qc.join(bounds(first), "id", "left").select("id", "v", F.col("cell").alias("own"), "bound")
+    routes = truncate_lineage(asked.mapInPandas(route, "id bigint, cell int, low double, turn int"))
+    best, turn, width = first, 0, 1
+    while True:
+        # lower bounds rise with the turn and the bound only shrinks: a round without an open cell is the last
+        open_now = routes.where((F.col("turn") >= turn) & (F.col("turn") < turn + width)).join(bounds(best), "id", "left")
+        wanted = truncate_lineage(open_now.where(F.col("bound").isNull() | (F.col("low") <= F.col("bound"))).select("id", "cell"))
+        per_cell = {x["cell"]: x["n"] for x in wanted.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not per_cell:
+            return _merge(best, k)
+        near = visit(wanted.join(qc.select("id", "v"), "id"), per_cell)
+        best = truncate_lineage(_merge(best.unionByName(near), k).drop("rank"))
+        turn, width = turn + width, 2 * width
