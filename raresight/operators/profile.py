@@ -148,13 +148,19 @@ def minority_class(df: DataFrame, label: str = "label") -> DataFrame:
     return value_counts(df, label).agg(F.min_by(label, F.struct("n", label)).alias("minority"), F.min("n").alias("n"))
 
 
-def profile_table(df: DataFrame, cols: list[str], by: list[str] | tuple = ()) -> DataFrame:
-    """Per-column profile: rows, missing, distinct, range, moments, top value.
+PROFILE_QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+def profile_table(df: DataFrame, cols: list[str], by: list[str] | tuple = (), probs: tuple = PROFILE_QUANTILES, **quantile_options) -> DataFrame:
+    """Per-column profile: rows, missing, distinct, range, moments, exact quantiles (``q5`` and so on), top value.
 
     The frequency part counts (column, value) pairs once: a frequent value is
-    combined before the shuffle, and distinct and top value both come from it.
+    combined before the shuffle, and distinct and top value both come from it; of
+    equally frequent values the last in text order is the top one. Columns that
+    are no numbers have null range, moments and quantiles.
     """
     by = list(by)
+    df = truncate_lineage(df.select(*by, *cols))
     aggs = []
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
     for i, c in enumerate(cols):
@@ -183,7 +189,48 @@ def profile_table(df: DataFrame, cols: list[str], by: list[str] | tuple = ()) ->
             F.max_by("value", F.struct(F.col("n"), F.col("value"))).alias("top_value"),
         )
     )
-    return stats.join(freq, [*by, "name"], "left")
+    quantiles = [F.max(F.when(F.col("p") == float(p), F.col("value"))).alias(f"q{round(100 * p)}") for p in probs]
+    # null-safe: a population may be null
+    for part in (freq, *([exact_quantiles(df, asked, list(probs), by, **quantile_options).groupBy(*by, "name").agg(*quantiles)] if (asked := [c for c in cols if c in numeric]) else [])):
+        own = part.withColumnsRenamed({c: f"__{c}" for c in [*by, "name"]})
+        same = F.lit(True)
+        for c in [*by, "name"]:
+            same = same & stats[c].eqNullSafe(own[f"__{c}"])
+        stats = stats.join(own, same, "left").drop(*[f"__{c}" for c in [*by, "name"]])
+    return stats
+
+
+#: Items a sketch keeps at its top level; ranks are then off by about 0.6 % in the worst of 100 cases, and by the bound almost never.
+SKETCH_K = 512
+SKETCH_ERROR = 0.01
+
+
+def profile_state(df: DataFrame, cols: list[str], by: list[str] | tuple = ()) -> DataFrame:
+    """(by..., name, n, sum, low, high, sketch): a mergeable state per population and numeric column.
+
+    States of separate loads are kept as rows of one table and put together by
+    ``merge_profiles``, so that a new load is profiled without the old ones. A
+    column without a value has n 0 and no sketch.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in cols])
+    long = df.select(*by, F.explode(cells).alias("s")).select(*by, "s.name", F.when(~F.isnan("s.x"), F.col("s.x")).alias("x"))
+    return long.groupBy(*by, "name").agg(
+        F.count("x").alias("n"), F.sum("x").alias("sum"), F.min("x").alias("low"), F.max("x").alias("high"),
+        F.kll_sketch_agg_double("x", SKETCH_K).alias("sketch"),
+    )
+
+
+def merge_profiles(states: DataFrame, by: list[str] | tuple = (), probs: tuple = PROFILE_QUANTILES) -> DataFrame:
+    """States -> (by..., name, n, mean, low, high, p, value): quantiles whose rank is off by ``SKETCH_ERROR`` at most.
+
+    ``by`` may be coarser than the states are. Columns without a value are left out.
+    """
+    whole = states.where("n > 0").groupBy(*by, "name").agg(
+        F.sum("n").alias("n"), (F.sum("sum") / F.sum("n")).alias("mean"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"),
+    )
+    at = [F.struct(F.lit(float(p)).alias("p"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias("value")) for p in probs]
+    return whole.withColumn("s", F.explode(F.array(*at))).select(*by, "name", "n", "mean", "low", "high", "s.p", "s.value")
 
 
 def profile_target(df: DataFrame, cols: list[str], target: str, bins: int = 10) -> DataFrame:

@@ -344,3 +344,24 @@ def test_grid_members_are_taken_as_they_are(spark, sf):
     m = experiment.run_grid(rows, {"kept": stored}, {"SMOTE": 0.1}, ["accuracy"], "t", "2024-01-01_00-00-00", scratch_path(spark, "g"), scratch_path(spark, "gm"), folds=[0, 1])
     got = {r["fold"]: r["true_positives"] + r["false_positives"] for r in m.collect()}
     assert got == {f: df.where(f"fold = {f} and tsh >= {100 + 50 * f}").count() for f in (0, 1)}
+
+
+def test_profile_states_merge(spark):
+    rows = [(i % 2, i % 5, float(i * i % 997) if i % 7 else None, float("nan")) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "g int, load int, x double, y double")
+    states = profile.profile_state(df, ["x", "y"], ["g", "load"])
+    assert states.count() == 20 and states.where("name = 'y'").agg({"n": "sum"}).first()[0] == 0
+    for by, key in ((["g"], lambda r: r[0]), ([], lambda r: None)):
+        for r in profile.merge_profiles(states, by).collect():
+            xs = [x[2] for x in rows if x[2] is not None and (not by or key(x) == r["g"])]
+            assert r["name"] == "x" and r["n"] == len(xs) and (r["low"], r["high"]) == (min(xs), max(xs)) and abs(r["mean"] - sum(xs) / len(xs)) < 1e-9
+            under, upto = sum(x < r["value"] for x in xs), sum(x <= r["value"] for x in xs)
+            assert under <= (r["p"] + profile.SKETCH_ERROR) * len(xs) and upto >= (r["p"] - profile.SKETCH_ERROR) * len(xs)
+
+
+def test_profile_of_odd_columns(spark):
+    df = spark.createDataFrame([(None, 1.0, "b", None), (None, 3.0, "a", None), ("g", None, None, None)], "by string, x double, t string, e double")
+    got = {(r["by"], r["name"]): r for r in profile.profile_table(df, ["x", "t", "e"], ["by"]).collect()}
+    assert len(got) == 6
+    assert (got[None, "x"]["q50"], got[None, "x"]["q25"], got[None, "x"]["top_count"], got["g", "x"]["q50"]) == (2.0, 1.5, 1, None)
+    assert got[None, "t"]["top_value"] == "b" and got[None, "t"]["q50"] is None and got[None, "e"]["missing"] == 2

@@ -6,12 +6,18 @@ from raresight.functions import metrics
 from raresight.functions.text import outcome_label
 from raresight.operators import clean, curves, explain_tables, profile
 from raresight.operators.features import class_medians, primary_weight_rank
+from raresight.session import truncate_lineage
 
 from .fixtures import (
     AND_SQL, CLEAN, COUNTS_SQL, FEATURES, FLOOR, K, MEMBERS, RATES_SQL, S, SP, SP10, SPMA, T, W, WIDE, analysis, combination_means, dirty, predictions, screening,
     table, wide, with_ctes,
 )
 
+LINEITEM = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+]
+QUANTILES = ["q5", "q25", "q50", "q75", "q95"]
 PC = SP + f", pc as (select combination_id, fold, {COUNTS_SQL} from p group by all)\n"
 
 
@@ -211,13 +217,29 @@ def auc(spark, sf):
 
 
 def profile_table(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_returnflag", "l_linenumber")
-    return _r(profile.profile_table(li, li.columns), "mean", "std")
+    li = table(spark, sf, "lineitem").select(*LINEITEM)
+    found = _r(profile.profile_table(li, LINEITEM), "mean", "std", digits=6)
+    return _r(found, *QUANTILES, digits=4)
+
+
+def profile_merged(spark, sf):
+    """Profile states of seven loads, merged by population; the rank of each quantile is counted on the rows."""
+    li = table(spark, sf, "lineitem")
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_partkey"]
+    states = truncate_lineage(profile.profile_state(li, cols, ["l_returnflag", "l_linenumber"]))
+    found = truncate_lineage(profile.merge_profiles(states, ["l_returnflag"]))
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in cols])
+    rows = li.select("l_returnflag", F.explode(cells).alias("s")).select("l_returnflag", "s.*")
+    ranks = rows.join(found.select("l_returnflag", "name", "p", "value"), ["l_returnflag", "name"])
+    ranks = ranks.groupBy("l_returnflag", "name", "p").agg(F.count_if(F.col("x") < F.col("value")).alias("under"), F.count_if(F.col("x") <= F.col("value")).alias("upto"))
+    near = (F.col("under") <= (F.col("p") + profile.SKETCH_ERROR) * F.col("n")) & (F.col("upto") >= (F.col("p") - profile.SKETCH_ERROR) * F.col("n"))
+    return _r(found.join(ranks, ["l_returnflag", "name", "p"]).withColumn("within", near).drop("under", "upto", "value"), "mean", digits=6)
 
 
 def profile_compare(spark, sf):
     s = screening(spark, sf).withColumn("population", F.when(F.col("label") == 1, "Positive").otherwise("Negative"))
-    return _r(profile.profile_table(s, FEATURES, ["population"]), "mean", "std", digits=6)
+    found = _r(profile.profile_table(s, FEATURES, ["population"]), "mean", "std", digits=6)
+    return _r(found, *QUANTILES, digits=4)
 
 
 def profile_target(spark, sf):
@@ -267,6 +289,9 @@ _MAPPED = {
 _BIN = "least({n}-1, greatest(0, floor(({x}-lo)*{n}.0::double/(hi-lo))))::int"
 
 
+_ROUNDED = ", ".join(f"round({q},4) as {q}" for q in QUANTILES)
+
+
 def _prof(cols, src, keys="", numeric=None):
     parts = []
     for c in cols:
@@ -276,6 +301,7 @@ def _prof(cols, src, keys="", numeric=None):
             f"""select {k} '{c}' as name, count(*) as rows, count(*)-count({c}) as missing,
  {f'min({c})::double' if num else 'null::double'} as min, {f'max({c})::double' if num else 'null::double'} as max,
  {f'avg({c})' if num else 'null::double'} as mean, {f'stddev_samp({c})' if num else 'null::double'} as std, count(distinct {c}) as "distinct",
+ {', '.join((f'quantile_cont({c}::double,{int(q[1:]) / 100})' if num else 'null::double') + f' as {q}' for q in QUANTILES)},
  mode_n.top_count, mode_n.top_value from {src} {'join' if keys else 'cross join'} (select {k} max(n) as top_count, arg_max(v, {{'n': n, 'v': v}}) as top_value from (select {k} {c}::varchar as v, count(*) as n from {src} where {c} is not null group by all) {('group by '+keys) if keys else ''}) mode_n {f'using({keys})' if keys else ''} group by {k} mode_n.top_count, mode_n.top_value"""
         )
     return " union all ".join(parts)
@@ -432,14 +458,25 @@ QUERIES = {
     ),
     "profile_table": (
         profile_table,
-        f"select name, rows, missing, min, max, round(mean,9) as mean, round(std,9) as std, \"distinct\", top_count, top_value from ({_prof(['l_quantity','l_discount','l_returnflag','l_linenumber'],'lineitem',numeric={'l_quantity','l_discount','l_linenumber'})})",
+        f"""select name, rows, missing, min, max, round(mean,6) as mean, round(std,6) as std, "distinct", top_count, top_value, {_ROUNDED}
+ from ({_prof(LINEITEM, "lineitem", numeric=set(LINEITEM[:8]))})""",
+    ),
+    "profile_merged": (
+        profile_merged,
+        " union all ".join(
+            f"""select l_returnflag, '{c}' as name, unnest([0.05, 0.25, 0.5, 0.75, 0.95])::double as p, count({c}) as n, round(avg({c}), 6) as mean,
+ min({c})::double as low, max({c})::double as high, true as within from lineitem group by l_returnflag"""
+            for c in ("l_quantity", "l_extendedprice", "l_discount", "l_partkey")
+        ),
     ),
     "profile_compare": (
         profile_compare,
         with_ctes(S)
         + ", sp as (select *, case when label=1 then 'Positive' else 'Negative' end as population from s), pr as ("
         + _prof(FEATURES, "sp", "population")
-        + """) select population, name, rows, missing, min, max, round(mean,6) as mean, round(std,6) as std, "distinct", top_count, top_value from pr""",
+        + """) select population, name, rows, missing, min, max, round(mean,6) as mean, round(std,6) as std, "distinct", top_count, top_value, """
+        + _ROUNDED
+        + " from pr",
     ),
     "profile_target": (
         profile_target,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sources", "cleaning", "joins", "aggregates", "sequences", "selection", "features", "resampling", "learning", "ensembles"]
+MODULES = ["sources", "cleaning", "joins", "aggregates", "sequences", "selection", "features", "resampling", "learning", "ensembles", "streams"]
 
 
 def registry() -> dict:
