@@ -9,17 +9,25 @@ negative key -(i + 1) and in ``source`` the row they come from.
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
+from typing import Iterator
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import normal, uniform
 from ..session import truncate_lineage
 from .neighbors import knn_join
 from .ordering import keep_smallest, running_totals, with_rank
 
+# the block functions travel with the job, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 COLUMNS = ["case_index", "label", "features", "source"]
 
 
@@ -265,13 +273,126 @@ def centroids(df: DataFrame, k: int, seed: int = 0, max_iter: int = 20, bisectin
     return df.sparkSession.createDataFrame(rows, "i bigint, features array<double>")
 
 
-def cluster_centroids(df: DataFrame, ratio: float, k: int | str = "target", seed: int = 0, bisecting: bool = False, **_) -> DataFrame:
+def _shares(k: int, cells: list[tuple[int, int, int]]) -> dict[int, int]:
+    """(cell, rows, distinct vectors) -> centres per cell: by rows, at least one, no more than distinct vectors, ``k`` in all."""
+    share = {c: 1 for c, _, _ in cells}
+    room = {c: d - 1 for c, _, d in cells}
+    left = min(k, sum(d for _, _, d in cells)) - len(cells)
+    while left > 0:
+        open_ = [(c, n) for c, n, _ in cells if room[c]]
+        total = sum(n for _, n in open_)
+        wish = {c: min(room[c], left * n // total) for c, n in open_}
+        if not any(wish.values()):
+            wish = {c: 1 for c, _ in sorted(open_, key=lambda x: (-x[1], x[0]))[:left]}
+        for c, n in wish.items():
+            share[c], room[c], left = share[c] + n, room[c] - n, left - n
+    return share
+
+
+#: Distances worked out at once.
+DISTANCES = 1 << 22
+
+
+def _rows_of(pdf: pd.DataFrame) -> np.ndarray:
+    return np.stack(pdf["features"].to_numpy()).astype(np.float64)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Place of the nearest centre of each row, the first of equally near ones."""
+    size = (centres * centres).sum(1)[None, :]
+    parts = math.ceil(len(x) * len(centres) / DISTANCES)
+    return np.concatenate([(size - 2 * part @ centres.T).argmin(1) for part in np.array_split(x, max(1, parts))])
+
+
+def _added(rows: pd.DataFrame, centres: np.ndarray) -> pd.DataFrame:
+    """(i, s, n): the weighted sum and count of the rows nearest to each centre that has any."""
+    x, w = _rows_of(rows), rows["w"].to_numpy()
+    near = _nearest(x, centres)
+    total = np.zeros_like(centres)
+    np.add.at(total, near, x * w[:, None])
+    n = np.bincount(near, weights=w, minlength=len(centres))
+    met = np.flatnonzero(n)
+    return pd.DataFrame({"i": met, "s": list(total[met]), "n": n[met].astype("int64")})
+
+
+def _mean(d: int) -> list[Column]:
+    return [F.array(*[F.sum(F.col("s")[j]) / F.sum("n") for j in range(d)]).alias("mean")]
+
+
+def centroids_by_cell(df: DataFrame, k: int, seed: int = 0, cells: int = 1024, rounds: int = 10, block_rows: int = 20_000) -> DataFrame:
+    """(i, features, n): ``k`` centres for any ``k``, and how many rows each stands for.
+
+    Two levels of ``rounds`` Lloyd steps, each from the rows of smallest hash: the
+    first cuts the rows into ``cells`` coarse cells (no more than the root of
+    ``k``), in the second each cell has its share of the centres by its rows.
+    Copies of a vector are one weighted row. The centres are a table and a row is
+    compared with those of its cell alone, so the driver holds the coarse cells
+    only and the work grows with k / cells; the centres differ from those of one
+    k-means over all rows. With fewer distinct vectors than ``k`` each is a
+    centre. Null vectors are left out.
+    """
+    spark = df.sparkSession
+    points = truncate_lineage(df.where("features is not null").groupBy("features").agg(F.count(F.lit(1)).alias("w")))
+    n, d = points.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
+    if not n:
+        return spark.createDataFrame([], "i bigint, features array<double>, n bigint")
+    draw = F.xxhash64("features", F.lit(seed))
+    picked = points.orderBy(draw, "features").limit(max(1, min(cells, math.isqrt(k)))).collect()
+    rough = np.array([r["features"] for r in picked], np.float64)
+
+    def each(work, schema: str) -> DataFrame:
+        shared = spark.sparkContext.broadcast(rough)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    yield work(pdf, shared.value)
+
+        return points.mapInPandas(run, schema)
+
+    for _ in range(rounds):
+        added = each(_added, "i bigint, s array<double>, n bigint")
+        for r in added.groupBy("i").agg(*_mean(d)).collect():
+            rough[r["i"]] = r["mean"]
+    placed = truncate_lineage(each(lambda pdf, c: pdf.assign(cell=_nearest(_rows_of(pdf), c).astype("int32")), "features array<double>, w bigint, cell int"))
+    sizes = sorted(tuple(r) for r in placed.groupBy("cell").agg(F.sum("w"), F.count(F.lit(1))).collect())
+    share = _shares(max(k, len(sizes)), sizes)
+    # at most ``cells`` entries
+    starts = dict(zip(share, np.cumsum([0, *share.values()]).tolist()))
+    plan = spark.createDataFrame([(c, share[c], starts[c], max(1, math.ceil(d / block_rows))) for c, _, d in sizes], "cell int, share int, start int, blocks int")
+    placed = placed.join(F.broadcast(plan), "cell")
+    first = placed.withColumn("r", F.row_number().over(W.partitionBy("cell").orderBy(draw, "features"))).where("r <= share")
+    centres = truncate_lineage(first.select((F.col("start") + F.col("r") - 1).cast("bigint").alias("i"), "features", "cell", "blocks", F.lit(0).cast("bigint").alias("n")))
+    rows = truncate_lineage(placed.withColumn("block", F.pmod(F.xxhash64("features"), F.col("blocks")).cast("int")).select("cell", "block", "features", "w"))
+
+    def in_cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a):  # no row was dealt to this block
+            return pd.DataFrame({"i": [], "s": [], "n": []})
+        b = b.sort_values("i")
+        out = _added(a, _rows_of(b))
+        return out.assign(i=b["i"].to_numpy()[out["i"].to_numpy()])
+
+    for _ in range(rounds):
+        dealt = centres.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        part = rows.groupBy("cell", "block").cogroup(dealt.groupBy("cell", "block")).applyInPandas(in_cell, "i bigint, s array<double>, n bigint")
+        mean = part.groupBy("i").agg(*_mean(d), F.sum("n").alias("met"))
+        # a centre that no row is nearest to stays where it is
+        moved = centres.join(mean, "i", "left").select("i", F.coalesce("mean", "features").alias("features"), "cell", "blocks", F.coalesce("met", F.lit(0)).cast("bigint").alias("n"))
+        centres = truncate_lineage(moved)
+    return centres.select("i", "features", "n")
+
+
+def cluster_centroids(
+    df: DataFrame, ratio: float, k: int | str = "target", seed: int = 0, bisecting: bool = False, by_cell: bool = False, **_
+) -> DataFrame:
     """Majority replaced by centroids, minority kept. ``k="target"`` takes
-    the wanted majority count, a number takes that many."""
+    the wanted majority count, a number takes that many; ``by_cell`` finds them
+    in two levels, for counts that one k-means can't hold."""
     c = classes(df)
     count = min(c.n_maj, max(1, int(c.n_min / ratio))) if k == "target" else int(k)
     majority = df.where(F.col("label") != c.minority)
-    made = centroids(majority, count, seed, bisecting=bisecting).select(
+    found = centroids_by_cell(majority, count, seed) if by_cell else centroids(majority, count, seed, bisecting=bisecting)
+    made = found.select(
         (-F.col("i") - 1).alias("case_index"), F.lit(1 - c.minority).alias("label"), "features", F.lit(None).cast("bigint").alias("source")
     )
     return _originals(df.where(F.col("label") == c.minority)).unionByName(made)

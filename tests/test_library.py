@@ -365,3 +365,28 @@ def test_profile_of_odd_columns(spark):
     assert len(got) == 6
     assert (got[None, "x"]["q50"], got[None, "x"]["q25"], got[None, "x"]["top_count"], got["g", "x"]["q50"]) == (2.0, 1.5, 1, None)
     assert got[None, "t"]["top_value"] == "b" and got[None, "t"]["q50"] is None and got[None, "e"]["missing"] == 2
+
+
+def test_centroids_by_cell(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(1500, 3)), rng.normal(size=(300, 3)) + 8, np.tile([[5.0, 5.0, -5.0]], (900, 1))])
+    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)] + [(-1, None)], "case_index long, features array<double>")
+
+    def error(centres):
+        return (((x[:, None, :] - np.array(centres)[None]) ** 2).sum(2).min(1)).sum()
+
+    made = rs.centroids_by_cell(df, 100, block_rows=200).orderBy("i").collect()
+    assert [r["i"] for r in made] == list(range(100)) and sum(r["n"] for r in made) == len(x)
+    single = [r["features"] for r in rs.centroids(df.where("features is not null"), 100).collect()]
+    assert error([r["features"] for r in made]) <= 1.5 * error(single)
+    again = rs.centroids_by_cell(df.repartition(3), 100, block_rows=200).orderBy("i").collect()
+    assert np.allclose([r["features"] for r in again], [r["features"] for r in made])
+    few = rs.centroids_by_cell(df.where("case_index >= 1798"), 500, block_rows=1).collect()
+    assert sorted(r["n"] for r in few) == [1, 1, 900]
+    assert rs.centroids_by_cell(df.limit(0), 5).count() == 0
+
+
+def test_shares_of_cells():
+    assert rs._shares(10, [(0, 90, 90), (1, 9, 9), (2, 1, 1)]) == {0: 8, 1: 1, 2: 1}
+    assert rs._shares(100, [(0, 50, 3), (1, 5, 5)]) == {0: 3, 1: 5}
+    assert rs._shares(6, [(0, 1000, 2), (1, 10, 10)]) == {0: 2, 1: 4}

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from raresight.operators import resample as rs
+from raresight.session import truncate_lineage
 
 from .fixtures import E, FEATURES, S, screening, u_parts, vectors, with_ctes
 
@@ -35,6 +36,18 @@ def cluster_centroids(spark, sf):
     return rs.cluster_centroids(_rows(spark, sf), 0.02, k=8).select("case_index", "label", F.size("features").alias("d"))
 
 
+def centroids_by_cell(spark, sf):
+    """300 centres of the majority: their rows, how many lie within the range of all, and their weighted mean."""
+    df = _rows(spark, sf).where("label = 0")
+    made = truncate_lineage(rs.centroids_by_cell(df, 300))
+    box = df.agg(*[f(F.col("features")[j]).alias(f"{n}{j}") for j in range(len(FEATURES)) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    inside = F.lit(True)
+    for j in range(len(FEATURES)):
+        inside = inside & F.col("features")[j].between(box[f"lo{j}"] - 1e-9, box[f"hi{j}"] + 1e-9)
+    mean = [F.round(F.sum(F.col("features")[j] * F.col("n")) / F.sum("n"), 6).alias(f"mean{j}") for j in range(len(FEATURES))]
+    return made.agg(F.count_distinct("i").alias("centres"), F.sum("n").alias("rows"), F.count_if(inside).alias("inside"), *mean)
+
+
 def prototype_points(spark, sf):
     """Centres per fold that lie within the range of the rejected rows of their fold."""
     s = screening(spark, sf)
@@ -160,5 +173,12 @@ QUERIES = {
         cluster_centroids,
         _SRC + "select case_index, label, 4::int as d from r where label=1 union all select (-i-1)::bigint, 0::int, 4::int from (select unnest(range(8)) as i)",
     ),
+    "centroids_by_cell": (
+        centroids_by_cell,
+        with_ctes(S)
+        + "select least(300, (select count(*) from (select distinct tsh, f_user, f_k, f_hour from s where label=0))) as centres, count(*)::bigint as rows, least(300, (select count(*) from (select distinct tsh, f_user, f_k, f_hour from s where label=0))) as inside, "
+        + ", ".join(f"round(avg({f}),6) as mean{j}" for j, f in enumerate(FEATURES))
+        + " from s where label=0",
+    ),
     "prototype_points": (prototype_points, with_ctes(S) + "select fold, least(8, count(*)) as inside, least(8, count(*)) as negative from s where tsh<150 group by fold"),
 }
