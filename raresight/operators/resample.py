@@ -367,7 +367,7 @@ def centroids_by_cell(df: DataFrame, k: int, seed: int = 0, cells: int = 1024, r
 
     def in_cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a):  # no row was dealt to this block
-            return pd.DataFrame({"i": [], "s": [], "n": []})
+            return pd.DataFrame({"i": np.zeros(0, np.int64), "s": pd.Series([], dtype=object), "n": np.zeros(0, np.int64)})
         b = b.sort_values("i")
         out = _added(a, _rows_of(b))
         return out.assign(i=b["i"].to_numpy()[out["i"].to_numpy()])

@@ -384,6 +384,9 @@ def test_centroids_by_cell(spark):
     few = rs.centroids_by_cell(df.where("case_index >= 1798"), 500, block_rows=1).collect()
     assert sorted(r["n"] for r in few) == [1, 1, 900]
     assert rs.centroids_by_cell(df.limit(0), 5).count() == 0
+    # blocks that no row was dealt to
+    sparse = rs.centroids_by_cell(df.where("case_index < 60"), 4, cells=1, rounds=2, block_rows=2).collect()
+    assert len(sparse) == 4 and sum(r["n"] for r in sparse) == 60
 
 
 def test_shares_of_cells():
