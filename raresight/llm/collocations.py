@@ -261,8 +261,8 @@ def mentions_of(levels, all_of_them: bool, shards: int, longest: int):
     """(a, b, phrase) of asked-for phrases of a scan, and of some that share their cells.
 
     ``levels`` is 0 where no phrase is asked for, 1 where one leads to longer ones
-    alone, else ``levels_of``. A phrase passes once a batch, by a hash of key and batch so often that about
-    ``MENTIONS`` do, or ``all_of_them``; a task passes it on again only if it lost its slot.
+    alone, else ``levels_of``. A mention passes by a hash of key, batch and place, so often that about
+    ``MENTIONS`` of an evenly spread phrase do, or ``all_of_them``; a task passes a phrase on again only if it lost its slot.
     """
 
     def run(batches):
@@ -278,7 +278,7 @@ def mentions_of(levels, all_of_them: bool, shards: int, longest: int):
                     place = np.flatnonzero(seen > 1)
                     if not all_of_them:
                         often = np.minimum(1.0, MENTIONS * shards * 2.0 ** (2.0 - seen[place]))
-                        place = place[(mixed(at.a[place] ^ mark) >> np.uint64(11)) * 2.0**-53 < often]
+                        place = place[(mixed(at.a[place] ^ mixed(at.at[place].astype(np.uint64) ^ mark)) >> np.uint64(11)) * 2.0**-53 < often]
                     place = place[known[slot_of(at.a[place])] != at.a[place]]
                     a, first = np.unique(at.a[place], return_index=True)
                     known[slot_of(a)] = a
@@ -298,16 +298,17 @@ def mentions_of(levels, all_of_them: bool, shards: int, longest: int):
 def named(table: str, found: DataFrame, longest: int, shards: int) -> DataFrame:
     """(lang, phrase, words, f) of the counted phrases ``found``, their words read off the texts.
 
-    The first shard names nearly all; the next ones are read for those not met so far.
+    The first shard names nearly all by a part of its mentions; the next ones are read
+    for those not met so far, at last the first one again, now with all its mentions.
     """
     spark, out, rest, every = found.sparkSession, None, found, levels_of(found) > 0
-    for i in range(shards):
+    for i in range(shards + 1):
         levels = levels_of(rest)
         if not levels.any():
             break
         levels = np.where(levels > 0, levels, every)
         shared = spark.sparkContext.broadcast(zlib.compress(levels.tobytes(), 1))
-        texts = spark.read.parquet(f"{table}/shard={i}").select("lang", "text")
+        texts = spark.read.parquet(f"{table}/shard={i % shards}").select("lang", "text")
         met = texts.mapInArrow(mentions_of(shared, i > 0, shards, longest), "a long, b int, lang string, phrase string")
         names = met.join(rest.select("a", "b", "n"), ["a", "b"]).groupBy("a", "b").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"), F.min("n").alias("f"))
         names = cut(names)

@@ -71,6 +71,14 @@ def test_collocations_shared_cells(spark, docs_of, monkeypatch):
     assert {tuple(r) for r in got} == plain_collocations(rows, 9, 5, 2000)
 
 
+def test_collocations_of_one_document_each(spark, docs_of, monkeypatch):
+    # all mentions of a phrase lie in one shard, the one that is named by a part of them too
+    monkeypatch.setattr(collocations, "CELL_BITS", 18)
+    rows = [("en", f"w{i} " * 300) for i in range(24)]
+    got = collocations.collocations(docs_of([(i, t, lang, "s") for i, (lang, t) in enumerate(rows)])).collect()
+    assert {tuple(r) for r in got} == plain_collocations(rows, 100, 5, 2000) and len(got) == 24 * 4
+
+
 def test_collocations_odd_tables(spark, docs_of, monkeypatch):
     monkeypatch.setattr(collocations, "CELL_BITS", 18)
     assert collocations.collocations(docs_of([]).limit(0)).count() == 0
