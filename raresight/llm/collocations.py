@@ -24,7 +24,10 @@ SLICE, HELD, OUT = 1 << 21, 3 << 20, 1 << 18
 NAMED_BITS = 20
 BASE_A, BASE_B = 0x27BB2EE687B0B0FD, 0x9FB21C651E98DF25
 STEP_A, STEP_B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-COUNTS = "a long, b int, n long"
+#: Counts travel as blocks: a row has the sorted keys of one part, which is the first bits of ``a``.
+COUNTS = "part int, a binary, b binary, n binary"
+#: Bytes of stored texts a part is made for, and the fewest bits of parts.
+PART, PART_BITS = 8 << 20, 4
 #: Mentions of a phrase that the first naming scan passes on, about; a scan after it passes on all it is asked for.
 MENTIONS = 16
 #: What a byte is: 0 of a word, 1 between words, 2 between pieces.
@@ -115,17 +118,55 @@ def texts_of(batch: pa.RecordBatch):
 
 
 def tallied(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and counts with equal neighbours added up."""
+    """Keys in order, equal ones put together and their counts added up."""
     a, b, n = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(a)
+    # plain sorting is faster than sorting places: the last bits make way for the place and are put right after
+    low = np.uint64(len(a).bit_length())
+    order = (np.sort(a >> low << low | np.arange(len(a), dtype=np.uint64)) & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    found = a[order]
+    if (found[1:] < found[:-1]).any():
+        order = order[np.argsort(found, kind="stable")]
     a, b, n = a[order], b[order], n[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    first = np.flatnonzero(new)
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():
+        order = np.lexsort((b, a))
+        a, b, n = a[order], b[order], n[order]
+    first = np.flatnonzero(np.append(True, ~same | (b[1:] != b[:-1]))) if len(a) else order
     return a[first], b[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def counts_of(scan: int, shards: int, longest: int, started):
+def blocks_of(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: int):
+    """Batches of ``COUNTS`` with sorted keys, a row for each part, about ``OUT`` keys at a time."""
+    if not len(a):
+        return
+    of = (a >> np.uint64(64 - bits)).astype(np.int32)
+    edge = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(a))
+    rows = np.append(np.flatnonzero(np.diff(edge[:-1] // OUT, prepend=-1)), len(edge) - 1)
+    for lo, hi in zip(rows[:-1], rows[1:]):
+        cells = [[x[s:e].tobytes() for s, e in zip(edge[lo:hi], edge[lo + 1 : hi + 1])] for x in (a, b, n)]
+        yield pa.RecordBatch.from_arrays([pa.array(of[edge[lo:hi]]), *(pa.array(x, pa.binary()) for x in cells)], ["part", "a", "b", "n"])
+
+
+def keys_in(batch) -> list[tuple[int, tuple]]:
+    """The (part, (a, b, n)) of each row of a batch of blocks."""
+    part, *cells = (batch.column(i) for i in range(4))
+    kinds = np.uint64, np.uint32, np.int64
+    return [(p, tuple(np.frombuffer(c.as_buffer(), kind) for c, kind in zip(row, kinds))) for p, *row in zip(part.to_pylist(), *cells)]
+
+
+def summed(blocks: DataFrame, bits: int, least: int = 0) -> DataFrame:
+    """One block a part with its counts added up; only those of ``least`` and the languages."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        a, b, n = tallied([x for _, x in keys_in(rows)])
+        on = (n >= least) | (b == 0)
+        made = list(blocks_of(a[on], b[on], n[on], bits))
+        return pa.Table.from_batches(made) if made else rows.slice(0, 0)
+
+    return blocks.groupBy("part").applyInArrow(add, COUNTS)
+
+
+def counts_of(scan: int, shards: int, longest: int, started, bits: int):
     """Counts of the phrases that are open in a scan.
 
     ``started`` has, by cell, the scan after which a phrase reached the threshold.
@@ -139,12 +180,6 @@ def counts_of(scan: int, shards: int, longest: int, started):
         start = np.frombuffer(zlib.decompress(started.value), np.uint8)
         parts, held = [], 0
 
-        def out(parts):
-            a, b, n = tallied(parts)
-            for lo in range(0, len(a), OUT):
-                columns = a[lo : lo + OUT].view(np.int64), b[lo : lo + OUT].view(np.int32), n[lo : lo + OUT]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "n"])
-
         for batch in batches:
             for lang, words in texts_of(batch):
                 at = Phrases(words, lang)
@@ -165,44 +200,47 @@ def counts_of(scan: int, shards: int, longest: int, started):
                     parts = [tallied(parts)]
                     held = len(parts[0][0])
                     if held > HELD // 2:
-                        yield from out(parts)
+                        yield from blocks_of(*parts[0], bits)
                         parts, held = [], 0
         if parts:
-            yield from out(parts)
+            yield from blocks_of(*tallied(parts), bits)
 
     return run
 
 
-def marked(rows: DataFrame) -> np.ndarray:
-    """Which cells the keys of ``rows`` fall in: a bit for each cell comes to the driver, whatever the input."""
+def marked(blocks: DataFrame, chosen) -> np.ndarray:
+    """Which cells the keys ``chosen`` by (b, n) fall in: a bit for each cell comes to the driver, whatever the input."""
 
     def mark(batches):
         bits = np.zeros(1 << CELL_BITS, bool)
         for batch in batches:
-            bits[cell_of(batch.column(0).to_numpy().view(np.uint64))] = True
+            for _, (a, b, n) in keys_in(batch):
+                bits[cell_of(a[chosen(b, n)])] = True
         words = np.packbits(bits).view(">i8").astype(np.int64)
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_pydict({"at": pa.array(at), "mask": pa.array(words[at])})
 
     mask = np.zeros(1 << (CELL_BITS - 6), ">i8")
-    for at, value in rows.select("a").mapInArrow(mark, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).collect():
+    for at, value in blocks.mapInArrow(mark, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).collect():
         mask[at] = value
     return np.unpackbits(mask.view(np.uint8)).view(bool)
 
 
-def in_cells(rows: DataFrame, cells: np.ndarray) -> DataFrame:
+def in_cells(blocks: DataFrame, cells: np.ndarray, bits: int) -> DataFrame:
     """The counts whose cells are on, and some more if they share them; those of languages always."""
-    shared = rows.sparkSession.sparkContext.broadcast(zlib.compress(np.packbits(cells).tobytes(), 1))
+    shared = blocks.sparkSession.sparkContext.broadcast(zlib.compress(np.packbits(cells).tobytes(), 1))
 
     def keep(batches):
         on = np.unpackbits(np.frombuffer(zlib.decompress(shared.value), np.uint8)).view(bool)
         for batch in batches:
-            yield batch.filter(pa.array(on[cell_of(batch.column(0).to_numpy().view(np.uint64))] | (batch.column(1).to_numpy() == 0)))
+            for _, (a, b, n) in keys_in(batch):
+                some = on[cell_of(a)] | (b == 0)
+                yield from blocks_of(a[some], b[some], n[some], bits)
 
-    return rows.mapInArrow(keep, COUNTS)
+    return blocks.mapInArrow(keep, COUNTS)
 
 
-def frequent(table: str, spark, least: int, longest: int, shards: int) -> DataFrame:
+def frequent(table: str, spark, least: int, longest: int, shards: int, bits: int) -> DataFrame:
     """(a, b, n) of every phrase that occurs ``least`` times or more, and of every language, from the shards at ``table``.
 
     Scans go round the shards. Words are counted from the first scan on, longer
@@ -219,18 +257,31 @@ def frequent(table: str, spark, least: int, longest: int, shards: int) -> DataFr
         scan += 1
         texts = spark.read.parquet(f"{table}/shard={(scan - 1) % shards}").select("lang", "text")
         shared = spark.sparkContext.broadcast(zlib.compress(started.tobytes(), 1))
-        found = texts.mapInArrow(counts_of(scan, shards, longest, shared), COUNTS)
-        parts.append(written(found.groupBy("a", "b").agg(F.sum("n").alias("n"))))
+        found = texts.mapInArrow(counts_of(scan, shards, longest, shared, bits), COUNTS)
+        parts.append(written(summed(found, bits)))
         shared.unpersist()
-        likely |= marked(parts[-1][0].where(F.col("n") >= share))
+        likely |= marked(parts[-1][0], lambda b, n: n >= share)
         # a count that changed now has all its parts in the last cycle
-        new = _totals([x for x, _ in parts], likely & (started == 0), least).where(F.col("b").bitwiseAND(F.lit(7)).between(1, longest - 1))
-        started[marked(new) & (started == 0)] = scan
+        new = _totals([x for x, _ in parts], likely & (started == 0), least, bits)
+        started[marked(new, lambda b, n: ((b & 7) > 0) & ((b & 7) < longest)) & (started == 0)] = scan
         if len(parts) == shards:
             old, path = parts.pop(0)
-            done.append(cut(in_cells(old, likely)))
+            done.append(cut(in_cells(old, likely, bits)))
             drop_scratch(spark, path)
-    return _totals(done + [x for x, _ in parts], likely, least)
+
+    def rows(batches):
+        for batch in batches:
+            for _, (a, b, n) in keys_in(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), b.view(np.int32), n)], ["a", "b", "n"])
+
+    return _totals(done + [x for x, _ in parts], likely, least, bits).mapInArrow(rows, "a long, b int, n long")
+
+
+def part_bits(table: str, spark) -> int:
+    """Bits of parts for the texts stored at ``table``, so that a part stays small whatever the input."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    size = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return min(30, max(PART_BITS, (size // PART).bit_length()))
 
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:
@@ -240,12 +291,11 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def _totals(parts: list[DataFrame], cells: np.ndarray, least: int) -> DataFrame:
-    rows = parts[0]
+def _totals(parts: list[DataFrame], cells: np.ndarray, least: int, bits: int) -> DataFrame:
+    blocks = parts[0]
     for more in parts[1:]:
-        rows = rows.union(more)
-    total = in_cells(rows, cells).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return total.where((F.col("n") >= least) | (F.col("b") == 0))
+        blocks = blocks.union(more)
+    return summed(in_cells(blocks, cells, bits), bits, least)
 
 
 def levels_of(found: DataFrame) -> np.ndarray:
@@ -335,7 +385,7 @@ def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least: int
     # shards of few documents may be empty: each has a folder all the same
     for i in range(shards):
         rows.limit(0).write.mode("append").parquet(f"{table}/shard={i}")
-    found = cut(frequent(table, spark, least, longest, shards))
+    found = cut(frequent(table, spark, least, longest, shards, part_bits(table, spark)))
     kept = cut(named(table, found.where(F.col("b") != 0), longest, shards))
     langs = rows.select("lang").distinct().withColumn("a", F.xxhash64("lang"))
     totals = cut(found.where((F.col("b") == 0) & (F.col("n") > 0)).join(langs, "a").select("lang", "n"))

@@ -71,6 +71,25 @@ def test_collocations_shared_cells(spark, docs_of, monkeypatch):
     assert {tuple(r) for r in got} == plain_collocations(rows, 9, 5, 2000)
 
 
+@pytest.mark.parametrize("n, keys", [(1, 1), (1000, 30), (70_000, 2**40)])
+def test_counts_travel_in_blocks(n, keys, monkeypatch):
+    monkeypatch.setattr(collocations, "OUT", 1 << 10)
+    rng = np.random.default_rng(n)
+    a = rng.integers(0, keys, n).astype(np.uint64) * collocations.TURN
+    b, count = rng.integers(0, 3, n).astype(np.uint32), rng.integers(1, 9, n)
+    want = Counter()
+    for x, y, z in zip(a.tolist(), b.tolist(), count.tolist()):
+        want[x, y] += z
+    whole = collocations.tallied([(a[:7], b[:7], count[:7]), (a[7:], b[7:], count[7:])])
+    # keys that share their first hash alone are told apart, whatever their order, and equal ones are put together
+    assert list(zip(*(x.tolist() for x in whole[:2]))) == sorted(want)
+    for bits in (4, 9):
+        rows = [x for batch in collocations.blocks_of(*whole, bits) for x in collocations.keys_in(batch)]
+        assert len({part for part, _ in rows}) == len(rows)
+        assert all((x >> np.uint64(64 - bits) == np.uint64(part)).all() for part, (x, _, _) in rows)
+        assert {(x, y): z for _, block in rows for x, y, z in zip(*(c.tolist() for c in block))} == want
+
+
 def test_collocations_of_one_document_each(spark, docs_of, monkeypatch):
     # all mentions of a phrase lie in one shard, the one that is named by a part of them too
     monkeypatch.setattr(collocations, "CELL_BITS", 18)
