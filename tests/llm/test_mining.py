@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -98,6 +99,23 @@ def test_collocations_of_one_document_each(spark, docs_of, monkeypatch):
     assert {tuple(r) for r in got} == plain_collocations(rows, 100, 5, 2000) and len(got) == 24 * 4
 
 
+def test_collocations_of_odd_rows(spark, docs_of):
+    # odd characters, languages and empty texts, with words that one document repeats
+    rng = random.Random(2)
+    words = ["the", "The", "\u00a0", "\u0085", "\u2028", "\x00", "\x1c", "\x7f", "\u0130", "\u212a", "\ufeff", "\U0001f600", "\uffff", "\\", "%", "'", "@", "[", *[f"w{i}" for i in range(8)]]
+    gaps = [" ", " ", "\t", "  ", ", ", ".", "\n", "\x0b", "\x0d", " ; "]
+    rows = [(rng.choice(["en", None, "", "und", "EN", "e\x00n"]), "".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randint(0, 80))) + " p q r s t u") for _ in range(600)]
+    rows += [(rng.choice(["de", "en"]), f"rep{i} " * rng.randint(90, 700)) for i in range(20)] + [("en", None), (None, None), ("zz", ""), ("zz", " . ")]
+    docs = docs_of([(i, t, lang, "s") for i, (lang, t) in enumerate(rows)]).repartition(7)
+    got = [tuple(r) for r in collocations.collocations(docs).collect()]
+    want = plain_collocations(rows, 100, 5, 2000)
+    assert set(got) == want and len(got) == len(want) > 50
+    con = duckdb.connect()
+    con.execute("create table documents (lang varchar, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert set(con.execute(COLLOCATIONS_SQL).fetchall()) == want
+
+
 def test_collocations_odd_tables(spark, docs_of, monkeypatch):
     monkeypatch.setattr(collocations, "CELL_BITS", 18)
     assert collocations.collocations(docs_of([]).limit(0)).count() == 0
