@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from raresight.llm.common import TURN, carried, cut, mixed, run_hashes, small_batches
+from raresight.llm.common import TURN, carried, cut, mixed, small_batches
 from raresight.session import drop_scratch, scratch_path
 
 LEAST, LONGEST, TOP = 100, 5, 2000
@@ -23,6 +23,8 @@ SLICE, HELD, OUT = 1 << 21, 3 << 20, 1 << 18
 #: Slots in which a task keeps the phrases it has named; one that lost its slot is named again.
 NAMED_BITS = 20
 BASE_A, BASE_B = 0x27BB2EE687B0B0FD, 0x9FB21C651E98DF25
+#: Bytes of a word up to which it is hashed side by side with others, eight of them at a time.
+SIDE = 64
 STEP_A, STEP_B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 #: Counts travel as blocks: a row has the sorted keys of one part, which is the first bits of ``a``.
 COUNTS = "part int, a binary, b binary, n binary"
@@ -38,28 +40,51 @@ KIND[[0x20, 0x09]] = 1
 KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """64-bit hashes of runs of ``data``, which has eight bytes more than its runs.
+
+    Each eight bytes are scrambled before the next come in: sums of bytes by powers
+    of a number are the same for some words of regular make, whatever the number.
+    """
+    eight, turn = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)), np.uint64(base)
+    first = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    size = ends - starts
+    out = size.astype(np.uint64) * TURN
+    live, done = np.flatnonzero(size <= SIDE), 0
+    while len(live):
+        left = size[live] - done
+        x = out[live] ^ (eight[starts[live] + done] & first[np.minimum(left, 8)])
+        x = (x ^ (x >> np.uint64(32))) * turn
+        x = (x ^ (x >> np.uint64(29))) * turn
+        out[live] = x ^ (x >> np.uint64(32))
+        live, done = live[left > 8], done + 8
+    for i in np.flatnonzero(size > SIDE).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]], base)
+    return out
+
+
 class Words:
     """Word hashes of a text, in two independent 64-bit words, and the piece each word is in."""
 
     def __init__(self, data: np.ndarray):
-        self.data = LOWER[data]
+        self.data = LOWER[np.append(data, np.zeros(8, np.uint8))]
         kind = KIND[data]
         inside = np.zeros(len(data) + 2, bool)
         np.equal(kind, 0, out=inside[1:-1])
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         self.starts, self.ends = edge[::2], edge[1::2]
         self.piece = np.searchsorted(np.flatnonzero(kind == 2), self.starts)
-        self.a = run_hashes(self.data, self.starts, self.ends, BASE_A)
+        self.a = word_hashes(self.data, self.starts, self.ends, BASE_A)
         self._b = None
 
     def b(self, at: np.ndarray) -> np.ndarray:
         """Second hashes of the words at some places; all are made once many are asked for."""
         if self._b is None and 4 * len(at) >= len(self.a):
-            self._b = run_hashes(self.data, self.starts, self.ends, BASE_B)
+            self._b = word_hashes(self.data, self.starts, self.ends, BASE_B)
         if self._b is not None:
             return self._b[at]
         some, where = np.unique(at, return_inverse=True)
-        return run_hashes(self.data, self.starts[some], self.ends[some], BASE_B)[where]
+        return word_hashes(self.data, self.starts[some], self.ends[some], BASE_B)[where]
 
     def phrase(self, at: int, length: int) -> str:
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.starts[at : at + length], self.ends[at : at + length])).decode("utf-8", "replace")

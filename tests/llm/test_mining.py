@@ -116,6 +116,31 @@ def test_collocations_of_odd_rows(spark, docs_of):
     assert set(con.execute(COLLOCATIONS_SQL).fetchall()) == want
 
 
+def test_collocations_of_regular_words(spark, docs_of, monkeypatch):
+    # Thue-Morse words and their complements: polynomials in any odd number, modulo 2^64, take one for the other
+    monkeypatch.setattr(collocations, "CELL_BITS", 18)
+    made = "a"
+    while len(made) < 1024:
+        made += made.translate({97: 98, 98: 97})
+    odd = [made, made.translate({97: 98, 98: 97}), *("q" * i + end for i in (7, 8, 15, 16, 63, 64, 65) for end in ("", "\x00", "\x00\x00", "r"))]
+    rng = random.Random(6)
+    rows = [(rng.choice(["en", "fr"]), " ".join(["x", rng.choice(odd[:2]), "y", *rng.choices(odd, k=40)])) for _ in range(200)]
+    got = [tuple(r) for r in collocations.collocations(docs_of([(i, t, lang, "s") for i, (lang, t) in enumerate(rows)]), least=9).collect()]
+    want = plain_collocations(rows, 9, 5, 2000)
+    assert set(got) == want and len(got) == len(want) > 50
+
+
+def test_words_are_told_apart():
+    rng = np.random.default_rng(4)
+    some = {rng.integers(97, 99, n).astype(np.uint8).tobytes() for n in rng.integers(1, 140, 5000)} | {b"a" + bytes(i) for i in range(100)}
+    some = sorted(some)
+    data = np.frombuffer(b" ".join(some + some[::-1]), np.uint8)
+    words = collocations.Words(data)
+    for hashes in (words.a, words.b(np.arange(len(words.a)))):
+        assert len(np.unique(hashes)) == len(some) and np.array_equal(hashes, hashes[::-1])
+    assert np.array_equal(collocations.Words(data).b(np.arange(0, 900, 30)), hashes[:900:30])
+
+
 def test_collocations_odd_tables(spark, docs_of, monkeypatch):
     monkeypatch.setattr(collocations, "CELL_BITS", 18)
     assert collocations.collocations(docs_of([]).limit(0)).count() == 0
