@@ -28,6 +28,16 @@ def cut(df: DataFrame) -> DataFrame:
     return truncate_lineage(df)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df``, of which the next join broadcasts neither side.
+
+    For tables that grow with the input: Spark sizes a written table by its compressed
+    file, and exploded rows by the rows they come from, so a small estimate may be
+    more than the driver can hold.
+    """
+    return df.hint("merge")
+
+
 def small_batches(spark) -> None:
     """Bound what a Python task is handed at once: texts can be long, and copies are made of a batch."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import LongType
 
-from raresight.llm.common import carried, cut, own, small_batches
+from raresight.llm.common import carried, cut, own, shuffled, small_batches
 from raresight.llm.graph import components
 
 BITS = 64
@@ -85,7 +85,7 @@ def link(fps: DataFrame, distance: int) -> DataFrame:
     """
     every = variants(fps.select("fp"), distance)
     hubs = every.groupBy("v", "rest").agg(F.min("fp").alias("hub"), F.max("fp").alias("far")).where("hub != far").drop("far")
-    first = every.join(hubs, ["v", "rest"]).where(_near(F.col("fp"), F.col("hub"), distance) & (F.col("fp") != F.col("hub")))
+    first = every.join(shuffled(hubs), ["v", "rest"]).where(_near(F.col("fp"), F.col("hub"), distance) & (F.col("fp") != F.col("hub")))
     stars = components(first.select(F.col("fp").alias("a"), F.col("hub").alias("b")))
     labels = fps.select("fp").join(stars.withColumnRenamed("node", "fp"), "fp", "left")
     labels = cut(labels.select("fp", F.coalesce("root", "fp").alias("root")))
@@ -94,7 +94,7 @@ def link(fps: DataFrame, distance: int) -> DataFrame:
     left = marked.withColumns({"lo": F.min("root").over(bucket), "hi": F.max("root").over(bucket)}).where("lo != hi").drop("lo", "hi")
     right = left.select("v", "rest", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
     apart = (left.v == right.v) & (left.rest == right.rest) & (left.root < right.root2) & _near(left.fp, right.fp2, distance)
-    bridges = left.join(right, apart).select(F.col("root").alias("a"), F.col("root2").alias("b"))
+    bridges = left.join(shuffled(right), apart).select(F.col("root").alias("a"), F.col("root2").alias("b"))
     joined = components(bridges).select(F.col("node").alias("root"), F.col("root").alias("top"))
     return labels.join(joined, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
 
@@ -116,7 +116,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """
     prints, roots = _linked(docs, key, text, shingle, distance)
     firsts = prints.groupBy("fp").agg(F.min("key").alias("first"))
-    named = firsts.join(roots, "fp").groupBy("root").agg(F.min("first").alias("component"))
+    named = firsts.join(shuffled(roots), "fp").groupBy("root").agg(F.min("first").alias("component"))
     return prints.join(roots.join(named, "root").drop("root"), "fp").select(F.col("key").alias(key), "fp", "component")
 
 
@@ -128,7 +128,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     prints = marked.select(F.col(key).alias("key"), F.col("__fp1").alias("fp"))
     roots = cut(link(prints.select("fp").distinct(), distance))
     # by root: the component is null for every group whose keys are all null
-    firsts = prints.groupBy("fp").agg(F.min(F.struct("key")).alias("first")).join(roots, "fp")
+    firsts = prints.groupBy("fp").agg(F.min(F.struct("key")).alias("first")).join(shuffled(roots), "fp")
     keep = firsts.groupBy("root").agg(F.min(F.struct("first.key", "fp")).alias("__k")).select(F.col("__k.key").alias("__key"), F.col("__k.fp").alias("__fp"))
     kept = marked.join(keep, marked[key].eqNullSafe(keep["__key"]) & (marked["__fp1"] == keep["__fp"]), "left_semi")
     return kept.dropDuplicates([key, "__fp1"]).select(*own(docs))

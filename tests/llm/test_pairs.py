@@ -193,6 +193,26 @@ def test_groups_of_null_keys_stay_apart(docs_of):
     assert [r["doc_id"] for r in kept if r["doc_id"] is not None] == [2]
 
 
+def joins_in(df):
+    """Join lines of the plan before it runs: what Spark chooses by its estimates alone."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.split("\n") if "Join" in x]
+
+
+@pytest.mark.parametrize("rows", [64, 1000])
+def test_variants_are_never_broadcast(spark, monkeypatch, rows):
+    """64 rows a fingerprint are taken for one: the estimate stays under any limit that the table itself does."""
+    rng = random.Random(rows)
+    prints = [rng.getrandbits(64) - 2**63 for _ in range(rows)]
+    prints += [p ^ 1 << rng.randrange(60) for p in prints[:20]]
+    seen, real = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: [seen.append(joins_in(edges)), real(edges)][1])
+    got = simhash.link(spark.createDataFrame([(p,) for p in prints], "fp long").distinct(), 4).collect()
+    assert len({r["root"] for r in got}) == len(set(prints)) - 20
+    assert len(seen) == 2 and all(seen)
+    assert not [x for found in seen for x in found if "Broadcast" in x]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (900, 901), (901, 900)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
