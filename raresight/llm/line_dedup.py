@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegralType
 
-from raresight.llm.common import carried, cut, own, range_rank, small_batches, worker_state
+from raresight.llm.common import carried, cut, own, range_rank, shuffled, small_batches, worker_state
 
 #: Similarity as a fraction: 4 / 5.
 NUM, DEN = 4, 5
@@ -494,7 +494,7 @@ def _matches(docs: DataFrame, text: str) -> DataFrame:
     gone = found.where("kind = 0").select(*x).distinct()
     pairs = found.where("kind = 1").select("x_doc", "x_line", "y_doc", "y_line").distinct()
     first = cut(gone.union(verified(spark, texts, cut(_without(pairs, gone)))).distinct())
-    probes = cut(found.where("kind = 2").select(*x, "token").join(first, ["doc", "line"], "left_anti").distinct())
+    probes = cut(found.where("kind = 2").select(*x, "token").join(shuffled(first), ["doc", "line"], "left_anti").distinct())
     return first if probes.isEmpty() else first.union(open_lists(spark, texts, probes, levels)).distinct()
 
 
@@ -523,7 +523,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         return pd.Series(filter_hits(touched.value, doc.to_numpy(), mark.to_numpy()))
 
     marked = marked.withColumn("__may", F.pandas_udf(may_change, "boolean")("__d", "__m"))
-    changed = marked.where("__may").join(lines, (F.col("__d") == F.col("__doc")) & (F.col("__m") == F.col("__mark")), "left")
+    # a written list of line numbers takes a small part of the room it needs
+    changed = marked.where("__may").join(shuffled(lines), (F.col("__d") == F.col("__doc")) & (F.col("__m") == F.col("__mark")), "left")
     same = marked.where("not __may").withColumn("__gone", F.lit(None).cast("array<bigint>"))
     joined = changed.select(*own(docs), "__gone").union(same.select(*own(docs), "__gone"))
 

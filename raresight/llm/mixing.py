@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from raresight.llm.common import cut, own, range_rank, word_count
+from raresight.llm.common import cut, own, range_rank, shuffled, word_count
 
 MAX_EPOCHS = 3
 WEIGHTS = (5, 2, 1)
 #: Hash digits a level resolves: 4096 bins at most per source; three levels make 36 bits.
 DIGIT, LEVELS = 4096, 3
 SALTS = 32
+#: Rows of the salted plan that are broadcast; its file is some hundred times smaller than its rows.
+SENT = 1 << 17
 
 
 def sampling_hash(key: Column, seed: int, text: Column) -> Column:
@@ -90,6 +92,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     plan = thresholds(rows, water_fill(sizes, weights, max_epochs))
     plan = plan.select(F.col("source").alias("__s"), F.struct("source_size", "target", "whole", "below").alias("__plan"))
     plan = cut(plan.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    plan = shuffled(plan) if plan.count() > SENT else plan
     salted = sized.withColumn("__salt", (F.col("__h") % SALTS).cast("int"))
     joined = salted.join(plan, salted[source].eqNullSafe(plan["__s"]) & (F.col("__salt") == F.col("__salt2")))
     extra = (F.col("__h") < F.col("__plan.below")).cast("int")

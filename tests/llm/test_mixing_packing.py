@@ -54,6 +54,22 @@ def test_mix(docs_of):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_many_sources_are_not_broadcast(docs_of):
+    """The plan has a row per source and salt, whose file is small however many they are."""
+    rows = [(i, "a b c " * (1 + i % 4), None, f"s{i % 4500}") for i in range(5000)] + [(-1, "a b", None, None), (-2, None, None, "none")]
+    last = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x][0]
+    mixed = mixing.mix(docs_of(rows))
+    assert "Broadcast" not in last(mixed)
+    assert "Broadcast" in last(mixing.mix(docs_of(rows[:100])))
+    out, sizes = mixed.collect(), Counter()
+    for _, t, _, s in rows:
+        sizes[s] += len((t or "").split())
+    want = water(sizes)
+    assert len(out) == len(rows)
+    assert all(r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]], rel=1e-9) for r in out)
+    assert all(r["copies"] >= int(r["target"] // r["source_size"]) for r in out if r["source_size"])
+
+
 def test_null_keys_are_no_unit(docs_of):
     # a null-key third of the large source, and a fraction of it to be met
     rows = [(i if i % 3 else None, f"a b c d e f g h i {i}", None, "big") for i in range(300)] + [(1000 + i, "x y z " * 30, None, "small") for i in range(10)]

@@ -213,6 +213,17 @@ def test_variants_are_never_broadcast(spark, monkeypatch, rows):
     assert not [x for found in seen for x in found if "Broadcast" in x]
 
 
+def test_tables_of_lines_are_never_broadcast(docs_of, monkeypatch):
+    """Places and lists of lines are written in a small part of the room they need, so estimates say little."""
+    monkeypatch.setattr(line_dedup, "LAGS", 1)
+    rows, seen, real = corpus(1, 120), [], line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df: [seen.append(joins_in(df)), real(df)][1])
+    out = line_dedup.dedup(docs_of([(i, t, None, None) for i, t in rows]))
+    places = [x for found in [*seen, joins_in(out)] for x in found if "], [doc#" in x or "], [__doc#" in x]
+    assert len(places) == 2 and not [x for x in places if "Broadcast" in x]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(repr, ((i, t) for (i, _), t in zip(rows, near_lines(rows)))))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (900, 901), (901, 900)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
